@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, oracles, quality, simhash
+from . import chat, langid, mixing, oracles, quality, simhash, tokenids, topk
 from .common import held_out
 
 
@@ -41,12 +41,26 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(said.unionByName(probe)))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenids.write_and_read(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op2_quality_nbsvm": op2_quality_nbsvm,
     "op5_language_id": op5_language_id,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
+    "op3_top_k": op3_top_k,
+    "op10_token_ids": op10_token_ids,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": oracles.MIX, "op9_chat": oracles.CHAT}
+ORACLE_SQL: dict[str, str] = {"op3_top_k": oracles.TOP_K, "op7_mixing": oracles.MIX, "op9_chat": oracles.CHAT}

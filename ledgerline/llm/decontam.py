@@ -248,6 +248,36 @@ def edit_distance_within(at: dict[int, int], m: int, text: np.ndarray, most: int
     return best, end
 
 
+def _item_blocks(benchmark: DataFrame, p: DecontamParams) -> list:
+    """Broadcasts of the items, each of bounded size; one pass over the documents is made for each."""
+    spark = benchmark.sparkSession
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-n_bytes // p.items_bytes)
+    out = []
+    for block in range(n):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block) if n > 1 else items
+        out.append(spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in own.collect())))
+    return out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamParams(), text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that leak no item (see ``leaks``); no row moves between tasks."""
+    at = docs.columns.index(text)
+    for shared in _item_blocks(benchmark, p):
+
+        def run(batches, shared=shared):
+            made = Items(shared.value, p)
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                for first, _, data, offs in text_chunks(b.column(at), CHUNK_BYTES // 2):
+                    clean[[first + hit[0] for hit in made.matches(*word_hashes(data, offs))]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamParams(), key: str = "doc_id") -> DataFrame:
     """``key``, item_id, edits, similarity and end_word of each document row and benchmark item that it leaks.
 
@@ -256,16 +286,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamPar
     each under its id, and document rows that repeat give rows each.  Empty tables
     give no rows.  Whole texts are searched.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = -(-n_bytes // p.items_bytes)
     fed = docs.select(F.col(f"`{key}`").alias(key), F.col("text").alias("__text"))
     schema = f"{key} {fed.schema[0].dataType.simpleString()}, item_id long, edits int, similarity double, end_word long"
-    found = spark.createDataFrame([], schema)
-    for block in range(n_blocks):  # one pass over the documents for each block of items, whose size is bounded
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
-        shared = spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in own.where("item_id IS NOT NULL").collect()))
+    found = None
+    for shared in _item_blocks(benchmark, p):
 
         def run(batches, shared=shared):
             made = Items(shared.value, p)
@@ -281,5 +305,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamPar
                         )
 
         part = fed.mapInArrow(run, schema)
-        found = part if block == 0 else found.union(part)
-    return found
+        found = part if found is None else found.union(part)
+    return found if found is not None else docs.sparkSession.createDataFrame([], schema)

@@ -36,8 +36,8 @@ class MixParams:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the text, 0 for null) and the seeded order key of each row."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, tag (a hash of the text) and size (words of the text, 0 for null) of each row."""
+    return docs.select("doc_id", "source", F.xxhash64("text").alias("tag"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sources: DataFrame, p: MixParams = MixParams()) -> DataFrame:
@@ -136,5 +136,27 @@ def apportion(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     return (
         laid.withColumn("pieces", pieces)
         .withColumn("taken", F.col("passes") * F.col("size") + F.aggregate("pieces", F.lit(0).cast("long"), lambda total, x: total + x["words"]))
-        .select("doc_id", "source", "size", "source_size", "target", "passes", "pieces", "taken")
+        .select("doc_id", "source", "tag", "size", "source_size", "target", "passes", "pieces", "taken")
     )
+
+
+def realise(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
+    """The mix itself: the rows of ``docs``, repeated as often as they are taken whole, and rows with the pieces taken.
+
+    Columns are those of ``docs``; a piece has its own words, one space apart, and
+    its own n_chars if there is such a column.  Rows are told apart by doc_id and
+    text; rows that are the same in both count once, with what both give.
+    """
+    given = apportion(docs.select("doc_id", "source", "text"), p).where("taken > 0")
+    given = given.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.sum("passes").cast("int").alias("__passes"), F.flatten(F.collect_list("pieces")).alias("__pieces"), F.count(F.lit(1)).alias("__same"))
+    whole = F.when(F.col("__passes") > 0, F.array_repeat(F.struct(F.lit(0).cast("long").alias("from"), F.lit(-1).cast("long").alias("words")), F.col("__passes"))).otherwise(F.array().cast("array<struct<from:bigint,words:bigint>>"))
+    joined = docs.withColumn("__t", F.xxhash64("text")).join(given, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__tag")))
+    if given.where("__same > 1").isEmpty() is False:
+        joined = joined.dropDuplicates(["doc_id", "__t"])
+    taken = joined.select(*docs.columns, F.explode(F.concat(whole, "__pieces")).alias("__piece"))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("__piece.from") + 1).cast("int"), F.col("__piece.words").cast("int"))
+    text = F.when(F.col("__piece.words") < 0, F.col("text")).otherwise(F.array_join(words, " "))
+    out = taken.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__piece.words") < 0, F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+    return out.select(*docs.columns)

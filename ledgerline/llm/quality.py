@@ -31,8 +31,9 @@ class QualityParams:
     #: Upper bound of a row's dual variable.
     c: float = 1.0
     epochs: int = 12
-    #: Share of the drawn rows that only fit the logistic curve.
-    curve_share: float = 0.2
+    #: One part in so many of the drawn rows only fits the logistic curve; with few rows, each part in turn.
+    folds: int = 5
+    few_rows: int = 3000
     threshold: float = 0.7
     seed: int = 11
 
@@ -151,15 +152,28 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, p: QualityParams = QualityPa
     if not len(y) or y.min() == y.max():
         share = (float(y.sum()) + 1) / (len(y) + 2)
         return QualityModel(np.zeros(1 << p.bits), 0.0, 1.0, float(np.log(share / (1 - share))), p.bits)
-    curve = np.random.default_rng(p.seed).random(len(y)) < p.curve_share
-    if len(y) < 50 or len(set(y[curve])) < 2 or len(set(y[~curve])) < 2:
-        curve = np.zeros(len(y), bool)
-    fit = [r for r, k in zip(rows, curve, strict=True) if not k]
-    ratio = log_count_ratio(fit, y[~curve], p.bits, p.smoothing)
-    w, b = dual_coordinate_descent(fit, y[~curve], ratio, p.c, p.epochs, p.seed)
-    kept = [r for r, k in zip(rows, curve, strict=True) if k] if curve.any() else fit
-    margin = np.array([w[r].sum() / np.sqrt(max(1, len(r))) + b for r in kept])
-    return QualityModel(w, b, *logistic_curve(margin, y[curve] if curve.any() else y), p.bits)
+    part = np.random.default_rng(p.seed).permutation(len(y)) % p.folds
+    # with few rows every part is left out in turn, so that the curve sees them all
+    turns = range(p.folds if len(y) < p.few_rows else 1)
+    margin, truth = [], []
+    for k in turns:
+        fit = np.flatnonzero(part != k)
+        if len(set(y[fit])) < 2:
+            continue
+        w, b = _fit_once([rows[i] for i in fit], y[fit], p)
+        own = np.flatnonzero(part == k)
+        margin += [w[rows[i]].sum() / np.sqrt(max(1, len(rows[i]))) + b for i in own]
+        truth += [y[i] for i in own]
+    if len(turns) > 1:
+        w, b = _fit_once(rows, y, p)
+    if len(set(truth)) < 2:
+        w, b = _fit_once(rows, y, p)
+        margin, truth = [w[r].sum() / np.sqrt(max(1, len(r))) + b for r in rows], y
+    return QualityModel(w, b, *logistic_curve(np.array(margin), np.array(truth)), p.bits)
+
+
+def _fit_once(rows: list[np.ndarray], y: np.ndarray, p: QualityParams) -> tuple[np.ndarray, float]:
+    return dual_coordinate_descent(rows, y, log_count_ratio(rows, y, p.bits, p.smoothing), p.c, p.epochs, p.seed)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, p: QualityParams) -> DataFrame:

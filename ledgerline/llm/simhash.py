@@ -204,3 +204,16 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle_words: int = 3, bu
     least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
     named = grouped.select("fp", "group").join(least, "group").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 3, shingle_words: int = 3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is the smallest of their group.
+
+    Rows that repeat that id stay once; rows without an id can't be referred to and
+    stay.
+    """
+    ids = stored(near_duplicates(docs.select("doc_id", "text"), radius, shingle_words).where("doc_id = component_id").select("doc_id"), "kept")
+    kept = docs.join(ids.distinct(), "doc_id", "left_semi")
+    if ids.groupBy("doc_id").count().where("count > 1").isEmpty() is False:
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))

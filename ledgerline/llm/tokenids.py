@@ -22,7 +22,6 @@ the partition alone: a task that runs again replaces its own file.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, scratch, stored, unit_hash
+from .common import LOWER, partitions, run_hashes, scratch, stored, text_chunks, unit_hash
 
 MAGIC = b"LTOKIDS1"
 HEAD = struct.Struct("<8s32sB7x")
@@ -45,21 +44,80 @@ SHARD_BYTES = 32 << 20
 #: Documents, about, whose id arrays train the dictionary, and its size.
 DICTIONARY_SAMPLE = 1500
 DICTIONARY_BYTES = 64 << 10
-#: Entries of a worker's word cache; it starts afresh beyond them.
-CACHE_WORDS = 600_000
+#: Pieces of which a worker keeps the ids.
+PIECES = 1_000_000
 END_ID = 1
 
-#: Chunks of these characters fall into the same pieces under the simple pattern as under the tokenizer's own.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:;=-@\[-\^`{-~]+")
-_PIECE = re.compile(r"[^\W\d_]+|\d|[^\s\w]+")
+#: Byte classes: white space, letter, digit, other; and bytes that need the library itself.
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_ODD = np.zeros(256, bool)
+_ODD[[0x27, *range(0xC0, 0xC3), *range(0xC4, 0x100)]] = True
+
+
+class Pieces:
+    """A table of piece hashes with the ids of each piece; it starts afresh beyond ``most`` pieces."""
+
+    def __init__(self, kind: np.dtype, most: int):
+        self.kind, self.most, self.bits = kind, most, int(most * 2 - 1).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)  # no hash is zero
+        self.values = np.zeros(1 << self.bits, np.int32)
+        self.starts, self.lens, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
+        self.pool, self.used = np.zeros(1 << 14, self.kind), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash's piece, or -1."""
+        mask, out = np.int64((1 << self.bits) - 1), np.full(len(h), -1, np.int32)
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        key = self.keys[slot]
+        hit = key == h
+        out[hit] = self.values[slot[hit]]
+        todo = np.flatnonzero(~hit & (key != 0))
+        while len(todo):
+            at = slot[todo] = slot[todo] + 1 & mask
+            key = self.keys[at]
+            hit = key == h[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            todo = todo[~hit & (key != 0)]
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+        """Distinct new hashes, with their ids end to end."""
+        n, m = self.n + len(h), self.used + len(ids)
+        while len(self.starts) < n:
+            self.starts, self.lens = np.concatenate([self.starts, self.starts]), np.concatenate([self.lens, self.lens])
+        while len(self.pool) < m:
+            self.pool = np.concatenate([self.pool, self.pool])
+        self.pool[self.used : m] = ids
+        self.lens[self.n : n] = lens
+        self.starts[self.n : n] = self.used + np.cumsum(lens) - lens
+        number = np.arange(self.n, n, dtype=np.int32)
+        self.n, self.used = n, m
+        mask, slot = np.int64((1 << self.bits) - 1), (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(h):
+            free = self.keys[slot] == 0
+            _, first = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)
+            put = np.zeros(len(slot), bool)
+            put[first] = True
+            put &= free
+            self.keys[slot[put]], self.values[slot[put]] = h[put], number[put]
+            h, number, slot = h[~put], number[~put], slot[~put] + 1 & mask
 
 
 class Encoder:
     """Ids of texts under a word-level BPE tokenizer, the same as those of the tokenizers library.
 
-    The tokenizer's pieces never cross white space, so the ids of a text are those
-    of its white-space chunks in order; chunks are kept with their ids, and what a
-    chunk is made of is encoded once, many new pieces in one call.
+    The tokenizer lower-cases and drops white space, and its pieces (runs of letters,
+    single digits, runs of other signs) have ids of their own, each ending in a word
+    end.  So a piece is encoded once, many in one call, and found by a hash of its
+    bytes after that.  Texts with apostrophes, control strings, or letters outside
+    ASCII and U+00C0 to U+00FF go to the library whole.
     """
 
     def __init__(self, definition: str, end_id: int = END_ID):
@@ -68,75 +126,88 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.type = np.dtype("<u2" if max(self.vocabulary, end_id + 1) <= 1 << 16 else "<u4")
-        ends = np.zeros(self.vocabulary, bool)
+        self.ends = np.zeros(self.vocabulary, bool)
         for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            ends[i] = word.endswith("</w>")
-        self.ends = ends
-        self.splits = self._splits_at_white_space()
+            self.ends[i] = word.endswith("</w>")
         self.end = np.array([end_id], self.type).tobytes()
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _splits_at_white_space(self) -> bool:
-        """Whether the shortcuts hold: every piece ends in a word end, and white space only divides."""
-        probe = "The cat's  naïve,\n42 Ways!! of\tÉtude"
-        whole = self._library(probe)
-        return bool(self.ends.any()) and whole == b"".join(map(self._library, probe.split()))
+        self.pieces = Pieces(self.type, PIECES)
+        probe = 'The cats  naïve,\n42 Ways!! of\tÉtude x_y "q" a1b2 --3.14% Ñandú ßß ×'
+        self.plain = bool(self.ends.any()) and [b"".join(self._chunk([probe]))] == [self._library(probe)]
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.chunks) > CACHE_WORDS or len(self.pieces) > CACHE_WORDS:
-            self.chunks.clear()
+    def _learn(self, data: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        h, at = np.unique(h, return_index=True)
+        if self.pieces.n + len(h) > self.pieces.most:
             self.pieces.clear()
-        parts = {}
-        for chunk in new:
-            if _PLAIN.fullmatch(chunk):
-                parts[chunk] = _PIECE.findall(chunk.lower())
-            else:
-                self.chunks[chunk] = self._library(chunk)
-        fresh = list({p for own in parts.values() for p in own} - self.pieces.keys())
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
+        raw = data.tobytes()
+        words = [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.type)
             cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(some):
-                raw, size, last = ids.tobytes(), self.type.itemsize, 0
-                for piece, end in zip(some, (cut * size).tolist(), strict=True):
-                    self.pieces[piece] = raw[last:end]
-                    last = end
-            else:
-                self.pieces.update((p, self._library(p)) for p in some)
-        of = self.pieces.__getitem__
-        for chunk, own in parts.items():
-            self.chunks[chunk] = of(own[0]) if len(own) == 1 else b"".join(map(of, own))
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The serialized ids of each text, with the end id."""
-        for at in range(0, len(texts), 64):
-            some = texts[at : at + 64]
-            if not self.splits:
-                yield from (self._library(t) + self.end for t in some)
-                continue
-            # \x1c to \x1f are white space for str.split but not for the tokenizer
-            rows = [None if _ODD.search(t) else t.split() for t in some]
-            new = set().union(*(r for r in rows if r)) - self.chunks.keys()
-            if new:
-                self._learn(new)
-            of = self.chunks.get
-            for text, row in zip(some, rows, strict=True):
-                if row is None:
-                    yield self._library(text) + self.end
-                    continue
-                found = list(map(of, row))
-                if None in found:  # the cache started afresh within this batch
-                    self._learn(set(row) - self.chunks.keys())
-                    found = [of(w) if of(w) is not None else self._library(w) for w in row]
-                yield b"".join(found) + self.end
-
-
-_ODD = re.compile("[\x1c-\x1f]")
+            if len(cut) != len(some):  # each by itself
+                own = [np.frombuffer(self._library(w), self.type) for w in some]
+                ids, cut = np.concatenate(own), np.cumsum([len(x) for x in own])
+            self.pieces.add(h[k : k + 4096], ids, np.diff(cut, prepend=0).astype(np.int32))
+
+    def _chunk(self, texts) -> Iterator[bytes]:
+        """Ids of consecutive texts, without the end id."""
+        for at, end, data, offs in text_chunks(texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())):
+            n = len(data)
+            odd = _ODD[data]
+            if n > 1:
+                second = data[1:]
+                odd[1:] |= (data[:-1] == 0xC3) & ((second == 0x97) | (second == 0xB7)) | (data[:-1] == 0x3C) & (second == 0x7C)
+            strange = np.zeros(end - at, bool)
+            strange[np.searchsorted(offs, np.flatnonzero(odd), "right") - 1] = True
+            sort = _CLASS[data]
+            lower = LOWER[data]
+            if n > 1:
+                big = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
+                lower[1:][big] += 0x20
+            cut = np.ones(n + 1, bool)
+            if n > 1:
+                cut[1:n] = (sort[1:] != sort[:-1]) | (sort[1:] == _DIGIT)
+            cut[offs] = True
+            cut = np.flatnonzero(cut)
+            starts, ends = cut[:-1], cut[1:]
+            solid = sort[starts] != _SPACE
+            starts, ends = starts[solid], ends[solid]
+            first = np.searchsorted(starts, offs)
+            if strange.any():  # their pieces aren't asked for
+                good = np.repeat(~strange, np.diff(first))
+                starts, ends = starts[good], ends[good]
+                first = np.searchsorted(starts, offs)
+            h = run_hashes(lower, starts, ends) | np.uint64(1)
+            number = self.pieces.find(h)
+            new = np.flatnonzero(number < 0)
+            if len(new):
+                self._learn(lower, h[new], starts[new], ends[new])
+                number = self.pieces.find(h)
+                if (number < 0).any():  # the table started afresh
+                    new = np.flatnonzero(number < 0)
+                    self._learn(lower, h[new], starts[new], ends[new])
+                    number = self.pieces.find(h)
+            lens = self.pieces.lens[number].astype(np.int64)
+            lead = np.zeros(len(lens) + 1, np.int64)
+            np.cumsum(lens, out=lead[1:])
+            ids = self.pieces.pool[np.arange(lead[-1]) + np.repeat(self.pieces.starts[number] - lead[:-1], lens)]
+            raw, size, bound = ids.tobytes(), self.type.itemsize, lead[first].tolist()
+            for i in range(end - at):
+                yield self._library(data[offs[i] : offs[i + 1]].tobytes().decode()) if strange[i] else raw[bound[i] * size : bound[i + 1] * size]
+
+    def encode(self, texts) -> Iterator[bytes]:
+        """The serialized ids of each text of an array or list, with the end id; null is empty."""
+        if self.plain:
+            for ids in self._chunk(texts):
+                yield ids + self.end
+        else:
+            for t in texts if isinstance(texts, list) else texts.to_pylist():
+                yield self._library(t or "") + self.end
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -226,7 +297,7 @@ def sample_arrays(docs: DataFrame, definition: str, end_id: int, n: int, seed: i
     def run(batches):
         made = encoder(shared.value, end_id)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x[: 1 << 16] for x in made.encode([t or "" for t in b.column(0).to_pylist()])], pa.binary())], names=["raw"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[: 1 << 16] for x in made.encode(b.column(0))], pa.binary())], names=["raw"])
 
     drawn = docs.where(unit_hash(seed, F.coalesce("doc_id", F.lit(0).cast("long"))) < share).select("text")
     return sorted(r.raw for r in drawn.mapInArrow(run, "raw binary").limit(2 * n).collect())
@@ -260,14 +331,12 @@ def write(docs: DataFrame, folder: str, definition: str, end_id: int = END_ID, s
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(shard.index)], pa.int64()), pa.array([shard.ids], pa.int64())], names=["file", "n_docs", "n_ids"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                for key, raw in zip(some.column(0).to_pylist(), made.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
-                    shard = shard or Shard(trained, made.type.itemsize)
-                    shard.add(key, raw)
-                    if shard.at >= SHARD_BYTES:
-                        yield close()
-                        shard, number = None, number + 1
+            for key, raw in zip(b.column(0).to_pylist(), made.encode(b.column(1)), strict=True):
+                shard = shard or Shard(trained, made.type.itemsize)
+                shard.add(key, raw)
+                if shard.at >= SHARD_BYTES:
+                    yield close()
+                    shard, number = None, number + 1
         if shard:
             yield close()
 

@@ -40,10 +40,12 @@ ENDS = {"latin": "man sen ini ez ard well stein ova", "cyrillic": "енко ск
 
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = rf"(?:{'|'.join(TITLES.values())})\.? "
+#: What every text with an entity has: a digit or an at sign, or a title before a capital.  Most texts have none and are passed by.
+_HINTS = (r"[@\d]", rf"(?=[{''.join(sorted({t[0] for g in TITLES.values() for t in g.split('|')}))}])\b{_TITLE}\p{{Lu}}")
 PATTERN = "|".join(
     [
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
-        rf"\b{_TITLE}{_NAME}(?: {_NAME})?",
+        rf"(?=[{''.join(sorted({t[0] for g in TITLES.values() for t in g.split('|')}))}])\b{_TITLE}{_NAME}(?: {_NAME})?",
         r"\b[A-Z]{2}\d{2} ?[A-Z0-9]{4}(?: ?\d{4}){1,6}(?: ?\d{1,3})?\b",
         r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
         r"(?<![\d-])(?:\d{4}[ -]){3}\d{4}(?![\d-])|(?<!\d)3[47]\d\d[ -]\d{6}[ -]\d{5}(?!\d)|(?<![\d+])\d{13,19}(?!\d)",
@@ -178,9 +180,13 @@ def in_format(kind: Column, found: Column, new: Column) -> Column:
     )
 
 
+def _hinted(text: Column) -> Column:
+    return F.coalesce(text.rlike(_HINTS[0]) | text.rlike(_HINTS[1]), F.lit(False))
+
+
 def _mentions(docs: DataFrame) -> DataFrame:
     """(kind, canon) of each mention."""
-    found = docs.select(F.explode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("found"))
+    found = docs.where(_hinted(F.col("text"))).select(F.explode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("found"))
     return found.withColumn("kind", kind_of(F.col("found"))).where("kind IS NOT NULL").select("kind", canonical(F.col("kind"), F.col("found")).alias("canon"))
 
 
@@ -222,14 +228,14 @@ def replace(docs: DataFrame, key: str, make=surrogate) -> DataFrame:
     if moved.isEmpty():
         rows, lookup = docs.withColumn("__moved", F.lit(None).cast("map<string,string>")), None
     else:
-        of = docs.select(F.sha2("text", 256).alias("__text"), F.explode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("found")).distinct()
+        of = docs.where(_hinted(F.col("text"))).select(F.sha2("text", 256).alias("__text"), F.explode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("found")).distinct()
         of = of.withColumn("kind", kind_of(F.col("found"))).where("kind IS NOT NULL").withColumn("canon", canonical(F.col("kind"), F.col("found")))
         # the moved entities of one text
         lookup = of.join(moved, ["kind", "canon"]).groupBy("__text").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "canon"), "new"))).alias("__moved"))
         rows = docs.withColumn("__text", F.sha2("text", 256)).join(lookup, "__text", "left").drop("__text")
 
     # each step of an array of structs is reckoned once
-    rows = rows.withColumn("__gaps", F.split("text", F.lit(PATTERN), -1)).withColumn("__found", F.when(F.size("__gaps") > 1, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
+    rows = rows.withColumn("__gaps", F.when(_hinted(F.col("text")), F.split("text", F.lit(PATTERN), -1))).withColumn("__found", F.when(F.size("__gaps") > 1, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
     rows = rows.withColumn("__m", F.transform("__found", lambda x: F.struct(x.alias("found"), kind_of(x).alias("kind"))))
     rows = rows.withColumn("__m", F.transform("__m", lambda m: F.struct(m["found"], m["kind"], canonical(m["kind"], m["found"]).alias("canon"))))
     rows = rows.withColumn("__m", F.transform("__m", lambda m: F.struct(m["found"], m["kind"], m["canon"], hex_stream(m["kind"], m["canon"], key, first).alias("h"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 import pandas as pd
@@ -81,13 +82,31 @@ def component_sums(whole: DataFrame, parts: DataFrame, key: str, total: str, par
     return whole.join(sums, key, "left").withColumn("holds", F.abs(F.col("parts_sum") - F.col(total)) <= tolerance)
 
 
-def lineage(spark, edges: DataFrame, node: str, previous: str, depth: int = 20) -> DataFrame:
-    """(node, root, steps): each node's first ancestor, by doubling the pointers; cycles end at the depth."""
-    at = edges.select(F.col(node).alias("node"), F.coalesce(F.col(previous), F.col(node)).alias("up"), F.when(F.col(previous).isNull(), 0).otherwise(1).alias("steps"))
-    for _ in range(depth.bit_length()):
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the session's shared folder, so that a loop's plan doesn't grow."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-"))
+    return df.checkpoint()
+
+
+def lineage(edges: DataFrame, node: str, previous: str, rounds: int = 40) -> DataFrame:
+    """(node, root, steps): each node's first ancestor.
+
+    Pointers double every round, so chains of any length below 2 ** ``rounds`` end
+    early; a cycle has no root and its nodes point to null.
+    """
+    at = settled(edges.select(F.col(node).alias("node"), F.coalesce(F.col(previous), F.col(node)).alias("up"), F.when(F.col(previous).isNull(), 0).otherwise(1).alias("steps")))
+    left = at.where("steps > 0").count()
+    for _ in range(rounds):
         ahead = at.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("steps").alias("__steps"))
-        at = at.join(ahead, "up", "left").select("node", F.coalesce("__up", "up").alias("up"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"))
-    return at.select("node", F.col("up").alias("root"), "steps")
+        at = settled(at.join(ahead, "up", "left").select("node", F.coalesce("__up", "up").alias("up"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps")))
+        roots = at.join(at.where("steps = 0").select(F.col("node").alias("up")), "up", "left_anti").count()
+        if roots == 0 or roots == left:  # all have arrived, or those that haven't run in circles
+            break
+        left = roots
+    ends = at.where("steps = 0").select(F.col("node").alias("root"))
+    return at.join(ends, F.col("up") == F.col("root"), "left").select("node", "root", F.when(F.col("root").isNotNull(), F.col("steps")).alias("steps"))
 
 
 def hamming_within(left: DataFrame, right: DataFrame, bits: str, key: str, radius: int, bands: int) -> DataFrame:

@@ -74,7 +74,7 @@ def recursive_lineage(spark, d):
 
     o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     edges = o.select(F.col("o_orderkey").alias("node"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("prev"))
-    return joins.lineage(spark, edges, "node", "prev", depth=64)
+    return joins.lineage(edges, "node", "prev")
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS r FROM orders) WHERE r = 1")

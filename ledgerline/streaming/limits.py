@@ -51,11 +51,11 @@ def _fold(times: list[int], kinds: list[str], limit: int, width: int, reset: str
         yield used <= limit, start, used
 
 
-def resettable_limit(events: DataFrame, key: str = "user_id", limit: int = 5, width: int = 900, reset: str = "purchase") -> DataFrame:
+def resettable_limit(events: DataFrame, key: str = "user_id", limit: int = 5, width: int = 900, reset: str = "purchase", late: str = "10 minutes") -> DataFrame:
     """event_id, key and allowed of each event: a window opens with the first attempt, holds ``limit`` of them, and a reset closes it.
 
-    On a stream the open window is state per key that times out with its width; on a
-    table the same fold runs over each key's rows in order.
+    On a stream the open window is state per key that is dropped when the watermark
+    passes its end; on a table the same fold runs over each key's rows in order.
     """
     kind = dict(events.dtypes)[key]
     schema = f"event_id long, {key} {kind}, allowed boolean"
@@ -79,10 +79,11 @@ def resettable_limit(events: DataFrame, key: str = "user_id", limit: int = 5, wi
         for ok, start, used in _fold((pdf["at"] // 1_000_000).tolist(), pdf["event_type"].tolist(), limit, width, reset, start, used):
             allowed.append(ok)
         state.update((start, used))
-        state.setTimeoutDuration(width * 1000)
+        state.setTimeoutTimestamp(max((start + width) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pdf.assign(allowed=allowed)[["event_id", key, "allowed"]]
 
-    return rows.groupBy(key).applyInPandasWithState(stream, schema, "start long, used long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select("event_id", key, F.unix_micros("ts").alias("at"), "event_type", "ts")
+    return timed.groupBy(key).applyInPandasWithState(stream, schema, "start long, used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stale_leases(heartbeats: DataFrame, key: str, now, after_seconds: int = 900) -> DataFrame:

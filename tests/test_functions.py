@@ -91,8 +91,8 @@ def test_assignment_is_the_best(spark):
 
 
 def test_lineage_and_hamming(spark):
-    edges = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (9, None)], "n int, p int")
-    assert {(r.node, r.root, r.steps) for r in joins.lineage(spark, edges, "n", "p").collect()} == {(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 1, 3), (9, 9, 0)}
+    edges = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (9, None), (20, 21), (21, 20)], "n int, p int")
+    assert {(r.node, r.root, r.steps) for r in joins.lineage(edges, "n", "p").collect()} == {(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 1, 3), (9, 9, 0), (20, None, None), (21, None, None)}
     bits = spark.createDataFrame([(1, 0), (2, 255), (3, 511), (4, -1)], "k int, b long")
     assert {tuple(r) for r in joins.hamming_within(bits, bits, "b", "k", 8, 16).collect()} == {(1, 2, 8), (2, 3, 1)}
 

@@ -34,9 +34,20 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends here and a lost executor loses nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    # lets the cleaner drop shuffle files that nothing refers to any more, so that steps don't add up on disk
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    jvm, path = table.sparkSession.sparkContext._jvm, table._scratch
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def widened(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:

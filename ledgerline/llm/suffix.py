@@ -17,10 +17,10 @@ strings can only repeat around anchors whose cores repeat, and
    context finds its range by binary search, so equal strings meet in one shard.
    A core with very many contexts is split by what a string's place lets be
    compared (hash of the bytes that strings at neighbouring places share);
-4. a shard sorts all suffixes of its contexts (Larsson and Sadakane's doubling on
-   groups that are not yet single, in numpy), takes the common prefixes of
-   neighbours (Kasai's walk, all contexts in step), and marks the strings of which
-   a neighbour in the array has the same ``length`` bytes.
+4. a shard makes suffix arrays of its contexts, of what follows the anchors and of what
+   precedes them, by Larsson and Sadakane's refinement of groups in numpy, and the
+   common prefixes of neighbours; runs that two contexts share in both arrays are the
+   strings that they share.
 
 Hashes of 64 bits stand for cores and contexts; two for a context.
 """
@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, stored, text_chunks
+from .common import discard, mix, partitions, stored, text_chunks
 
 GRAM = 16
 WINDOW = 256
 #: Bytes of contexts in a shard, about.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 4 << 20
 #: Contexts of one core that a shard takes; a core with more is split by place.
-CORE_CONTEXTS = 1500
+CORE_CONTEXTS = 8000
 #: Places of a context's strings, at each level of splitting.
 PLACES = (WINDOW, 16, 1)
 
@@ -124,106 +124,79 @@ def anchor_rows(data: np.ndarray, offs: np.ndarray, length: int):
     return doc, low - offs[doc], high - offs[doc], at - low, core, context
 
 
-def suffix_ranks(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, rank by the first ``depth`` bytes or more) of ``text``; a suffix ends at ``ends`` of its position.
+def symbols(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix of symbols, lengths) of byte strings; past its end a row has a symbol below all others."""
+    lens = np.array([min(len(r), width) for r in rows], np.int64)
+    flat = np.frombuffer(b"".join(r[:width] for r in rows), np.uint8)
+    wide = bool(len(flat)) and not flat.all()  # a zero byte must not look like an end
+    out = np.zeros((len(rows), -(-width // 8) * 8), np.uint16 if wide else np.uint8)
+    at = np.repeat(np.arange(len(rows)), lens), np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+    out[at] = flat.astype(np.uint16) + 1 if wide else flat
+    return out, lens
 
-    Larsson and Sadakane: sorted by 7 bytes at first, then groups of equal ranks by
-    the ranks twice as far on; groups of one are left out of later rounds.
+
+def suffix_order(group: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The suffix array: rows sorted within their groups.
+
+    Larsson and Sadakane's refinement: groups of equal rank are sorted by what comes
+    next, and those that are down to one row are left alone from then on.
     """
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    left = np.minimum(ends - np.arange(n), 7)
-    key = np.zeros(n, np.uint64)
-    for k in range(7):
-        key = key << np.uint64(8) | np.where(left > k, padded[k : n + k], np.uint64(0))
-    key = key << np.uint64(8) | left.astype(np.uint64)
-    order = np.argsort(key)
-    sorted_key = key[order]
+    n = len(group)
+    order = np.argsort(group, kind="stable")
     fresh = np.ones(n, bool)
-    fresh[1:] = sorted_key[1:] != sorted_key[:-1]
-    rank = np.empty(n, np.int64)
-    head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank[order] = head
-    h = 7
-    while h < depth:
-        # groups of more than one; a suffix that ends within h bytes has its own end in its key already
-        single = fresh & np.append(fresh[1:], True)
-        places = np.flatnonzero(~single)
+    fresh[1:] = group[order][1:] != group[order][:-1]
+    words = matrix.astype(matrix.dtype.newbyteorder(">")).view(">u8").astype(np.uint64)
+    for column in range(words.shape[1]):
+        places = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
         if not len(places):
             break
+        rank = np.cumsum(fresh)[places]
         own = order[places]
-        on = own + h
-        inside = on < ends[own]
-        second = np.where(inside, rank[np.minimum(on, n - 1)] + 1, 0).astype(np.uint64)
-        pair = rank[own].astype(np.uint64) << np.uint64(32) | second
-        by = np.argsort(pair)
-        order[places] = own[by]
-        pair = pair[by]
+        word = words[own, column]
+        by = np.lexsort((word, rank))
+        order[places], word, rank = own[by], word[by], rank[by]
         new = np.ones(len(places), bool)
-        new[1:] = pair[1:] != pair[:-1]
+        new[1:] = (word[1:] != word[:-1]) | (rank[1:] != rank[:-1])
         fresh[places] = new
-        head = np.maximum.accumulate(np.where(fresh[places], places, 0))
-        rank[order[places]] = head
-        h *= 2
-    return order, rank
-
-
-def common_prefixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in the array; ``most`` or more where their ranks are equal.
-
-    Kasai's walk: a suffix keeps all but one byte of its predecessor's prefix.  The
-    walk goes through the texts (``starts`` to ``ends``) side by side, one byte of
-    each at a step.  Suffixes of equal rank stand in any order, so nothing is kept
-    from them.
-    """
-    n = len(text)
-    end_of = np.repeat(ends, ends - starts)
-    before = np.full(n, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    out = np.zeros(n, np.int64)
-    have = np.zeros(len(starts), np.int64)
-    for step in range(int((ends - starts).max(initial=0))):
-        live = np.flatnonzero(starts + step < ends)
-        i = starts[live] + step
-        j = before[i]
-        some = j >= 0
-        tied = some & (rank[i] == rank[np.maximum(j, 0)])
-        room = np.where(some, np.minimum(end_of[i] - i, end_of[np.maximum(j, 0)] - j), 0)
-        known = np.minimum(np.maximum(have[live] - 1, 0), room)
-        going = np.flatnonzero((known < room) & ~tied)
-        while len(going):
-            same = text[i[going] + known[going]] == text[j[going] + known[going]]
-            going = going[same]
-            known[going] += 1
-            going = going[known[going] < room[going]]
-        have[live] = np.where(tied, 0, known)
-        out[place[i]] = np.where(tied, np.minimum(room, most), known)
+    return order
+
+
+def neighbour_prefixes(group: np.ndarray, matrix: np.ndarray, lens: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Common prefix of each row of the array with the one before it; -1 in another group."""
+    out = np.full(len(order), -1, np.int64)
+    for at in range(1, len(order), 4096):
+        one, two = order[at - 1 : at + 4095], order[at : at + 4096]
+        one = one[: len(two)]
+        apart = matrix[one] != matrix[two]
+        common = np.where(apart.any(1), apart.argmax(1), matrix.shape[1])
+        out[at : at + 4096] = np.where(group[one] == group[two], np.minimum(common, np.minimum(lens[one], lens[two])), -1)
     return out
 
 
-def repeated_starts(texts: list[bytes], origins: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each text, the offsets where a ``length``-byte string begins that also begins elsewhere.
+def repeated_places(core: np.ndarray, blobs: list[bytes], anchor: np.ndarray, length: int) -> np.ndarray:
+    """[context, o]: whether the string of ``length`` bytes that starts o bytes before the anchor is in another context of the core too.
 
-    ``origins``: where each text comes from, a number that its offsets are added to;
-    strings of equal origin are the same occurrence.
+    Two arrays are made: of the suffixes from the anchors on, and of the prefixes
+    before them, read backwards.  Contexts that share ``length - o`` bytes on the right
+    are neighbours in one, those that share o bytes on the left in the other; those
+    in the same run of both share the string.
     """
-    sizes = np.array([len(t) for t in texts], np.int64)
-    text = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    order, rank = suffix_ranks(text, np.repeat(ends, sizes), length)
-    shared = common_prefixes(text, starts, ends, order, rank, length)
-    # runs of suffixes with the same first bytes
-    run = np.cumsum(shared < length) - 1
-    origin = (np.repeat(origins, sizes) + np.arange(len(text)) - np.repeat(starts, sizes))[order]
-    first = np.flatnonzero(shared < length)
-    low, high = np.minimum.reduceat(origin, first), np.maximum.reduceat(origin, first)
-    twice = (low != high)[run]
-    marked = np.zeros(len(text), bool)
-    marked[order[twice]] = True
-    return [np.flatnonzero(marked[a:b]) for a, b in zip(starts, ends, strict=True)]
+    m, places = len(blobs), int(anchor.max(initial=0)) + 1
+    right, right_len = symbols([b[a:] for b, a in zip(blobs, anchor.tolist(), strict=True)], length)
+    left, left_len = symbols([b[:a][::-1] for b, a in zip(blobs, anchor.tolist(), strict=True)], max(1, places - 1))
+    order_r, order_l = suffix_order(core, right), suffix_order(core, left)
+    prefix_r, prefix_l = neighbour_prefixes(core, right, right_len, order_r), neighbour_prefixes(core, left, left_len, order_l)
+    out = np.zeros((m, places), bool)
+    run_r, run_l = np.empty(m, np.int64), np.empty(m, np.int64)
+    for o in range(places):
+        run_r[order_r] = np.cumsum(prefix_r < length - o)
+        run_l[order_l] = np.cumsum(prefix_l < o)
+        both = run_r * (m + 1) + run_l
+        by = np.argsort(both)
+        same = both[by][1:] == both[by][:-1]
+        out[by[1:][same], o] = True
+        out[by[:-1][same], o] = True
+    return out
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -238,14 +211,6 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], high[np.append(at[1:], len(spans)) - 1]], 1)
 
 
-def start_runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each run of consecutive numbers."""
-    if not len(starts):
-        return starts, starts
-    cut = np.flatnonzero(np.diff(starts) > 1)
-    return starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)]
-
-
 def split_context(blob: bytes, anchor: int, length: int, places: int, width: int) -> list[tuple[int, int, int, int]]:
     """(first place, from, to, core end) of the parts of a context whose strings start ``width`` places or fewer apart.
 
@@ -304,17 +269,18 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
     total = contexts.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
     n = max(partitions(contexts.sparkSession), -(-total // SHARD_BYTES))
     # shards are ranges of cores; a row finds its own by binary search among the sorted bounds
-    dealt = contexts.repartitionByRange(n, "core").sortWithinPartitions("core").select("core", "k1", "k2", "low", "blob")
+    dealt = contexts.repartitionByRange(n, "core").sortWithinPartitions("core").select("core", "k1", "k2", "low", "blob", "anchor")
 
     def compare(rows):
-        k1, k2, low, texts = (np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows], np.int64), [r[4] for r in rows])
-        _, document = np.unique(np.stack([k1, k2], 1), axis=0, return_inverse=True)
-        found = repeated_starts(texts, (document.ravel().astype(np.int64) << np.int64(32)) + low, length)
-        parts = [start_runs(f) for f in found]
-        n = np.array([len(a) for a, _ in parts])
-        a = np.repeat(low, n) + (np.concatenate([a for a, _ in parts]) if len(parts) else 0)
-        z = np.repeat(low, n) + (np.concatenate([z for _, z in parts]) if len(parts) else 0) + length
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(k1, n)), pa.array(np.repeat(k2, n)), pa.array(a, pa.int32()), pa.array(z, pa.int32())], names=["k1", "k2", "low", "high"])
+        rows = list({(r[0], r[1], r[2], r[3]): r for r in rows}.values())  # rows that are the same give one context
+        cores = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1].ravel()
+        k1, k2, low, anchor = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 5))
+        marked = repeated_places(cores, [r[4] for r in rows], anchor, length)
+        # runs of places, farthest first, are runs of starts
+        edge = np.diff(np.pad(marked, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (row, near), (_, far) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        base = (low + anchor)[row]
+        return pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(base - far + 1, pa.int32()), pa.array(base - near + length, pa.int32())], names=["k1", "k2", "low", "high"])
 
     def run(batches):
         held, size = [], 0
@@ -354,6 +320,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, core_contexts: int = CORE
     table = stored(_anchor_table(keyed, length), "anchors")
     cores = table.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
     shared = stored(table.join(cores.select("core", (F.col("least") != F.col("most")).alias("mixed")), "core"), "repeated")
+    discard(table)
     done = shared.where("NOT mixed").select("k1", "k2", "low", "high")
     mixed = shared.where("mixed")
     contexts = mixed.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "low", "high", "lead")).alias("one"))

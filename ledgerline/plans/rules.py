@@ -105,7 +105,7 @@ def histogram_entropy(spark, d):
     return aggregates.entropy(s, ["s_nationkey"], "v").select("s_nationkey", F.round("entropy", 6).alias("entropy"))
 
 
-@query("WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity / 50.0 AS x, l_discount AS y FROM lineitem) SELECT l_orderkey, l_linenumber, 0.4 AS area, (CASE WHEN y < 0.05 THEN x >= 0.1 AND x < 0.9 ELSE false END) AS inside, round(CASE WHEN x > 0 THEN (least(x, 0.9) - 0.1 + abs(least(x, 0.9) - 0.1)) / 2 * 0.5 / (x * 0.5 + 0.4 - (least(x, 0.9) - 0.1 + abs(least(x, 0.9) - 0.1)) / 2 * 0.5) END, 6) AS iou FROM b")
+@query("WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity / 50.0 AS x, l_discount AS y FROM lineitem) SELECT l_orderkey, l_linenumber, 0.4::DOUBLE AS area, (CASE WHEN y < 0.05 THEN x >= 0.1 AND x < 0.9 ELSE false END) AS inside, round(CASE WHEN x > 0 THEN (least(x, 0.9) - 0.1 + abs(least(x, 0.9) - 0.1)) / 2 * 0.5 / (x * 0.5 + 0.4 - (least(x, 0.9) - 0.1 + abs(least(x, 0.9) - 0.1)) / 2 * 0.5) END, 6)::DOUBLE AS iou FROM b")
 def polygon_checks(spark, d):
     from ledgerline.functions import geometry
 

@@ -149,6 +149,7 @@ def realise(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """
     given = apportion(docs.select("doc_id", "source", "text"), p).where("taken > 0")
     given = given.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.sum("passes").cast("int").alias("__passes"), F.flatten(F.collect_list("pieces")).alias("__pieces"), F.count(F.lit(1)).alias("__same"))
+    given = stored(given, "given")
     whole = F.when(F.col("__passes") > 0, F.array_repeat(F.struct(F.lit(0).cast("long").alias("from"), F.lit(-1).cast("long").alias("words")), F.col("__passes"))).otherwise(F.array().cast("array<struct<from:bigint,words:bigint>>"))
     joined = docs.withColumn("__t", F.xxhash64("text")).join(given, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__tag")))
     if given.where("__same > 1").isEmpty() is False:

@@ -11,6 +11,7 @@ N-grams are words, word pairs, the punctuation that ends a word, and repeats
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,7 +87,10 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, bits: int, smoothing:
     counts = []
     for label in (1, 0):
         own = [r for r, v in zip(rows, y, strict=True) if v == label]
-        counts.append(smoothing + np.bincount(np.concatenate(own) if own else np.zeros(0, np.int64), minlength=1 << bits))
+        count = np.full(1 << bits, smoothing)
+        for at in range(0, len(own), 256):  # some rows at a time, so that no copy of all is made
+            count += np.bincount(np.concatenate(own[at : at + 256]), minlength=1 << bits)
+        counts.append(count)
     return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
 
 
@@ -95,13 +99,14 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.nda
     w, b, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
     sign = np.where(y > 0, 1.0, -1.0)
     cap = np.where(y > 0, c * len(y) / max(1, 2 * (y > 0).sum()), c * len(y) / max(1, 2 * (y <= 0).sum()))  # both classes weigh the same
-    values = [ratio[r] / np.sqrt(max(1, len(r))) for r in rows]
-    square = np.array([v @ v + 1.0 for v in values])
+    scale = 1 / np.sqrt(np.maximum(1, [len(r) for r in rows]))
+    square = np.array([(ratio[r] ** 2).sum() * k * k + 1.0 for r, k in zip(rows, scale, strict=True)])
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = ratio[r] * scale[i]
             gradient = sign[i] * (v @ w[r] + b) - 1.0
             new = min(max(alpha[i] - gradient / square[i], 0.0), cap[i])
             if (step := (new - alpha[i]) * sign[i]) != 0.0:
@@ -204,9 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams())
     """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), fitted to at most ``max_train`` of its rows on the driver."""
     got = training_rows(docs, labels, p).toArrow()
     column = got.column("features").combine_chunks()
-    rows = [np.asarray(column[i].values, np.int64) for i in range(len(column))]
+    flat, cuts = np.asarray(column.values), np.asarray(column.offsets)
+    rows = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]  # views, not copies
     y = np.asarray(got.column("label"), np.int64)
-    order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i]), rows[i].tobytes()))  # the fit doesn't depend on the order of tasks
+    order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i]), zlib.crc32(rows[i])))  # the fit doesn't depend on the order of tasks
     return fit_rows([rows[i] for i in order], y[order], p)
 
 

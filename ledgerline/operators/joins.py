@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,39 +146,35 @@ def assigned(scores: DataFrame, group: str) -> DataFrame:
     """(group, left, right, score) of the one-to-one matching with the largest total score, group by group (bounded groups)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = sorted(set(pdf["left"])), sorted(set(pdf["right"]))
-        score = {(a, b): s for a, b, s in zip(pdf["left"], pdf["right"], pdf["score"], strict=True)}
-        n = max(len(left), len(right))
-        cost = [[-score.get((left[i], right[j]), 0.0) if i < len(left) and j < len(right) else 0.0 for j in range(n)] for i in range(n)]
-        match = shortest_augmenting(cost)
-        rows = [(pdf[group].iloc[0], left[i], right[j], score[left[i], right[j]]) for i, j in enumerate(match) if i < len(left) and j < len(right) and score.get((left[i], right[j]), 0.0) > 0]
+        (left, i), (right, j) = np.unique(pdf["left"], return_inverse=True), np.unique(pdf["right"], return_inverse=True)
+        score = np.zeros((len(left), len(right)))
+        score[i, j] = pdf["score"]
+        if len(left) <= len(right):
+            pairs = enumerate(shortest_augmenting(-score))
+        else:
+            pairs = ((b, a) for a, b in enumerate(shortest_augmenting(-score.T)))
+        rows = [(pdf[group].iloc[0], left[a], right[b], score[a, b]) for a, b in pairs if score[a, b] > 0]
         return pd.DataFrame(rows, columns=[group, "left", "right", "score"])
 
     return scores.groupBy(group).applyInPandas(run, scores.select(group, "left", "right", F.col("score").cast("double")).schema)
 
 
-def shortest_augmenting(cost: list[list[float]]) -> list[int]:
-    """The column of each row in a cheapest assignment of a square matrix, by shortest augmenting paths with potentials."""
-    n, inf = len(cost), float("inf")
-    row_price, col_price, owner = [0.0] * n, [0.0] * n, [-1] * n
+def shortest_augmenting(cost) -> list[int]:
+    """The column of each row in a cheapest assignment of a matrix with no more rows than columns, by shortest augmenting paths with potentials."""
+    cost = np.asarray(cost, float)
+    n, m = cost.shape if cost.size else (0, 0)
+    row_price, col_price, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
     for row in range(n):
-        best, back, done, reach, col = [inf] * n, [-1] * n, [False] * n, row, -1
+        best, back, done, reach, col = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool), row, -1
         while True:
-            low, nxt = inf, -1
-            for j in range(n):
-                if done[j]:
-                    continue
-                d = cost[reach][j] - row_price[reach] - col_price[j]
-                if d < best[j]:
-                    best[j], back[j] = d, col
-                if best[j] < low:
-                    low, nxt = best[j], j
-            for j in range(n):
-                if done[j]:
-                    row_price[owner[j]] += low
-                    col_price[j] -= low
-                else:
-                    best[j] -= low
+            d = cost[reach] - row_price[reach] - col_price
+            nearer = ~done & (d < best)
+            best[nearer], back[nearer] = d[nearer], col
+            nxt = int(np.where(done, np.inf, best).argmin())
+            low = best[nxt]
+            row_price[owner[done]] += low
+            col_price[done] -= low
+            best[~done] -= low
             row_price[row] += low
             col, done[nxt] = nxt, True
             if owner[col] < 0:
@@ -188,6 +185,6 @@ def shortest_augmenting(cost: list[list[float]]) -> list[int]:
             owner[col] = row if prev < 0 else owner[prev]
             col = prev
     out = [-1] * n
-    for j, i in enumerate(owner):
-        out[i] = j
+    for j in np.flatnonzero(owner >= 0):
+        out[owner[j]] = int(j)
     return out

@@ -35,6 +35,18 @@ def numbered(df: DataFrame, keys: list[str], *order: Column | str, out: str = "p
     return df.withColumn(out, F.row_number().over(over(keys, *order)))
 
 
+def placed(df: DataFrame, rank: str, number: str, out: str = "place", width: int = 1 << 14) -> DataFrame:
+    """The place of each row in the order of (rank, number) over the whole table; both are whole numbers and not null.
+
+    Rows are numbered within stretches of ``width`` numbers, so no task sorts the table; only counts of stretches meet in one.
+    """
+    cut = df.withColumn("__cut", F.floor(F.col(number) / width))
+    before = F.sum("__n").over(Window.orderBy(rank, "__cut").rowsBetween(Window.unboundedPreceding, -1))
+    counts = cut.groupBy(rank, "__cut").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    own = F.row_number().over(over([rank, "__cut"], number))
+    return cut.withColumn("__own", own).join(counts, [rank, "__cut"]).withColumn(out, F.col("__before") + F.col("__own")).drop("__cut", "__own", "__before")
+
+
 def multiplicity(df: DataFrame, keys: list[str], out: str = "multiplicity") -> DataFrame:
     return df.withColumn(out, F.count(F.lit(1)).over(over(keys)))
 

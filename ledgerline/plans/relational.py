@@ -142,6 +142,13 @@ def stable_priority_order(spark, d):
     return o.select("o_orderkey", F.row_number().over(Window.orderBy(F.coalesce("rank", F.lit(2)), "o_orderkey")).alias("place"))
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderkey) AS place FROM orders")
+def stable_priority_order_all(spark, d):
+    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
+    o = table(spark, d, "orders", "o_orderkey", "o_orderpriority").select("o_orderkey", rank.alias("rank"))
+    return series.placed(o, "rank", "o_orderkey", out="place").select("o_orderkey", "place")
+
+
 @query("SELECT 'union' AS op, count(*) AS n FROM (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 UNION SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) UNION ALL SELECT 'except', count(*) FROM (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) UNION ALL SELECT 'intersect', count(*) FROM (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
 def set_union_except_intersect(spark, d):
     a = table(spark, d, "orders", "o_orderkey", "o_totalprice").where("o_totalprice > 200000").select("o_orderkey")
@@ -198,6 +205,6 @@ def cluster_complete_link(spark, d):
 @query()
 def assignment_matching(spark, d):
     s = table(spark, d, "supplier", "s_nationkey", "s_suppkey", "s_acctbal")
-    c = table(spark, d, "customer", "c_nationkey", "c_custkey", "c_acctbal").where("c_custkey <= 150")
+    c = table(spark, d, "customer", "c_nationkey", "c_custkey", "c_acctbal")
     scores = s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select("s_nationkey", F.col("s_suppkey").alias("left"), F.col("c_custkey").alias("right"), (1 / (1 + F.abs(F.col("s_acctbal") - F.col("c_acctbal")))).alias("score"))
     return joins.assigned(scores, "s_nationkey").withColumn("score", F.round("score", 9))

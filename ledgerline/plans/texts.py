@@ -26,6 +26,16 @@ def embedding_sign_hamming(spark, d):
     return joins.hamming_within(v, v, "bits", "vec_id", 8, 10)
 
 
+_HALF = "list_sum(list_transform(range({0}, {0} + 32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << (i - {0})::INT) ELSE 0::BIGINT END))::BIGINT"
+
+
+@query(f"WITH s AS (SELECT vec_id, {_HALF.format(0)} AS a, {_HALF.format(32)} AS b FROM embeddings), p AS (SELECT x.vec_id AS left, y.vec_id AS right, (bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)))::INT AS distance FROM s x JOIN s y ON x.vec_id < y.vec_id) SELECT * FROM p WHERE distance <= 8")
+def embedding_sign_hamming_whole(spark, d):
+    bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    v = table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", bits.alias("bits"))
+    return joins.hamming_within(v, v, "bits", "vec_id", 8, 10)
+
+
 @query("SELECT doc_id, length(text) AS n, CASE WHEN position('license' IN lower(text)) > 0 THEN substring(text, greatest(1, position('license' IN lower(text)) - 66)::INT, 140) END AS hit FROM documents")
 def search_excerpt(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text")
@@ -57,6 +67,12 @@ def csv_guard(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", text.csv_guard(w).alias("guarded"))
 
 
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(w, '^\s*[=+\-@]') THEN '''' || w ELSE w END AS guarded FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '=' || text WHEN 1 THEN ' +' || text ELSE text END AS w FROM documents)")
+def csv_guard_whole(spark, d):
+    w = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" +"), "text")).otherwise(F.col("text"))
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", text.csv_guard(w).alias("guarded"))
+
+
 @query("SELECT doc_id, sha256(text) AS digest, sha256(sha256('k' || text)) AS keyed FROM documents")
 def sha_digest(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("digest"), F.sha2(F.sha2(F.concat(F.lit("k"), "text"), 256), 256).alias("keyed"))
@@ -82,6 +98,12 @@ def explode_linked_tables(spark, d):
     return c.select("conv_id", "turn", F.posexplode(F.slice(F.split("text", " "), 1, 3)).alias("ord", "word")).select("conv_id", "turn", (F.col("ord") + 1).cast("long").alias("ord"), "word")
 
 
+@query("SELECT conv_id, turn, ord, w[ord] AS word FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), LATERAL (SELECT unnest(generate_series(1, len(w))) AS ord)")
+def explode_linked_tables_whole(spark, d):
+    c = table(spark, d, "conversations", "conv_id", "turn", "text")
+    return c.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("ord", "word")).select("conv_id", "turn", (F.col("ord") + 1).cast("long").alias("ord"), "word")
+
+
 @query(r'''SELECT page_id, len(regexp_extract_all(html, 'https?://[^\s"''<>]+')) AS n_links, position('http' IN regexp_replace(html, 'https?://[^\s"''<>]+', '[link]', 'g')) > 0 AS rest FROM pages''')
 def url_redaction(spark, d):
     clean = text.redact_urls(F.col("html"))
@@ -96,6 +118,14 @@ def array_set_ops(spark, d):
     return w.select("doc_id", F.size(F.array_distinct(a)).alias("n_distinct"), F.arrays_overlap(a, lits("the", "der", "de")).alias("any_article"), (~F.arrays_overlap(a, lits("of", "und"))).alias("disjoint"), F.size(F.filter(a, lambda x: F.length(x) > 4)).alias("n_long"))
 
 
+@query("WITH w AS (SELECT doc_id, string_split(text, ' ') AS a FROM documents) SELECT doc_id, len(list_distinct(a)) AS n_distinct, list_has_any(a, ['the', 'der', 'de']) AS any_article, NOT list_has_any(a, ['of', 'und']) AS disjoint, len(list_filter(a, lambda x: length(x) > 4)) AS n_long FROM w")
+def array_set_ops_whole(spark, d):
+    a = F.col("a")
+    w = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.split("text", " ").alias("a"))
+    lits = lambda *x: F.array(*map(F.lit, x))
+    return w.select("doc_id", F.size(F.array_distinct(a)).alias("n_distinct"), F.arrays_overlap(a, lits("the", "der", "de")).alias("any_article"), (~F.arrays_overlap(a, lits("of", "und"))).alias("disjoint"), F.size(F.filter(a, lambda x: F.length(x) > 4)).alias("n_long"))
+
+
 @query("SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, min(doc_id) AS first_id FROM documents GROUP BY ALL")
 def document_census(spark, d):
     return table(spark, d, "documents", "doc_id", "source", "lang", "n_chars").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first_id"))

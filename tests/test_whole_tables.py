@@ -37,3 +37,17 @@ def test_assignment_takes_every_customer(spark, tmp_path):
     spark.createDataFrame([(1, 7, 10.0)], "s_nationkey long, s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     spark.createDataFrame([(1, 151, 10.0), (1, 9, 500.0)], "c_nationkey long, c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
     assert [(r.left, r.right) for r in registry.QUERIES["assignment_matching"](spark, str(tmp_path)).collect()] == [(7, 151)]
+
+
+def test_whole_texts_and_vectors(spark, tmp_path):
+    words = [f"w{i}" for i in range(8)] + ["the", "longer", "of"]
+    spark.createDataFrame([(0, " ".join(words)), (2, "@" + "x" * 50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, " ".join(words))], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    one, near, far = [1.0] * 64, [1.0] * 56 + [-1.0] * 8, [1.0] * 55 + [-1.0] * 9
+    spark.createDataFrame([(1, one), (2, near), (3, far)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    first = next(r for r in run("array_set_ops_whole") if r.doc_id == 0)
+    assert (first.n_distinct, first.any_article, first.disjoint, first.n_long) == (11, True, False, 1)
+    assert [r.word for r in sorted(run("explode_linked_tables_whole"), key=lambda r: r.ord)] == words
+    assert {r.guarded for r in run("csv_guard_whole")} == {"'=" + " ".join(words), "'@" + "x" * 50}
+    assert sorted((r.left, r.right, r.distance) for r in run("embedding_sign_hamming_whole")) == [(1, 2, 8), (2, 3, 1)]

@@ -58,6 +58,12 @@ def first_match(text: Column, rules: list[tuple[str, str]], other: str) -> Colum
     return F.when(text.isNull(), other).otherwise(out)
 
 
+def heading_title(html: Column, most: int = 3, suffix: str = " and more") -> Column:
+    """The first ``most`` distinct texts of the h1 to h3 headings, with a suffix if there are more; null without one."""
+    names = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"<h[1-3][^>]*>([^<]*)</h[1-3]>"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.when(F.size(names) > 0, F.concat(F.array_join(F.slice(names, 1, most), ", "), F.when(F.size(names) > most, suffix).otherwise("")))
+
+
 def sanitized_name(name: Column, limit: int = 80) -> Column:
     """A file name of letters, digits, dots and dashes."""
     clean = F.regexp_replace(F.regexp_replace(name, r"[^\p{L}\p{N}._-]+", "_"), r"^[._]+|[._]+$", "")

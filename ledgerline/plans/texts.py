@@ -49,6 +49,11 @@ def title_from_heading(spark, d):
     return p.select("page_id", F.when(title != "", title).alias("title"), F.lit("").alias("none"))
 
 
+@query("WITH n AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '<h[1-3][^>]*>([^<]*)</h[1-3]>', 1), lambda x: trim(x)), lambda x: x <> '') AS a FROM pages), u AS (SELECT page_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS a FROM n) SELECT page_id, CASE WHEN len(a) > 0 THEN array_to_string(a[1:3], ', ') || CASE WHEN len(a) > 3 THEN ' and more' ELSE '' END END AS title FROM u")
+def title_from_headings(spark, d):
+    return table(spark, d, "pages", "page_id", "html").select("page_id", text.heading_title(F.col("html")).alias("title"))
+
+
 @query("SELECT doc_id, CASE WHEN text IS NULL THEN 'other' WHEN regexp_matches(text, '(?i)license') THEN 'legal' WHEN regexp_matches(text, '@') THEN 'contact' WHEN regexp_matches(text, '!!') THEN 'shout' ELSE 'other' END AS kind FROM documents")
 def keyword_classifier(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", text.first_match(F.col("text"), [("legal", "(?i)license"), ("contact", "@"), ("shout", "!!")], "other").alias("kind"))

@@ -3,7 +3,9 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from ledgerline.functions import text
 from ledgerline.operators import joins, series
 from ledgerline.plans import registry
 
@@ -51,3 +53,9 @@ def test_whole_texts_and_vectors(spark, tmp_path):
     assert [r.word for r in sorted(run("explode_linked_tables_whole"), key=lambda r: r.ord)] == words
     assert {r.guarded for r in run("csv_guard_whole")} == {"'=" + " ".join(words), "'@" + "x" * 50}
     assert sorted((r.left, r.right, r.distance) for r in run("embedding_sign_hamming_whole")) == [(1, 2, 8), (2, 3, 1)]
+
+
+def test_heading_titles(spark):
+    pages = ["<title>t</title>", "<h1>A</h1><h2 class='x'> B </h2><h3>A</h3><h4>no</h4>", "".join(f"<h2>{x}</h2>" for x in "DCBDA"), "<h1> </h1>", None]
+    got = spark.createDataFrame([(p,) for p in pages], "html string").select(text.heading_title(F.col("html"))).collect()
+    assert [r[0] for r in got] == [None, "A, B", "D, C, B and more", None, None]

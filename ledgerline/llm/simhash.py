@@ -207,13 +207,13 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle_words: int = 3, bu
 
 
 def keep_one(docs: DataFrame, radius: int = 3, shingle_words: int = 3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is the smallest of their group.
+    """One row of each group of ``docs``, with all its columns: the smallest id, then by the text's hash and the row.
 
-    Rows that repeat that id stay once; rows without an id can't be referred to and
-    stay.
+    Rows without an id take part and come last in their group.
     """
-    ids = stored(near_duplicates(docs.select("doc_id", "text"), radius, shingle_words).where("doc_id = component_id").select("doc_id"), "kept")
-    kept = docs.join(ids.distinct(), "doc_id", "left_semi")
-    if ids.groupBy("doc_id").count().where("count > 1").isEmpty() is False:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    # each row under its number, so that groups are of rows whatever their ids
+    numbered = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), radius, shingle_words).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns), "__row")
+    kept = stored(rows.select("__row", order.alias("o")).join(numbered, "__row").groupBy("__group").agg(F.min("o").alias("least")).select("least.__row"), "kept")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)

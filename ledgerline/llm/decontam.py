@@ -132,7 +132,7 @@ def sample_keys(got: dict, maps: list[np.ndarray], sample: tuple[int, ...], salt
 class Items:
     """Benchmark items in the form that documents are searched with."""
 
-    def __init__(self, items: list[tuple[int, str]], p: DecontamParams):
+    def __init__(self, items: list[tuple[int | None, str]], p: DecontamParams):
         self.p = p
         self.ids, self.words = [], []
         for key, text in items:
@@ -188,7 +188,7 @@ class Items:
         return out
 
     def matches(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(text, item id, edits, end word within the text) of verified leaks, the best of each text and item."""
+        """(text, place of the item in ``ids``, edits, end word within the text) of verified leaks, the best of each text and item."""
         found = {}
         for i, spans in self.candidates(hashes).items():
             n = len(self.words[i])
@@ -209,7 +209,7 @@ class Items:
                         old = found.get((doc, i))
                         if old is None or edits < old[0]:
                             found[doc, i] = (edits, lo + end - int(first[doc]))
-        return sorted((doc, self.ids[i], edits, end) for (doc, i), (edits, end) in found.items())
+        return sorted((doc, i, edits, end) for (doc, i), (edits, end) in found.items())
 
 
 def places(pattern: np.ndarray) -> dict[int, int]:
@@ -251,18 +251,18 @@ def edit_distance_within(at: dict[int, int], m: int, text: np.ndarray, most: int
 def _item_blocks(benchmark: DataFrame, p: DecontamParams) -> list:
     """Broadcasts of the items, each of bounded size; one pass over the documents is made for each."""
     spark = benchmark.sparkSession
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL")
     n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-n_bytes // p.items_bytes)
     out = []
     for block in range(n):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block) if n > 1 else items
-        out.append(spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in own.collect())))
+        out.append(spark.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))))
     return out
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamParams(), text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that leak no item (see ``leaks``); no row moves between tasks."""
+    """The rows of ``docs``, with all their columns, that leak no item, with an id or without (see ``leaks``); no row moves between tasks."""
     at = docs.columns.index(text)
     for shared in _item_blocks(benchmark, p):
 
@@ -283,7 +283,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamPar
 
     One row for each pair, with the best edit distance.  Null and empty texts leak
     nothing, an item without a word is never leaked, items that repeat are found
-    each under its id, and document rows that repeat give rows each.  Empty tables
+    each under its id, items without an id are searched as any other and found under
+    a null item_id, and document rows that repeat give rows each.  Empty tables
     give no rows.  Whole texts are searched.
     """
     fed = docs.select(F.col(f"`{key}`").alias(key), F.col("text").alias("__text"))
@@ -293,14 +294,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamPar
 
         def run(batches, shared=shared):
             made = Items(shared.value, p)
-            size = {k: len(h) for k, h in zip(made.ids, made.words, strict=True)}
             for b in batches:
                 for at, _, data, offs in text_chunks(b.column(1), CHUNK_BYTES // 2):
                     hits = made.matches(*word_hashes(data, offs))
                     if hits:
                         doc, item, edits, end = zip(*hits, strict=True)
                         yield pa.RecordBatch.from_arrays(
-                            [b.column(0).take(pa.array([at + d for d in doc])), pa.array(item, pa.int64()), pa.array(edits, pa.int32()), pa.array([1 - e / size[i] for e, i in zip(edits, item, strict=True)]), pa.array(end, pa.int64())],
+                            [b.column(0).take(pa.array([at + d for d in doc])), pa.array([made.ids[i] for i in item], pa.int64()), pa.array(edits, pa.int32()), pa.array([1 - e / len(made.words[i]) for e, i in zip(edits, item, strict=True)]), pa.array(end, pa.int64())],
                             names=[key, "item_id", "edits", "similarity", "end_word"],
                         )
 

@@ -68,3 +68,11 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.leaks(some, none).collect() == []
     assert decontam.leaks(some.limit(0), spark.createDataFrame([(1, "a b")], "item_id long, text string")).collect() == []
+
+
+def test_items_without_an_id_are_searched(spark):
+    one, two = "some passage of the benchmark without any id", "another and longer passage of it that has no id of its own either"
+    items = spark.createDataFrame([(None, one), (None, two), (7, "an item with an id of its own")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {one} after"), (2, f"{two} after"), (3, "clean"), (4, "an item with an id of its own")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id or 0, r.similarity) for r in decontam.leaks(docs, items).collect()) == [(1, 0, 1.0), (2, 0, 1.0), (4, 7, 1.0)]
+    assert [r.doc_id for r in decontam.keep_clean(docs, items).collect()] == [3]

@@ -32,9 +32,8 @@ class QualityParams:
     #: Upper bound of a row's dual variable.
     c: float = 1.0
     epochs: int = 12
-    #: One part in so many of the drawn rows only fits the logistic curve; with few rows, each part in turn.
+    #: Parts of the drawn rows; each is left out in turn, so that the curve sees them all.
     folds: int = 5
-    few_rows: int = 3000
     threshold: float = 0.7
     seed: int = 11
 
@@ -158,10 +157,8 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, p: QualityParams = QualityPa
         share = (float(y.sum()) + 1) / (len(y) + 2)
         return QualityModel(np.zeros(1 << p.bits), 0.0, 1.0, float(np.log(share / (1 - share))), p.bits)
     part = np.random.default_rng(p.seed).permutation(len(y)) % p.folds
-    # with few rows every part is left out in turn, so that the curve sees them all
-    turns = range(p.folds if len(y) < p.few_rows else 1)
     margin, truth = [], []
-    for k in turns:
+    for k in range(p.folds):
         fit = np.flatnonzero(part != k)
         if len(set(y[fit])) < 2:
             continue
@@ -169,10 +166,8 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, p: QualityParams = QualityPa
         own = np.flatnonzero(part == k)
         margin += [w[rows[i]].sum() / np.sqrt(max(1, len(rows[i]))) + b for i in own]
         truth += [y[i] for i in own]
-    if len(turns) > 1:
-        w, b = _fit_once(rows, y, p)
+    w, b = _fit_once(rows, y, p)
     if len(set(truth)) < 2:
-        w, b = _fit_once(rows, y, p)
         margin, truth = [w[r].sum() / np.sqrt(max(1, len(r))) + b for r in rows], y
     return QualityModel(w, b, *logistic_curve(np.array(margin), np.array(truth)), p.bits)
 

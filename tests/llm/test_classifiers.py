@@ -99,3 +99,12 @@ def test_words_end_with_their_text():
         starts, ends, first = words(data, offs)
         assert first.tolist() == [0, 2, 2, 2, 3, 4]
         assert [bytes(data[s:e]) for s, e in zip(starts, ends)] == [b"a", b"b", b"c", b"d"]
+
+
+def test_quality_is_fitted_to_all_rows_at_any_size():
+    rng = np.random.default_rng(4)
+    for n in (200, 3200):
+        rows = [np.unique(np.append(rng.integers(0, 40, 6), 50 + (i % 2))) for i in range(n)]
+        y, p = np.arange(n) % 2, quality.QualityParams(bits=6, epochs=2)
+        model, (w, b) = quality.fit_rows(rows, y, p), quality._fit_once(rows, y, p)
+        assert (model.weights == w).all() and model.bias == b

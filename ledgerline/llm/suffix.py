@@ -17,12 +17,18 @@ strings can only repeat around anchors whose cores repeat, and
    context finds its range by binary search, so equal strings meet in one shard.
    A core with very many contexts is split by what a string's place lets be
    compared (hash of the bytes that strings at neighbouring places share);
-4. a shard makes suffix arrays of its contexts, of what follows the anchors and of what
-   precedes them, by Larsson and Sadakane's refinement of groups in numpy, and the
-   common prefixes of neighbours; runs that two contexts share in both arrays are the
+4. a shard sorts the suffixes at its anchors, onwards and backwards, by refining
+   groups of equal beginnings until each is down to one row, and takes the common
+   prefixes of neighbours; runs that two contexts share in both arrays are the
    strings that they share.
 
-Hashes of 64 bits stand for cores and contexts; two for a context.
+What step 4 sorts are sparse arrays: groups are refined by their next bytes, where
+Larsson and Sadakane's algorithm takes the ranks of later suffixes, which a sparse
+array doesn't have; for the same reason common prefixes come from comparing
+neighbours and not from Kasai's walk.  Step 2 settles most of what repeats.
+
+A 64-bit hash stands for a core; for a context another, of two hashes of its bytes
+mixed with its place and length.
 """
 
 from __future__ import annotations
@@ -272,7 +278,8 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
     dealt = contexts.repartitionByRange(n, "core").sortWithinPartitions("core").select("core", "k1", "k2", "low", "blob", "anchor")
 
     def compare(rows):
-        rows = list({(r[0], r[1], r[2], r[3]): r for r in rows}.values())  # rows that are the same give one context
+        # rows that are the same give one context; at a document's start several anchors share a core and low
+        rows = list({(r[0], r[1], r[2], r[3], r[5], len(r[4])): r for r in rows}.values())
         cores = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1].ravel()
         k1, k2, low, anchor = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 5))
         marked = repeated_places(cores, [r[4] for r in rows], anchor, length)

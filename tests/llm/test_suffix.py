@@ -57,6 +57,20 @@ def test_removed_bytes_match_brute_force(spark, many):
     assert sorted((tuple(r) for r in got), key=repr) == plain(rows, 400)
 
 
+def test_periodic_texts_match_brute_force(spark):
+    """Runs of one repeated word, of many periods, at the starts and in the middle of documents."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(120):
+        unit = "".join(rng.choices("abcdefgé ", k=rng.choice([1, 2, 3, 7, 16, 17, 40, 144, 145, 146, 255, 256, 257, 300])))
+        lead = "".join(rng.choices("xyz ", k=rng.choice([0, 0, 1, 20, 300])))
+        rows.append((i, lead + unit * rng.randint(1, 1500 // len(unit) + 1) + "".join(rng.choices("uvw", k=rng.choice([0, 5, 200])))))
+    rows += [(200 + i, "word " * k) for i, k in enumerate((79, 80, 81, 130, 900))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix.drop_repeats(df).drop("kept").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == plain(rows, 400)
+
+
 def test_empty_table(spark):
     assert suffix.drop_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

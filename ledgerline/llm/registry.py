@@ -30,7 +30,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+    left = suffix.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # cuts are at any byte: what is left of a cut character reads as the replacement character
+    return left.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

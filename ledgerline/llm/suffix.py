@@ -319,34 +319,52 @@ def _split(contexts: DataFrame, length: int, places: int, width: int) -> DataFra
     return contexts.select("core", "k1", "k2", "low", "blob", "anchor").mapInArrow(run, "core long, k1 long, k2 long, low int, blob binary, anchor int")
 
 
+def _those_in(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``rows`` whose keys are in ``wanted`` (keys, each once, and n, its number of rows).
+
+    Keys of more than a ten-thousandth of all rows (10,000 rows at least) are looked
+    up by a broadcast, of ten thousand keys at most, so that none is one task's work.
+    """
+    total, most = wanted.agg(F.sum("n"), F.max("n")).first()
+    limit = max(10_000, (total or 0) // 10_000)
+    few = rows.join(wanted.where(F.col("n") <= limit).select(*keys), keys, "left_semi")
+    if (most or 0) <= limit:
+        return few
+    hot = F.broadcast(wanted.where(F.col("n") > limit).select(*keys))
+    return rows.join(hot, keys, "left_anti").join(wanted.where(F.col("n") <= limit).select(*keys), keys, "left_semi").union(rows.join(hot, keys, "left_semi"))
+
+
 def repeated_spans(docs: DataFrame, length: int = 400, core_contexts: int = CORE_CONTEXTS) -> DataFrame:
     """(k1, k2, low, high) of stretches of the documents whose ``length``-byte strings all start elsewhere too."""
     if length < WINDOW + GRAM:
         raise ValueError(f"strings have {WINDOW + GRAM} bytes at least")
-    keyed = _keyed(docs)
-    table = stored(_anchor_table(keyed, length), "anchors")
-    cores = table.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
-    shared = stored(table.join(cores.select("core", (F.col("least") != F.col("most")).alias("mixed")), "core"), "repeated")
-    discard(table)
-    done = shared.where("NOT mixed").select("k1", "k2", "low", "high")
-    mixed = shared.where("mixed")
-    contexts = mixed.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "low", "high", "lead")).alias("one"))
-    contexts = stored(contexts, "contexts")
-    again = mixed.join(contexts.where("n > 1").select("core", "context"), ["core", "context"], "left_semi").select("k1", "k2", "low", "high")
-    blobs = stored(_cut(keyed, contexts.select("core", "one.*")), "blobs")
-    found = done.union(again)
+    keyed, read = _keyed(docs), []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        read.append(stored(df, name))
+        return read[-1]
+
+    table = kept(_anchor_table(keyed, length), "anchors")
+    contexts = kept(table.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "low", "high", "lead")).alias("one")), "contexts")
+    # a context that is there again needs no comparison, and a core with one context has nothing to be compared with
+    found = _those_in(table, contexts.where("n > 1").select("core", "context", "n"), ["core", "context"]).select("k1", "k2", "low", "high")
+    cores = kept(contexts.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cores")
+    blobs = kept(_cut(keyed, _those_in(contexts, cores, ["core"]).select("core", "one.*")), "blobs")
     for places, width in zip(PLACES, (*PLACES[1:], 0), strict=True):
-        many = blobs.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > core_contexts).select("core")
-        many = stored(many, "many")
+        many = kept(blobs.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > core_contexts), "many")
         if many.isEmpty() or not width:
-            return found.union(_compare(blobs, length))
+            found = found.union(_compare(blobs, length))
+            break
         found = found.union(_compare(blobs.join(many, "core", "left_anti"), length))
-        parts = stored(_split(blobs.join(many, "core", "left_semi"), length, places, width).withColumn("context", F.sha2("blob", 256)), "parts")
-        counts = parts.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "low", "blob", "anchor")).alias("one"))
-        twice = parts.join(counts.where("n > 1").select("core", "context"), ["core", "context"], "left_semi")
+        parts = kept(_split(_those_in(blobs, many, ["core"]), length, places, width).withColumn("context", F.sha2("blob", 256)), "parts")
+        counts = kept(parts.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "low", "blob", "anchor")).alias("one")), "counts")
+        twice = _those_in(parts, counts.where("n > 1").select("core", "context", "n"), ["core", "context"])
         found = found.union(twice.select("k1", "k2", "low", (F.col("low") + F.octet_length("blob")).cast("int").alias("high")))
-        blobs = stored(counts.select("core", "one.*"), "blobs")
-    return found
+        blobs = kept(counts.select("core", "one.*"), "blobs")
+    spans = stored(found, "spans")
+    for t in read:
+        discard(t)
+    return spans
 
 
 def drop_repeats(docs: DataFrame, length: int = 400, core_contexts: int = CORE_CONTEXTS) -> DataFrame:

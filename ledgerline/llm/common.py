@@ -20,9 +20,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(app := spark.sparkContext.applicationId)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = _OWN[app] = f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
     return found.rstrip("/")
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import discard, stored
 
 #: A word, as the sizes count it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -96,26 +96,30 @@ def sainte_lague(parties: DataFrame, house: Column, votes: str, key: str, within
     return base.join(change, [*within, key], "left").withColumn(out, F.col("__seats") + F.coalesce("__change", F.lit(0))).drop("__house", "__all", "__share", "__seats", "__short", "__reach", "__change")
 
 
-def apportion(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
-    """doc_id, source, size, source_size, target, passes, pieces (from, words) and taken of each row of ``docs``.
+def _order(p: MixParams, doc_id: Column) -> Column:
+    """The place of a row in its shard's line: md5 of the seed and the id."""
+    return F.md5(F.concat(F.lit(p.seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
-    A row gives ``passes`` whole copies and the word spans of ``pieces``.  Null
-    texts have size 0 and give nothing; a null source is a source of its own, the
-    last.  Repeated rows are rows of their own.  Reruns agree: order and runs come
-    from md5 of the seed and the id.
+
+def _shard(order: Column, shards: Column) -> Column:
+    return F.conv(F.substring(order, 1, 8), 16, 10).cast("long") % shards
+
+
+def _laid(docs: DataFrame, p: MixParams) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows on their shards' lines, sources with their blocks and shards, the stored sizes).
+
+    A row lies from ``lo`` to ``hi`` words on its line; the shard's run is from a to b,
+    and what passes the line's end n goes on at its start.
     """
-    hashed = F.md5(F.concat(F.lit(p.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = stored(sizes(docs).withColumn("order", hashed), "sizes")
+    rows = stored(sizes(docs).withColumn("order", _order(p, F.col("doc_id"))), "sizes")
     per_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), p)
     blocks = F.ceil(F.sum("source_size").over(Window.partitionBy(F.lit(1))) / p.block)
     quota = sainte_lague(per_source.withColumn("__blocks", blocks), F.col("__blocks"), "target", "number", [], "blocks").drop("__blocks")
     quota = stored(quota.withColumn("shards", F.least(F.ceil(F.col("n_docs") / p.shard_rows), F.lit(p.most_shards)).cast("long")), "quota")
-    placed = rows.join(quota.select(F.col("source").alias("name"), "number", "source_size", "target", "shards"), F.col("source").eqNullSafe(F.col("name"))).withColumn(
-        "shard", F.conv(F.substring("order", 1, 8), 16, 10).cast("long") % F.col("shards")
-    )
+    placed = rows.join(quota.select(F.col("source").alias("name"), "number", "source_size", "target", "shards"), F.col("source").eqNullSafe(F.col("name"))).withColumn("shard", _shard(F.col("order"), F.col("shards")))
     shards = placed.groupBy("number", "shard").agg(F.sum("size").alias("shard_size")).join(quota.select("number", "blocks"), "number")
     shards = sainte_lague(shards, F.col("blocks"), "shard_size", "shard", ["number"], "quota").select("number", "shard", "shard_size", "quota")
-    line = Window.partitionBy("number", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("number", "shard").orderBy("order", "size", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = F.greatest(F.ceil(F.col("shard_size") / p.block), F.lit(1))
     start = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(p.seed), F.col("number"), F.col("shard")).cast("binary")), 1, 8), 16, 10).cast("long") % whole
     chosen = (
@@ -126,38 +130,89 @@ def apportion(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
         .withColumn("run_from", start)
         .select("number", "shard", "passes", (F.col("run_from") * p.block).alias("a"), ((F.col("run_from") + F.col("run")) * p.block).alias("b"), (F.col("whole") * p.block).alias("n"))
     )
-    end = F.sum("size").over(line)
-    laid = placed.withColumn("hi", end).withColumn("lo", F.col("hi") - F.col("size")).join(chosen, ["number", "shard"])
+    laid = placed.withColumn("hi", F.sum("size").over(line)).withColumn("lo", F.col("hi") - F.col("size")).join(chosen, ["number", "shard"])
     # the run may pass the end of the line and go on at its start
     low1, high1 = F.greatest("lo", "a"), F.least("hi", F.least("b", "n"))
     high2 = F.least(F.col("hi"), F.col("b") - F.col("n"))
     piece = lambda low, high: F.when(high > low, F.struct((low - F.col("lo")).alias("from"), (high - low).alias("words")))
     pieces = F.filter(F.array(piece(F.col("lo"), high2), piece(low1, high1)), lambda x: x.isNotNull())
-    return (
-        laid.withColumn("pieces", pieces)
-        .withColumn("taken", F.col("passes") * F.col("size") + F.aggregate("pieces", F.lit(0).cast("long"), lambda total, x: total + x["words"]))
-        .select("doc_id", "source", "tag", "size", "source_size", "target", "passes", "pieces", "taken")
-    )
+    return laid.withColumn("pieces", pieces), quota, rows
+
+
+def apportion(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
+    """doc_id, source, size, source_size, target, passes, pieces (from, words) and taken of each row of ``docs``.
+
+    A row gives ``passes`` whole copies and the word spans of ``pieces``.  Null
+    texts have size 0 and give nothing; a null source is a source of its own, the
+    last.  Repeated rows are rows of their own.  Reruns agree: order and runs come
+    from md5 of the seed and the id.
+    """
+    laid, _, _ = _laid(docs, p)
+    taken = F.col("passes") * F.col("size") + F.aggregate("pieces", F.lit(0).cast("long"), lambda total, x: total + x["words"])
+    return laid.withColumn("taken", taken).select("doc_id", "source", "tag", "size", "source_size", "target", "passes", "pieces", "taken")
+
+
+def shard_rules(docs: DataFrame, p: MixParams = MixParams()) -> tuple[DataFrame, DataFrame]:
+    """(sources, rules): what tells, of any row of ``docs`` by itself, what the mix takes of it.
+
+    A shard's run covers its line from one row to another, so a rule needs the keys
+    (order, size, tag) of the first and last rows that are covered whole, before and
+    after the line's end, and the few rows that are covered in part.  Rows that are
+    the same in id and text can't be told apart: where a run ends among them they are
+    one exception, with what all of them give.
+    """
+    laid, quota, sizes_ = _laid(docs, p)
+    key = F.struct("order", "size", "tag")
+    whole = F.transform("pieces", lambda x: x["words"] == F.col("size"))
+    state = F.when(F.size("pieces") == 0, 0).when(F.exists(whole, lambda x: x), F.when(F.col("lo") >= F.col("a"), 1).otherwise(2)).otherwise(3)
+    peers = Window.partitionBy("number", "shard").orderBy("order", "size", "tag").rangeBetween(Window.currentRow, Window.currentRow)
+    rows = laid.where("size > 0").withColumn("state", state)
+    rows = rows.withColumn("odd", (F.col("state") == 3) | (F.min("state").over(peers) != F.max("state").over(peers)))
+    rows = rows.select("number", "shard", "passes", "state", "odd", key.alias("key"), "pieces")
+    plain = lambda k: F.when(~F.col("odd") & (F.col("state") == k), F.col("key"))
+    ranges = rows.groupBy("number", "shard").agg(F.first("passes").cast("int").alias("passes"), *(f(plain(k)).alias(f"{name}{k}") for k in (1, 2) for f, name in ((F.min, "low"), (F.max, "high"))))
+    odd = rows.where("odd").groupBy("number", "shard", "key").agg(F.count(F.lit(1)).cast("int").alias("same"), F.count_if(F.col("state").isin(1, 2)).cast("int").alias("copies"), F.flatten(F.collect_list(F.when(F.col("state") == 3, F.col("pieces")))).alias("parts"))
+    odd = odd.groupBy("number", "shard").agg(F.collect_list(F.struct("key.order", "key.tag", "same", "copies", "parts")).alias("odd"))  # four at most
+    rules = stored(ranges.join(odd, ["number", "shard"], "left"), "rules")
+    discard(sizes_)
+    return quota, rules
 
 
 def realise(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """The mix itself: the rows of ``docs``, repeated as often as they are taken whole, and rows with the pieces taken.
 
     Columns are those of ``docs``; a piece has its own words, one space apart, and
-    its own n_chars if there is such a column.  Rows are told apart by doc_id and
-    text; rows that are the same in both count once, with what both give.
+    its own n_chars if there is such a column.  Texts stay where they are: each row
+    finds its source and shard by hash and decides by the shard's rule, a table of
+    one row for about ``shard_rows`` documents, sent as its size allows.
     """
-    given = apportion(docs.select("doc_id", "source", "text"), p).where("taken > 0")
-    given = given.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.sum("passes").cast("int").alias("__passes"), F.flatten(F.collect_list("pieces")).alias("__pieces"), F.count(F.lit(1)).alias("__same"))
-    given = stored(given, "given")
-    whole = F.when(F.col("__passes") > 0, F.array_repeat(F.struct(F.lit(0).cast("long").alias("from"), F.lit(-1).cast("long").alias("words")), F.col("__passes"))).otherwise(F.array().cast("array<struct<from:bigint,words:bigint>>"))
-    joined = docs.withColumn("__t", F.xxhash64("text")).join(given, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__tag")))
-    if given.where("__same > 1").isEmpty() is False:
-        joined = joined.dropDuplicates(["doc_id", "__t"])
-    taken = joined.select(*docs.columns, F.explode(F.concat(whole, "__pieces")).alias("__piece"))
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("__piece.from") + 1).cast("int"), F.col("__piece.words").cast("int"))
-    text = F.when(F.col("__piece.words") < 0, F.col("text")).otherwise(F.array_join(words, " "))
-    out = taken.withColumn("text", text)
+    quota, rules = shard_rules(docs.select("doc_id", "source", "text"), p)
+    c = F.col
+    named = quota.select(c("source").alias("__name"), c("number").alias("__number"), c("shards").alias("__shards"))
+    ruled = rules.select(c("number").alias("__number"), c("shard").alias("__shard"), *(c(x).alias(f"__{x}") for x in rules.columns if x not in ("number", "shard")))
+    rows = docs.where(c("text").rlike(WORD)).withColumn("__order", _order(p, c("doc_id"))).withColumn("__tag", F.xxhash64("text"))
+    rows = rows.join(named, c("source").eqNullSafe(c("__name"))).withColumn("__shard", _shard(c("__order"), c("__shards"))).join(ruled, ["__number", "__shard"])
+    # sizes are counted at the ends of a run only
+    key = F.struct(c("__order").alias("order"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), c("__tag").alias("tag"))
+
+    def inside(k: int) -> Column:
+        low, high = c(f"__low{k}"), c(f"__high{k}")
+        between = (c("__order") >= low["order"]) & (c("__order") <= high["order"])
+        end = (c("__order") == low["order"]) | (c("__order") == high["order"])
+        return F.when(~between | low.isNull(), F.lit(False)).when(end, key.between(low, high)).otherwise(F.lit(True))
+
+    rows = rows.withColumn("__own", F.get(F.filter("__odd", lambda x: (x["order"] == c("__order")) & (x["tag"] == c("__tag"))), F.lit(0)))
+    many = rules.where(F.exists("odd", lambda x: x["same"] > 1))
+    if not many.isEmpty():
+        one = F.coalesce(c("__own.same") > 1, F.lit(False))
+        rows = rows.where(~one).unionByName(rows.where(one).dropDuplicates(["__order", "__tag"]))
+    copies = F.when(c("__own").isNotNull(), c("__passes") * c("__own.same") + c("__own.copies")).otherwise(c("__passes") + (inside(1) | inside(2)).cast("int"))
+    span = "struct<from:bigint,words:bigint>"
+    complete = F.array_repeat(F.struct(F.lit(0).cast("long").alias("from"), F.lit(-1).cast("long").alias("words")), copies)
+    parts = F.coalesce(c("__own.parts"), F.array().cast(f"array<{span}>"))
+    taken = rows.select(*docs.columns, F.explode(F.concat(complete, parts)).alias("__piece"))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (c("__piece.from") + 1).cast("int"), c("__piece.words").cast("int"))
+    out = taken.withColumn("text", F.when(c("__piece.words") < 0, c("text")).otherwise(F.array_join(words, " ")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__piece.words") < 0, F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        out = out.withColumn("n_chars", F.when(c("__piece.words") < 0, c("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return out.select(*docs.columns)

@@ -1,14 +1,18 @@
 """Chat formatting in budgeted windows, with reversible escapes and a loss mask.
 
-Turns lie on a line of token counts per conversation.  Prefix sums cut the line at
-turn ends into spans of about half the budget; a turn over half the budget is a
-span of its own, so a window's new turns stay within the budget unless one single
-turn is over it (turns are never cut).  A window is a span with, before it, the
-system turn and a limited number of turns repeated from the span before.  The loss
-mask covers the assistant's new turns only, so each is a target exactly once.
+Turns lie on a line of token counts per conversation.  A window's budget holds the
+system turn, the history and the new turns, so new turns may use what the system
+turn and ``history_tokens`` leave of it.  Prefix sums cut the line at turn ends into
+spans of about half of that; a longer turn is a span of its own.  A window is a span
+with, before it, the system turn and a limited number of turns repeated from the
+span before, as far as they fit.  Turns are never cut and the system turn is always
+there: a window of one new turn that doesn't fit beside the system turn is
+marked ``over_budget``.  The loss mask covers the assistant's new turns only, so
+each is a target exactly once.
 
 Everything is DataFrame functions: windows over the conversation, one explode of
-turns to their windows, one grouping by window.
+turns to their windows, one grouping by window.  A conversation's turns are ordered
+and digested as one, so a conversation has to fit in a task.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class ChatParams:
-    #: Tokens (words, and ``overhead`` a turn) of a window's new turns.
+    #: Tokens (words, and ``overhead`` a turn) of a window, context included.
     budget: int = 1024
     overhead: int = 4
     #: Turns repeated from the span before, at most, and their tokens.
@@ -54,7 +58,7 @@ def unescape_role(role: Column) -> Column:
 
 
 def format_windows(turns: DataFrame, p: ChatParams = ChatParams()) -> DataFrame:
-    """conv_id, window (from 1), text, mask (start, end in code points), n_context and n_new of each window of ``turns``.
+    """conv_id, window (from 1), text, mask (start, end in code points), n_context, n_new, n_tokens and over_budget of each window of ``turns``.
 
     Turns are ordered by turn (null first), role and text; rows that repeat are
     turns of their own.  A null text or role is empty.  A null conv_id is a
@@ -64,21 +68,26 @@ def format_windows(turns: DataFrame, p: ChatParams = ChatParams()) -> DataFrame:
     line = conv.orderBy(F.col("turn").asc_nulls_first(), "role", "body")
     base = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("body"))
     tokens = F.regexp_count("body", F.lit(WORD)) + p.overhead
-    half = max(1, p.budget // 2)
     placed = base.withColumn("tokens", tokens).withColumn("pos", F.row_number().over(line))
     by_pos = conv.orderBy("pos")
     up_to = by_pos.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    system = F.min(F.when(F.col("role") == "system", F.struct("pos", "tokens"))).over(conv)
+    placed = placed.withColumn("sys", system).withColumns({"system": F.col("sys.pos"), "kept": F.coalesce("sys.tokens", F.lit(0))})
+    # half of what new turns may use: spans of whole turns of up to half stay within it
+    half = F.greatest(F.floor((p.budget - p.history_tokens - F.col("kept")) / 2), F.lit(1))
     placed = (
-        placed.withColumn("cell", F.floor((F.sum("tokens").over(up_to) - F.col("tokens")) / half))
-        .withColumn("long", F.col("tokens") > half)
+        placed.withColumn("half", half)
+        .withColumn("cell", F.floor((F.sum("tokens").over(up_to) - F.col("tokens")) / F.col("half")))
+        .withColumn("long", F.col("tokens") > F.col("half"))
         .withColumn("cut", F.coalesce(F.col("long") | F.lag("long").over(by_pos) | (F.lag("cell").over(by_pos) != F.col("cell")), F.lit(True)).cast("int"))
         .withColumn("span", F.sum("cut").over(up_to))
         .withColumn("spans", F.max("span").over(conv))
-        .withColumn("system", F.min(F.when(F.col("role") == "system", F.col("pos"))).over(conv))
+        .withColumn("next", F.sum("tokens").over(conv.orderBy("span").rangeBetween(1, 1)))
     )
     back = Window.partitionBy("conv_id", "span").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_system = F.coalesce(F.col("pos") == F.col("system"), F.lit(False))
-    repeats = (F.col("span") < F.col("spans")) & ~is_system & (F.sum("tokens").over(back) <= p.history_tokens) & (F.count(F.lit(1)).over(back) <= p.history_turns)
+    spare = F.least(F.lit(p.history_tokens), p.budget - F.col("kept") - F.col("next"))
+    repeats = (F.col("span") < F.col("spans")) & ~is_system & (F.sum("tokens").over(back) <= spare) & (F.count(F.lit(1)).over(back) <= p.history_turns)
     placed = placed.withColumn("repeats", repeats)
     place = lambda span, kind: F.struct(span.cast("long").alias("window"), F.lit(kind).alias("kind"))
     none = F.array().cast("array<struct<window:bigint,kind:int>>")
@@ -87,7 +96,7 @@ def format_windows(turns: DataFrame, p: ChatParams = ChatParams()) -> DataFrame:
         F.when(F.col("repeats"), F.array(place(F.col("span") + 1, 1))).otherwise(none),
         F.when(is_system & (F.col("span") < F.col("spans")), F.transform(F.sequence(F.col("span") + 1, F.col("spans")), lambda s: place(s, 0))).otherwise(none),
     )
-    shown = placed.select("conv_id", "pos", "role", "body", F.explode(places).alias("at")).select("conv_id", "pos", "at.*", F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit(": ")).alias("head"), escape(F.col("body")).alias("body"), (F.col("role") == p.target_role).alias("wanted"))
+    shown = placed.select("conv_id", "pos", "role", "body", "tokens", F.explode(places).alias("at")).select("conv_id", "pos", "tokens", "at.*", F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit(": ")).alias("head"), escape(F.col("body")).alias("body"), (F.col("role") == p.target_role).alias("wanted"))
     shown = shown.withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
     inside = Window.partitionBy("conv_id", "window").orderBy("kind", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.sum(F.length("piece").cast("long")).over(inside) - F.length("body") - len(END) - 1
@@ -100,7 +109,9 @@ def format_windows(turns: DataFrame, p: ChatParams = ChatParams()) -> DataFrame:
             F.sort_array(F.collect_list(F.when(target, F.struct("start", (F.col("start") + F.length("body")).alias("end"))))).alias("mask"),
             F.count_if(F.col("kind") < 2).alias("n_context"),
             F.count_if(F.col("kind") == 2).alias("n_new"),
+            F.sum("tokens").alias("n_tokens"),
         )
+        .withColumn("over_budget", F.col("n_tokens") > p.budget)
     )
 
 

@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express; written from the contracts, not from the plans."""
 
+from .chat import ChatParams
+
 MIX = r"""
 WITH doc AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents
@@ -32,26 +34,35 @@ WITH doc AS (
 SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(hi, least(b, n)) - greatest(hi - size, a)) + greatest(0, least(hi, b - n) - (hi - size)))::BIGINT AS taken FROM laid
 """
 
-CHAT = r"""
-WITH turn AS (
+_C = ChatParams()
+
+# A window's new turns, context and text are reckoned turn by turn in a recursion over the spans' numbers, without the plan's windows.
+CHAT = rf"""
+WITH RECURSIVE turn AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), coded AS (
-  SELECT *, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) + 4 AS tokens,
-    length(replace(replace(replace(body, '\', '\b'), '###', '\h'), '</turn>', '\t')) + length(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ':', '\c')) + 14 AS chars,
+  SELECT *, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) + {_C.overhead} AS tokens,
+    length(replace(replace(replace(body, '\', '\b'), '###', '\h'), '</turn>', '\t')) + length(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ':', '\c')) + length('### ' || ': ' || '</turn>' || chr(10)) AS chars,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body) AS pos
   FROM turn
-), cells AS (
-  SELECT *, (sum(tokens) OVER w - tokens) // 512 AS cell, tokens > 512 AS long FROM coded WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
-), cuts AS (
-  SELECT *, CASE WHEN lag(cell) OVER w IS NULL OR long OR lag(long) OVER w OR lag(cell) OVER w <> cell THEN 1 ELSE 0 END AS cut FROM cells WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
-), spans AS (SELECT *, sum(cut) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS span FROM cuts
+), conv AS (
+  SELECT conv_id, list({{'role': role, 'tokens': tokens, 'chars': chars}} ORDER BY pos) AS line, min(CASE WHEN role = 'system' THEN pos END) AS sys FROM coded GROUP BY conv_id
+), room AS (
+  SELECT *, coalesce(line[sys].tokens, 0) AS kept, greatest(({_C.budget} - {_C.history_tokens} - coalesce(line[sys].tokens, 0)) // 2, 1) AS half FROM conv
+), summed AS (
+  SELECT *, list_transform(range(1, len(line) + 1), lambda i: list_sum(list_transform(line[1:i], lambda x: x.tokens))::BIGINT - line[i].tokens) AS before FROM room
+), walk AS (
+  SELECT conv_id, 1 AS pos, 1 AS span FROM summed
+  UNION ALL
+  SELECT w.conv_id, w.pos + 1, w.span + CASE WHEN line[pos + 1].tokens > half OR line[pos].tokens > half OR before[pos + 1] // half <> before[pos] // half THEN 1 ELSE 0 END
+  FROM walk w JOIN summed USING (conv_id) WHERE w.pos < len(line)
 ), known AS (
-  SELECT *, max(span) OVER (PARTITION BY conv_id) AS spans, min(CASE WHEN role = 'system' THEN pos END) OVER (PARTITION BY conv_id) AS sys,
-    sum(tokens) OVER b AS back_tokens, count(*) OVER b AS back_turns
-  FROM spans WINDOW b AS (PARTITION BY conv_id, span ORDER BY pos DESC ROWS UNBOUNDED PRECEDING)
+  SELECT c.*, w.span, s.sys, s.kept, max(w.span) OVER (PARTITION BY conv_id) AS spans, sum(tokens) OVER (PARTITION BY conv_id, w.span ORDER BY c.pos DESC) AS back_tokens, count(*) OVER (PARTITION BY conv_id, w.span ORDER BY c.pos DESC) AS back_turns
+  FROM coded c JOIN walk w USING (conv_id, pos) JOIN summed s USING (conv_id)
+), following AS (SELECT conv_id, span - 1 AS span, sum(tokens) AS next FROM known GROUP BY conv_id, span
 ), shown AS (
-  SELECT *, 1 + CASE WHEN pos IS NOT DISTINCT FROM sys THEN spans - span WHEN span < spans AND back_tokens <= 256 AND back_turns <= 2 THEN 1 ELSE 0 END AS times FROM known
+  SELECT known.*, 1 + CASE WHEN pos IS NOT DISTINCT FROM sys THEN spans - span WHEN span < spans AND back_turns <= {_C.history_turns} AND back_tokens <= least({_C.history_tokens}, {_C.budget} - kept - next) THEN 1 ELSE 0 END AS times FROM known LEFT JOIN following USING (conv_id, span)
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY pos)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(body) ELSE 0 END)::BIGINT AS loss_chars, sha256(coalesce(string_agg(body, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,

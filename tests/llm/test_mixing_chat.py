@@ -116,12 +116,37 @@ def test_chat_round_trip(spark):
     for w in shown:
         parts = w.text.split(chat.END + "\n")[:-1]
         assert len(parts) == w.n_context + w.n_new
-        new = sum(len(p.split()) for p in parts[w.n_context :])
-        assert w.n_new == 1 or new <= 1200
+        assert w.n_tokens <= 1024 or (w.over_budget and w.n_new == 1)
         assert w.n_context <= 1 + chat.ChatParams.history_turns
     assert chat.digests(chat.format_windows(df.limit(0))).collect() == []
 
 
+def test_windows_stay_within_the_budget(spark):
+    """Context counts; a turn that doesn't fit beside the system turn is alone and marked."""
+    rng = random.Random(6)
+    say = lambda n: "w " * n
+    rows = []
+    for c, head in enumerate([0, 10, 100, 700, 760, 764, 1000, 1100, 3000]):
+        rows += [(c, 0, "system", say(head))] * (head > 0)
+        rows += [(c, t, rng.choice(["user", "assistant"]), say(rng.choice([3, 40, 100, 100, 250, 383, 384, 600, 1015, 2000]))) for t in range(1, 40)]
+    rows += [(50, t, "assistant", say(100)) for t in range(29)] + [(50, 7, "system", say(200))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    shown = chat.read_turns(chat.format_windows(df)).collect()
+    for w in shown:
+        parts = w.text.split(chat.END + "\n")[:-1]
+        assert w.n_tokens == sum(len(x.split(": ", 1)[1].split()) + 4 for x in parts)
+        assert w.over_budget == (w.n_tokens > 1024)
+        if w.over_budget:
+            kept = next((len(x[3].split()) + 4 for x in rows if x[0] == w.conv_id and x[2] == "system"), 0)
+            assert w.n_new == 1 and kept + len(w.turns[0].text.split()) + 4 > 1024 - 256
+    by = {c: sorted((w.window, w) for w in shown if w.conv_id == c) for c in {w.conv_id for w in shown}}
+    for c, own in by.items():
+        assert [(t.role, t.text) for _, w in own for t in w.turns] == [(r, x) for i, _, r, x in sorted(rows, key=lambda r: (r[1], r[2], r[3])) if i == c]
+        if c not in (0, 50):
+            assert all(w.text.startswith("### system: ") for _, w in own)
+    assert not any(w.over_budget for _, w in by[50])
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.text(alphabet="\\#</turn>hbtc: \n", max_size=30), min_size=1, max_size=20))
 def test_escapes_are_reversible(spark, texts):

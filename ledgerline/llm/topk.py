@@ -75,9 +75,10 @@ class Best:
         r = queries @ turn
         self.partial, self.rest = np.ascontiguousarray(r[:, : self.head]), np.sqrt((r[:, self.head :] ** 2).sum(1))
         self.norm = np.sqrt((queries**2).sum(1))
+        self.whole = queries.astype(np.int64)
         self.turn = turn
         self.floor = np.full(len(ids), -np.inf) if floor is None else floor.copy()
-        self.kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, vec_id, score
+        self.kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # query, vec_id, score
 
     def add(self, ids: np.ndarray, v: np.ndarray) -> None:
         """Take a tile of candidates; a query that its longest can't help passes over it."""
@@ -93,11 +94,12 @@ class Best:
         i = live[i]
         other = self.ids[i] != ids[j]
         i, j = i[other], j[other]
-        score = np.empty(len(i))
+        score = np.empty(len(i), np.int64)
+        q, v = self.whole, v.astype(np.int64)
         for at in range(0, len(i), 1 << 15):
             s = slice(at, at + (1 << 15))
-            score[s] = (self.q[i[s]] * v[j[s]]).sum(1)  # whole numbers far below 2 ** 53: exact
-        good = score >= self.floor[i]
+            score[s] = (q[i[s]] * v[j[s]]).sum(1)  # exact: ``top_k`` refuses vectors whose scores could pass 2 ** 63
+        good = score + slack[i] >= self.floor[i]
         self._keep(i[good], ids[j[good]], score[good])
 
     def _keep(self, i: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
@@ -116,7 +118,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both have vec_id and v (whole numbers); a query's own id is no candidate for it,
     and fewer candidates give fewer rows.  Vectors of several lengths are compared
-    as if the shorter ended in zeros.  No rows on either side give no rows.
+    as if the shorter ended in zeros.  No rows on either side give no rows.  Scores are
+    whole numbers below 2 ** 63; vectors that could pass that raise an error.  One block of
+    queries is held at a time.
     """
     spark = candidates.sparkSession
     n = partitions(spark)
@@ -131,6 +135,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     if not n_queries or not facts[1]:
         return empty
     width = max(1, facts[0], q_width)
+    largest = [t.agg(F.max(F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x.cast("double")))))).first()[0] for t in (sorted_rows, asked)]
+    if float(largest[0]) * float(largest[1]) * width >= 2.0**63:
+        raise ValueError("scores pass 2 ** 63")
     turn = rotation(sorted_rows, width)
     # a bounded sample of candidates: any subset gives valid thresholds
     probe = sorted_rows.select("vec_id", "v").where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, facts[1] // PROBE))) == 0).limit(2 * PROBE).toArrow()
@@ -161,6 +168,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(v), pa.array(s.astype(np.int64))], names=["query_id", "vec_id", "score"])
 
         part = sorted_rows.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+        if n_blocks > 1:
+            part = stored(part, "block")
+            shared.destroy()
         found = part if found is None else found.union(part)
     if found is None:
         return empty

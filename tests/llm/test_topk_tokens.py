@@ -1,11 +1,14 @@
 """Top-k against all scores; token files against the tokenizers library."""
 
+import functools
 import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
@@ -101,3 +104,27 @@ def test_blocks_of_queries_give_the_same(spark, monkeypatch):
     df = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 4 = 0"), 3).collect())
     assert got == plain_top(rows, 3, lambda i: i % 4 == 0)
+
+
+def test_large_scores_are_exact(spark):
+    """Scores past 2 ** 53, where doubles are no longer exact; past 2 ** 63 there is an error."""
+    rng = np.random.default_rng(12)
+    rows = [(i, (rng.choice([-1.0, 1.0], 8) * (2.0**20 + rng.integers(0, 3, 8) / 256)).tolist()) for i in range(120)]
+    df = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 4 = 0"), 3).collect())
+    assert got == plain_top(rows, 3, lambda i: i % 4 == 0) and max(r[3] for r in got) > 1 << 53
+    huge = topk.integer_vectors(spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>"))
+    with pytest.raises(ValueError, match="2 .. 63"):
+        topk.top_k(huge, huge, 1)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aB9 .,'-_<|>\n\tÀßé×\x00\x1c日я"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=12))
+def test_encoder_equals_the_library_on_any_text(texts):
+    made, t = _encoder()
+    assert list(made.encode(pa.array(texts, pa.string()))) == [np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u2").tobytes() for x in texts]
+
+
+@functools.cache
+def _encoder():
+    return tokenids.Encoder(tokenids.definition_of(PATH)), Tokenizer.from_file(PATH)

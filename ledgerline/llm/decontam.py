@@ -18,14 +18,16 @@ verified by an exact bit-parallel edit distance with free ends in the document.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, LOWER, mix, run_hashes, text_chunks, words
+from .common import CHUNK_BYTES, LOWER, mix, run_hashes, stored, text_chunks, words
 
 
 @dataclass(frozen=True)
@@ -248,23 +250,24 @@ def edit_distance_within(at: dict[int, int], m: int, text: np.ndarray, most: int
     return best, end
 
 
-def _item_blocks(benchmark: DataFrame, p: DecontamParams) -> list:
-    """Broadcasts of the items, each of bounded size; one pass over the documents is made for each."""
+def _item_blocks(benchmark: DataFrame, p: DecontamParams) -> Iterator[tuple[int, Broadcast]]:
+    """(number of blocks, broadcast) of the items, each of bounded size; one pass over the documents is made for each."""
     spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").where("text IS NOT NULL")
     n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-n_bytes // p.items_bytes)
-    out = []
     for block in range(n):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block) if n > 1 else items
-        out.append(spark.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))))
-    return out
+        yield n, spark.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamParams(), text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that leak no item, with an id or without (see ``leaks``); no row moves between tasks."""
+    """The rows of ``docs``, with all their columns, that leak no item, with an id or without (see ``leaks``); no row moves between tasks.
+
+    With several blocks of items the documents are written after each, so that one block is held at a time.
+    """
     at = docs.columns.index(text)
-    for shared in _item_blocks(benchmark, p):
+    for n, shared in _item_blocks(benchmark, p):
 
         def run(batches, shared=shared):
             made = Items(shared.value, p)
@@ -275,6 +278,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = Decont
                 yield b.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if n > 1:
+            docs = stored(docs, "clean")
+            shared.destroy()
     return docs
 
 
@@ -290,7 +296,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamPar
     fed = docs.select(F.col(f"`{key}`").alias(key), F.col("text").alias("__text"))
     schema = f"{key} {fed.schema[0].dataType.simpleString()}, item_id long, edits int, similarity double, end_word long"
     found = None
-    for shared in _item_blocks(benchmark, p):
+    for n, shared in _item_blocks(benchmark, p):
 
         def run(batches, shared=shared):
             made = Items(shared.value, p)
@@ -305,5 +311,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamPar
                         )
 
         part = fed.mapInArrow(run, schema)
+        if n > 1:
+            part = stored(part, "leaks")
+            shared.destroy()
         found = part if found is None else found.union(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)

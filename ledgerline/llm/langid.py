@@ -142,7 +142,10 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], y: list[str], p: Languag
 
 
 def training_rows(docs: DataFrame, p: LanguageParams) -> DataFrame:
-    """(lang, features, counts) of the drawn rows: not held out, with id, text and language."""
+    """(lang, features, counts) of the drawn rows: not held out, with id, text and language.
+
+    Repeated ids may give more rows than were drawn; which of them stay doesn't depend on the order of tasks.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = p.max_train / max(1, usable.count())
     drawn = usable.where(unit_hash(p.seed, F.col("doc_id")) < share).select("lang", "text")
@@ -159,7 +162,7 @@ def training_rows(docs: DataFrame, p: LanguageParams) -> DataFrame:
                     names=["lang", "features", "counts"],
                 )
 
-    return drawn.mapInArrow(take, "lang string, features array<int>, counts array<int>").limit(2 * p.max_train)
+    return drawn.mapInArrow(take, "lang string, features array<int>, counts array<int>").orderBy(F.xxhash64(F.lit(p.seed), "features", "counts"), "lang").limit(2 * p.max_train)
 
 
 def fit(docs: DataFrame, p: LanguageParams = LanguageParams()) -> LanguageModel:

@@ -197,7 +197,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: QualityParams) -> DataF
                 cuts = np.searchsorted(doc, np.arange(end - at + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0)[at:end].cast(pa.int32()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature, pa.int32()))], names=["label", "features"])
 
-    return text.mapInArrow(take, "label int, features array<int>").limit(2 * p.max_train)
+    # repeated ids may give more rows than were drawn; which of them stay doesn't depend on the order of tasks
+    return text.mapInArrow(take, "label int, features array<int>").orderBy(F.xxhash64(F.lit(p.seed), "features"), "label").limit(2 * p.max_train)
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> QualityModel:

@@ -90,9 +90,44 @@ def parse_reference(text: Column) -> Column:
     )
 
 
-def compare_to_reference(value: Column, low: Column, high: Column) -> Column:
-    """below, above, within, or unavailable without a value or a bound."""
-    return F.when(value.isNull() | (low.isNull() & high.isNull()), "unavailable").when(low.isNotNull() & (value < low), "below").when(high.isNotNull() & (value > high), "above").otherwise("within")
+def compare_to_reference(value: Column, low: Column, high: Column, comparator: Column | None = None) -> Column:
+    """below, above, within, or unavailable without a value or a bound; a strict comparator's bound is itself outside."""
+    strict = F.coalesce(comparator.isin("<", ">"), F.lit(False)) if comparator is not None else F.lit(False)
+    under = low.isNotNull() & ((value < low) | (strict & (value == low)))
+    over = high.isNotNull() & ((value > high) | (strict & (value == high)))
+    return F.when(value.isNull() | (low.isNull() & high.isNull()), "unavailable").when(under, "below").when(over, "above").otherwise("within")
+
+
+# Report flags and what they say.
+FLAGS = {
+    "above": ("H", "HIGH", "↑", "偏高", "高"),
+    "below": ("L", "LOW", "↓", "偏低", "低"),
+    "different": ("A", "*", "异常", "ABNORMAL"),
+    "within": ("N", "正常", "NORMAL"),
+}
+
+
+def flag_status(flag: Column) -> Column:
+    """What a printed report flag says; null for an empty or unknown one."""
+    key = F.upper(F.trim(flag))
+    out = F.lit(None).cast("string")
+    for status, flags in FLAGS.items():
+        out = F.when(key.isin(*flags), status).otherwise(out)
+    return out
+
+
+def abnormal_status(flag: Column, result_type: Column, status: Column, review: Column, blocked: Column) -> Column:
+    """A result's abnormal status from its printed flag and its place in the reference (``status``).
+
+    review: the result itself is in question; blocked: an issue forbids a reference.
+    A flag that can't be read, or says other than the reference, is for review.
+    """
+    said = flag_status(flag)
+    said = F.when(~result_type.isin("numeric", "comparator") & said.isin("above", "below"), "different").otherwise(said)
+    known = status != "unavailable"
+    against = said.isNotNull() & known & (said != status) & ~((said == "different") & status.isin("above", "below", "different"))
+    unread = (F.trim(flag) != "") & said.isNull()
+    return F.when(review, "review").when(blocked, "unavailable").when(unread | against, "review").otherwise(F.coalesce(F.when(known, status), said, F.lit("unavailable")))
 
 
 def redact_urls(text: Column) -> Column:

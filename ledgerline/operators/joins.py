@@ -50,10 +50,19 @@ def unique_lookup(df: DataFrame, dimension: DataFrame, keys: list[str], code: st
     return df.join(one, keys, "left")
 
 
-def unique_range(df: DataFrame, rules: DataFrame, condition: Column, row_key: str, code: str) -> DataFrame:
-    """The code of the only rule whose conditions hold, else null.  ``rules`` is a small dimension: Spark decides by its size how to send it."""
-    hits = df.join(rules, condition, "left").groupBy(row_key).agg(F.countDistinct(code).alias("__n"), F.min(code).alias(code))
-    return df.join(hits.select(row_key, F.when(F.col("__n") == 1, F.col(code)).alias(code)), row_key)
+def only_rule(rules: list[tuple[str, Column]]) -> Column:
+    """The code of the only rule whose condition holds for the row, else null.  The rules are in the plan: no row moves."""
+    hits = F.array_distinct(F.filter(F.array(*(F.when(holds, F.lit(code)) for code, holds in rules)), lambda x: x.isNotNull()))
+    return F.when(F.size(hits) == 1, hits[0])
+
+
+def rule_table(spark, columns: str, rows: list[tuple]) -> DataFrame:
+    """A small table of rules as a local relation, whose size the optimizer knows (null, numbers, strings and booleans)."""
+    marks, values = [], {}
+    for i, row in enumerate(rows):
+        marks.append("(" + ", ".join(f":v{i}_{j}" for j in range(len(row))) + ")")
+        values |= {f"v{i}_{j}": v for j, v in enumerate(row)}
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(marks)} AS t({columns})", args=values)
 
 
 def asof_prior(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
@@ -87,7 +96,10 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the session's shared folder, so that a loop's plan doesn't grow."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ledgerline-"))
     return df.checkpoint()
 
 
@@ -95,19 +107,27 @@ def lineage(edges: DataFrame, node: str, previous: str, rounds: int = 40) -> Dat
     """(node, root, steps): each node's first ancestor.
 
     Pointers double every round, so chains of any length below 2 ** ``rounds`` end
-    early; a cycle has no root and its nodes point to null.
+    early; a cycle has no root and its nodes point to null.  A node leaves the loop
+    when its pointer is a root, so no round joins on roots that many nodes share.
     """
-    at = settled(edges.select(F.col(node).alias("node"), F.coalesce(F.col(previous), F.col(node)).alias("up"), F.when(F.col(previous).isNull(), 0).otherwise(1).alias("steps")))
-    left = at.where("steps > 0").count()
+    c = F.col
+    all_ = edges.select(c(node).alias("node"), c(previous).alias("up"))
+    roots = all_.where("up IS NULL").select("node")
+    done = roots.select("node", c("node").alias("root"), F.lit(0).alias("steps"))
+    # a parent that is a root, or isn't there, ends the chain
+    known = all_.select(c("node").alias("up"), c("up").isNull().alias("top"))
+    first = all_.where("up IS NOT NULL").join(known, "up", "left").select("node", F.when(c("top").isNotNull(), c("up")).alias("up"), F.lit(1).alias("steps"), F.coalesce("top", F.lit(True)).alias("top"))
+    at = settled(first)
+    arrived = at.where("top")
     for _ in range(rounds):
-        ahead = at.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("steps").alias("__steps"))
-        at = settled(at.join(ahead, "up", "left").select("node", F.coalesce("__up", "up").alias("up"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps")))
-        roots = at.join(at.where("steps = 0").select(F.col("node").alias("up")), "up", "left_anti").count()
-        if roots == 0 or roots == left:  # all have arrived, or those that haven't run in circles
-            break
-        left = roots
-    ends = at.where("steps = 0").select(F.col("node").alias("root"))
-    return at.join(ends, F.col("up") == F.col("root"), "left").select("node", "root", F.when(F.col("root").isNotNull(), F.col("steps")).alias("steps"))
+        ahead = arrived.unionByName(at.where("NOT top")).select(c("node").alias("up"), c("up").alias("__up"), c("steps").alias("__steps"), c("top").alias("__top"))
+        at = settled(at.where("NOT top").join(ahead, "up").select("node", c("__up").alias("up"), (c("steps") + c("__steps")).alias("steps"), c("__top").alias("top")))
+        arrived = arrived.unionByName(at.where("top"))
+        if at.where("top").isEmpty():  # what is left runs in circles
+            nowhere = at.select("node", F.lit(None).alias("root"), F.lit(None).alias("steps"))
+            ends = arrived.select("node", c("up").alias("root"), F.when(c("up").isNotNull(), c("steps")).alias("steps"))
+            return done.union(ends).union(nowhere)
+    raise RuntimeError(f"chains are longer than 2 ** {rounds}")
 
 
 def hamming_within(left: DataFrame, right: DataFrame, bits: str, key: str, radius: int, bands: int) -> DataFrame:

@@ -18,8 +18,12 @@ from ledgerline.operators.series import over
 #: Least confidence of a row that is shown, of a name that is mapped, of a value that enters a trend.
 VISIBLE, NAMED, TREND = 0.80, 0.90, 0.95
 
-#: Issues that keep a value out of trends and rules.
-BLOCKING = ("source_unavailable", "recognition_uncertain", "mapping_unknown", "association_conflict", "specimen_conflict", "type_conflict", "unit_unknown", "date_uncertain", "date_conflict", "report_identity_conflict", "reported_error", "revision_conflict", "numeric_unsupported")
+# Issue codes. All but reference_unknown and reference_conflict keep a value out of trends and rules;
+# those in question on the result itself call for a review.
+BLOCKING = ("source_unavailable", "recognition_uncertain", "mapping_unknown", "association_conflict", "specimen_unknown", "specimen_conflict", "type_conflict", "unit_unknown", "date_uncertain", "date_conflict", "report_identity_conflict", "reported_error", "revision_conflict", "numeric_unsupported", "magnitude_suspect", "internal_conflict", "normalization_uncertain", "source_policy_unknown")
+DETAIL_ONLY = ("date_uncertain", "date_conflict", "mapping_unknown", "specimen_unknown", "specimen_conflict", "source_policy_unknown", "reference_unknown")
+#: Issues that don't forbid a reference.
+REFERENCE_FREE = ("date_uncertain", "date_conflict", "specimen_unknown")
 
 
 def issues(*rules: tuple[str, Column]) -> Column:
@@ -90,19 +94,52 @@ def sum_issues(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.join(wrong, "observation_id", "left").withColumn("internal_conflict", F.coalesce("internal_conflict", F.lit(False)))
 
 
+def all_issues(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``history_issues`` and ``sum_issues`` with their findings among the issues, and what the issues forbid.
+
+    blocked: no trend or rule; review: the shown result is in question; no_reference.
+    """
+    found = F.array_compact(F.array(F.when(F.col("magnitude_suspect"), "magnitude_suspect"), F.when(F.col("internal_conflict"), "internal_conflict")))
+    named = rows.withColumn("issues", F.concat("issues", found))
+    among = lambda codes: F.arrays_overlap("issues", F.array(*map(F.lit, codes)))
+    return named.withColumns(
+        {
+            "blocked": among(BLOCKING),
+            "review": F.size(F.array_except("issues", F.array(*map(F.lit, DETAIL_ONLY)))) > 0,
+            "no_reference": among([c for c in BLOCKING if c not in REFERENCE_FREE]),
+        }
+    )
+
+
+def with_method_rule(rows: DataFrame, policies: DataFrame) -> DataFrame:
+    """``rows`` with method_basis: the only reviewed policy that lets a result without a method, or with one of its methods, be compared, else the method itself.
+
+    policies (small): policy_id, standard_code, specimen, unit, institution, method; one row for each
+    institution and for each method that it names ('' for a missing one).  Two policies that fit give none.
+    """
+    unit = text.unit_key(F.col("raw_unit"))
+    fits = policies.select(F.col("policy_id"), "standard_code", "specimen", text.unit_key(F.col("unit")).alias("__unit"), "institution", F.col("method").alias("method_raw"))
+    only = fits.groupBy("standard_code", "specimen", "__unit", "institution", "method_raw").agg(F.countDistinct("policy_id").alias("__n"), F.min("policy_id").alias("__policy")).where("__n = 1").drop("__n")
+    joined = rows.withColumn("__unit", unit).join(only, ["standard_code", "specimen", "__unit", "institution", "method_raw"], "left")
+    return joined.withColumn("method_basis", F.coalesce(F.concat(F.lit("rule:"), "__policy"), "method_raw")).drop("__unit", "__policy")
+
+
 def comparable(rows: DataFrame, conversions: DataFrame) -> DataFrame:
     """``rows`` with state (direct, converted, insufficient), shown_value and shown_unit.
 
-    conversions (small): standard_code, source_unit, target_unit, factor.  A code
-    with a conversion from its unit needs exactly one; blocked rows are insufficient.
+    conversions (small): standard_code, source_unit, target_unit, factor.  A row is comparable if nothing
+    blocks it and specimen and method (or a policy for it) are known; a code with
+    conversions from its unit needs exactly one.
     """
     one = conversions.groupBy("standard_code", text.unit_key(F.col("source_unit")).alias("unit")).agg(F.count(F.lit(1)).alias("n_rules"), F.min("target_unit").alias("target_unit"), F.min("factor").alias("factor"))
     joined = rows.withColumn("unit", text.unit_key(F.col("raw_unit"))).join(one, ["standard_code", "unit"], "left")
-    state = F.when(F.col("blocked") | (F.col("n_rules") > 1), "insufficient").when(F.col("n_rules") == 1, "converted").otherwise("direct")
+    basis = F.col("method_basis") if "method_basis" in rows.columns else F.col("method_raw")
+    sound = ~F.col("blocked") & (F.col("specimen") != "") & (basis != "")
+    state = F.when(~F.coalesce(sound, F.lit(False)) | (F.col("n_rules") > 1), "insufficient").when(F.col("n_rules") == 1, "converted").otherwise("direct")
     return (
         joined.withColumn("state", state)
-        .withColumn("shown_value", F.when(state == "converted", F.col("value").cast("double") * F.col("factor")).when(state == "direct", F.col("value").cast("double")))
-        .withColumn("shown_unit", F.when(state == "converted", F.col("target_unit")).otherwise(F.col("raw_unit")))
+        .withColumn("shown_value", F.when(F.col("state") == "converted", F.col("value").cast("double") * F.col("factor")).when(F.col("state") == "direct", F.col("value").cast("double")))
+        .withColumn("shown_unit", F.when(F.col("state") == "converted", F.col("target_unit")).otherwise(F.col("raw_unit")))
         .drop("n_rules", "target_unit", "factor", "unit")
     )
 

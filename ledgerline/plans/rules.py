@@ -22,14 +22,14 @@ _BANDS = [("small", 1, 15), ("middle", 10, 35), ("large", 30, 50)]
 
 @query("WITH r(band, low, high) AS (VALUES ('small', 1, 15), ('middle', 10, 35), ('large', 30, 50)) SELECT p_partkey, CASE WHEN count(DISTINCT band) = 1 THEN min(band) END AS band FROM part LEFT JOIN r ON p_size BETWEEN low AND high GROUP BY p_partkey")
 def conditional_range_lookup(spark, d):
-    rules = spark.createDataFrame(_BANDS, "band string, low int, high int")
-    return joins.unique_range(table(spark, d, "part", "p_partkey", "p_size"), rules, F.col("p_size").between(F.col("low"), F.col("high")), "p_partkey", "band").select("p_partkey", "band")
+    size = F.col("p_size")
+    return table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", joins.only_rule([(band, size.between(low, high)) for band, low, high in _BANDS]).alias("band"))
 
 
 @query("WITH r(l_returnflag, factor) AS (VALUES ('A', 2.0), ('N', 0.5), ('N', 0.5)), o AS (SELECT l_returnflag, count(*) AS n, min(factor) AS factor FROM r GROUP BY 1) SELECT l_orderkey, l_linenumber, CASE WHEN n = 1 THEN 'converted' WHEN o.l_returnflag IS NULL THEN 'direct' ELSE 'insufficient' END AS state, round(CASE WHEN n = 1 THEN l_quantity * factor WHEN o.l_returnflag IS NULL THEN l_quantity END, 4)::DOUBLE AS value FROM lineitem LEFT JOIN o USING (l_returnflag)")
 def unit_conversion_rules(spark, d):
-    rules = spark.createDataFrame([("A", 2.0), ("N", 0.5), ("N", 0.5)], "l_returnflag string, factor double").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.min("factor").alias("factor"))
-    lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity").join(rules, "l_returnflag", "left")
+    hits = F.filter(F.array(*(F.when(F.col("l_returnflag") == flag, F.lit(factor)) for flag, factor in [("A", 2.0), ("N", 0.5), ("N", 0.5)])), lambda x: x.isNotNull())
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity").withColumn("hits", hits).withColumns({"n": F.nullif(F.size("hits"), F.lit(0)), "factor": F.array_min("hits")})
     state = F.when(F.col("n") == 1, "converted").when(F.col("n").isNull(), "direct").otherwise("insufficient")
     value = F.when(F.col("n") == 1, F.col("l_quantity") * F.col("factor")).when(F.col("n").isNull(), F.col("l_quantity"))
     return lines.select("l_orderkey", "l_linenumber", state.alias("state"), F.round(value, 4).alias("value"))
@@ -76,7 +76,7 @@ def range_parse_compare(spark, d):
     k = F.col("l_linenumber") % 4
     ref = F.when(k == 0, "10--30").when(k == 1, "≤24.50").when(k == 2, "12 ~ 40.0").otherwise("n/a")
     lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").withColumn("r", text.parse_reference(ref))
-    return lines.select("l_orderkey", "l_linenumber", text.compare_to_reference(F.col("l_quantity"), F.col("r.low"), F.col("r.high")).alias("state"))
+    return lines.select("l_orderkey", "l_linenumber", text.compare_to_reference(F.col("l_quantity"), F.col("r.low"), F.col("r.high"), F.col("r.comparator")).alias("state"))
 
 
 @query("SELECT l_orderkey, l_linenumber, list_filter(['low_quantity', 'no_discount', 'late'], lambda c: CASE c WHEN 'low_quantity' THEN l_quantity < 5 WHEN 'no_discount' THEN l_discount = 0 ELSE l_shipdate > TIMESTAMP '1998-01-01' END) AS issues FROM lineitem")

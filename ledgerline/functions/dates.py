@@ -44,3 +44,14 @@ def compatible_times(a: Column, b: Column) -> Column:
 
 def date_label(value: Column, precision: Column) -> Column:
     return F.when(precision == "YEAR", F.date_format(value, "yyyy")).when(precision == "MONTH", F.date_format(value, "yyyy-MM")).when(precision == "DAY", F.date_format(value, "yyyy-MM-dd")).otherwise("unknown")
+
+
+def month_of(at: Column) -> Column:
+    """The first day of a date's month."""
+    return F.trunc(at.cast("date"), "month")
+
+
+def canonical_utc(local: Column, zone: str) -> Column:
+    """A local time without a zone as an ISO time in UTC, whatever the session's zone."""
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), local.cast("timestamp_ntz"))
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")

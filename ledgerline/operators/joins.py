@@ -56,6 +56,18 @@ def only_rule(rules: list[tuple[str, Column]]) -> Column:
     return F.when(F.size(hits) == 1, hits[0])
 
 
+def tokenised_lookup(df: DataFrame, key: str, raw: str, aliases: DataFrame) -> DataFrame:
+    """(key, code) of each row: the code that every one of its text's parts names, if there are several parts and they agree; else null.
+
+    aliases: alias, code.  A part that is no alias, or the alias of two codes, leaves the row without a code.
+    """
+    known = aliases.select(F.lower("alias").alias("__part"), "code").groupBy("__part").agg(F.countDistinct("code").alias("__n"), F.min("code").alias("code")).where("__n = 1").drop("__n")
+    parts = df.select(key, F.explode(F.filter(F.split(F.trim(F.lower(raw)), r"\s+"), lambda x: x != "")).alias("__part"))
+    found = parts.join(known, "__part", "left").groupBy(key).agg(F.count(F.lit(1)).alias("__parts"), F.count("code").alias("__known"), F.countDistinct("code").alias("__codes"), F.min("code").alias("__code"))
+    one = (F.col("__parts") > 1) & (F.col("__known") == F.col("__parts")) & (F.col("__codes") == 1)
+    return df.select(key).join(found, key, "left").select(key, F.when(one, F.col("__code")).alias("code"))
+
+
 def rule_table(spark, columns: str, rows: list[tuple]) -> DataFrame:
     """A small table of rules as a local relation, whose size the optimizer knows (null, numbers, strings and booleans)."""
     marks, values = [], {}

@@ -26,6 +26,16 @@ DETAIL_ONLY = ("date_uncertain", "date_conflict", "mapping_unknown", "specimen_u
 REFERENCE_FREE = ("date_uncertain", "date_conflict", "specimen_unknown")
 
 
+def visible(confidence: Column) -> Column:
+    """Whether a recognised row may be shown."""
+    return F.coalesce(confidence >= VISIBLE, F.lit(False))
+
+
+def unreliable_date(confidence: Column, evidence: Column) -> Column:
+    """Whether a selected date is doubtful: it or its evidence is below the least confidence, or the evidence has none."""
+    return F.coalesce(confidence < VISIBLE, F.lit(False)) | F.coalesce(evidence < VISIBLE, F.lit(True))
+
+
 def issues(*rules: tuple[str, Column]) -> Column:
     """The codes of the rules that hold, in order."""
     return F.filter(F.array(*(F.when(c, F.lit(code)) for code, c in rules)), lambda x: x.isNotNull())

@@ -69,13 +69,13 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
 class Best:
     """The k best (score, id) of each query so far."""
 
-    def __init__(self, queries: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int, floor: np.ndarray | None = None):
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int, floor: np.ndarray | None = None, large: bool = False):
         self.q, self.ids, self.k = queries, ids, k
         self.head = max(1, queries.shape[1] // 4)
         r = queries @ turn
         self.partial, self.rest = np.ascontiguousarray(r[:, : self.head]), np.sqrt((r[:, self.head :] ** 2).sum(1))
         self.norm = np.sqrt((queries**2).sum(1))
-        self.whole = queries.astype(np.int64)
+        self.whole = queries.astype(np.int64) if large else None
         self.turn = turn
         self.floor = np.full(len(ids), -np.inf) if floor is None else floor.copy()
         self.kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # query, vec_id, score
@@ -94,11 +94,13 @@ class Best:
         i = live[i]
         other = self.ids[i] != ids[j]
         i, j = i[other], j[other]
-        score = np.empty(len(i), np.int64)
-        q, v = self.whole, v.astype(np.int64)
+        # below 2 ** 53 doubles are exact, and faster
+        q, v = (self.q, v) if self.whole is None else (self.whole, v.astype(np.int64))
+        score = np.empty(len(i), q.dtype)
         for at in range(0, len(i), 1 << 15):
             s = slice(at, at + (1 << 15))
-            score[s] = (q[i[s]] * v[j[s]]).sum(1)  # exact: ``top_k`` refuses vectors whose scores could pass 2 ** 63
+            score[s] = (q[i[s]] * v[j[s]]).sum(1)
+        score = score.astype(np.int64)
         good = score + slack[i] >= self.floor[i]
         self._keep(i[good], ids[j[good]], score[good])
 
@@ -136,7 +138,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return empty
     width = max(1, facts[0], q_width)
     largest = [t.agg(F.max(F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x.cast("double")))))).first()[0] for t in (sorted_rows, asked)]
-    if float(largest[0]) * float(largest[1]) * width >= 2.0**63:
+    bound = float(largest[0]) * float(largest[1]) * width
+    if bound >= 2.0**63:
         raise ValueError("scores pass 2 ** 63")
     turn = rotation(sorted_rows, width)
     # a bounded sample of candidates: any subset gives valid thresholds
@@ -159,7 +162,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
         def run(batches, shared=shared):
             ids, q, turn, floor = shared.value
-            best = Best(q.astype(np.float64), ids, turn, k, floor)
+            best = Best(q.astype(np.float64), ids, turn, k, floor, bound >= 2.0**53)
             for b in batches:
                 for at in range(0, b.num_rows, TILE):
                     some = b.slice(at, TILE)

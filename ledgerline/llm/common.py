@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 CHUNK_BYTES = 1 << 20
 
 _OWN: dict[str, str] = {}
+_PASSING: list = [None]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,9 +44,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    if _PASSING[0] is not None:
+        _PASSING[0].append(out)
     return out
 
 
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables stored within are deleted on leaving, but for the last one, which has to be all that is read from then on."""
+    outer, mine = _PASSING[0], []
+    _PASSING[0] = mine
+    try:
+        yield
+    finally:
+        _PASSING[0] = outer
+        for table in mine[:-1]:
+            discard(table)
+        if outer is not None:
+            outer += mine[-1:]
+
+
 def discard(table: DataFrame) -> None:
     """Delete what ``stored`` wrote, once nothing reads it any more."""
     jvm, path = table.sparkSession.sparkContext._jvm, table._scratch

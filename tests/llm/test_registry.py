@@ -15,7 +15,7 @@ COLUMNS = {
     "op3_top_k": ["query_id", "rank", "vec_id", "score"],
     "op4_decontaminate": ["doc_id", "item_id", "edits", "similarity", "end_word"],
     "op5_language_id": ["doc_id", "held_out", "lang_pred", "score", "rejected"],
-    "op6_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op6_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
     "op7_mixing": ["doc_id", "size", "source_size", "target", "taken"],
     "op8_simhash": ["doc_id", "fingerprint", "component_id"],
     "op9_chat": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],

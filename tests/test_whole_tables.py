@@ -19,7 +19,7 @@ def test_places_over_the_whole_table(spark):
     assert [(r.rank, r.number) for r in sorted(got, key=lambda r: r.place)] == sorted(rows)
     assert sorted(r.place for r in got) == list(range(1, 501))
     n = spark.read.parquet(f"{SF}/orders.parquet").count()
-    assert registry.QUERIES["stable_priority_order_all"](spark, SF).count() == n
+    assert registry.QUERIES["stable_priority_order"](spark, SF).count() == n
 
 
 def test_assignment_of_unequal_sides(spark):
@@ -48,11 +48,11 @@ def test_whole_texts_and_vectors(spark, tmp_path):
     one, near, far = [1.0] * 64, [1.0] * 56 + [-1.0] * 8, [1.0] * 55 + [-1.0] * 9
     spark.createDataFrame([(1, one), (2, near), (3, far)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
-    first = next(r for r in run("array_set_ops_whole") if r.doc_id == 0)
+    first = next(r for r in run("array_set_ops") if r.doc_id == 0)
     assert (first.n_distinct, first.any_article, first.disjoint, first.n_long) == (11, True, False, 1)
-    assert [r.word for r in sorted(run("explode_linked_tables_whole"), key=lambda r: r.ord)] == words
-    assert {r.guarded for r in run("csv_guard_whole")} == {"'=" + " ".join(words), "'@" + "x" * 50}
-    assert sorted((r.left, r.right, r.distance) for r in run("embedding_sign_hamming_whole")) == [(1, 2, 8), (2, 3, 1)]
+    assert [r.word for r in sorted(run("explode_linked_tables"), key=lambda r: r.ord)] == words
+    assert {r.guarded for r in run("csv_guard")} == {"'=" + " ".join(words), "'@" + "x" * 50}
+    assert sorted((r.left, r.right, r.distance) for r in run("embedding_sign_hamming")) == [(1, 2, 8), (2, 3, 1)]
 
 
 def test_heading_titles(spark):

@@ -58,8 +58,8 @@ def sampling_times(parts: DataFrame, keys: list[str], least: float = 0.95) -> Da
         F.max(F.when(c("clock").isNotNull(), F.struct("to_second", "clock"))).alias("late"),
         F.min(F.floor(c("clock") / 60)).alias("first_minute"),
         F.max(F.floor(c("clock") / 60)).alias("last_minute"),
-        F.min(F.when("to_second", c("clock"))).alias("first_second"),
-        F.max(F.when("to_second", c("clock"))).alias("last_second"),
+        F.min(F.when(c("to_second"), c("clock"))).alias("first_second"),
+        F.max(F.when(c("to_second"), c("clock"))).alias("last_second"),
         F.coalesce(F.bool_or("invalid"), F.lit(False)).alias("doubtful_part"),
         F.coalesce(F.bool_or(c("confidence") < least), F.lit(False)).alias("faint"),
     )

@@ -241,22 +241,20 @@ def dependency_fingerprint(spark, d):
     return aggregates.fingerprint(table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], ["o_orderstatus"], "o_orderkey")
 
 
-_POINTS = """
+POINTS = """
 WITH p AS (SELECT event_id, user_id AS lesion, (props->>'$.k')::INT AS k, ts::DATE AS day, value, user_id || '/' || ts::DATE AS report FROM events WHERE event_type = 'view'),
 m AS (SELECT event_id AS observation_id, CASE WHEN k % 9 = 0 THEN NULL ELSE lesion END AS lesion_id, CASE WHEN k % 3 = 0 THEN 'SUV' ELSE 'DIMENSION' END AS kind, CASE WHEN k % 4 = 0 THEN '' ELSE 'long' END AS axis, CASE WHEN k % 5 = 0 THEN 'cm' ELSE 'mm' END AS unit, CASE WHEN k % 13 = 0 THEN NULL ELSE day END AS day, value, CASE WHEN k % 8 = 0 THEN 'LT' ELSE 'EQ' END AS comparator, CASE WHEN k % 6 = 0 THEN 'PRIOR' ELSE 'CURRENT' END AS role, CASE WHEN k % 7 = 0 THEN '' ELSE 'CT' END AS method, report AS report_id, k % 17 = 0 AS field_conflict FROM p),
 o AS (SELECT *, list_filter([CASE WHEN lesion_id IS NULL THEN 'unassigned_observation' END, CASE WHEN role <> 'CURRENT' THEN 'historical_or_unknown_role' END, CASE WHEN comparator <> 'EQ' THEN 'bounded_value' END, CASE WHEN field_conflict THEN 'field_conflict' END, CASE WHEN day IS NULL THEN 'date_unreliable' END, CASE WHEN method = '' THEN 'method_unknown' END, CASE WHEN kind = 'DIMENSION' AND axis = '' THEN 'axis_unknown' END, CASE WHEN kind = 'DIMENSION' AND unit <> 'mm' THEN 'unit_unrecognized' END], lambda x: x IS NOT NULL) AS own,
   day IS NOT NULL AND count(*) FILTER (WHERE day IS NOT NULL AND role = 'CURRENT') OVER (PARTITION BY lesion_id, kind, axis, day) > 1 AS twice FROM m),
 l AS (SELECT *, lag(observation_id) OVER s AS p_id, lag(own) OVER s AS p_own, lag(twice) OVER s AS p_twice, lag(value) OVER s AS p_value, lag(day) OVER s AS p_day, lag(method) OVER s AS p_method, lag(unit) OVER s AS p_unit, lag(report_id) OVER s AS p_report FROM o WINDOW s AS (PARTITION BY lesion_id, kind, axis ORDER BY day NULLS LAST, observation_id)),
 q AS (SELECT *, list_distinct(p_own || own || list_filter([CASE WHEN report_id = p_report THEN 'same_report' END, CASE WHEN method <> p_method THEN 'method_changed' END, CASE WHEN unit <> p_unit THEN 'unit_changed' END, CASE WHEN p_day >= day THEN 'date_not_later' END, CASE WHEN twice OR p_twice THEN 'ambiguous_measurement' END], lambda x: x IS NOT NULL)) AS reasons FROM l)
-SELECT observation_id, p_id AS previous_id, CASE WHEN p_id IS NOT NULL THEN list_sort(reasons) END AS reasons, CASE WHEN p_id IS NOT NULL AND len(reasons) = 0 THEN round(value - p_value, 6) END AS delta FROM q
 """
 
 
-@query(_POINTS)
-def measurement_changes(spark, d):
+def points(spark, d) -> DataFrame:
     k = F.col("k")
     e = table(spark, d, "events", "event_id", "user_id", "ts", "event_type", "value", "props").where("event_type = 'view'").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    points = e.select(
+    return e.select(
         F.col("event_id").alias("observation_id"),
         F.when(k % 9 != 0, F.col("user_id")).alias("lesion_id"),
         F.when(k % 3 == 0, "SUV").otherwise("DIMENSION").alias("kind"),
@@ -270,7 +268,11 @@ def measurement_changes(spark, d):
         F.concat_ws("/", "user_id", F.to_date("ts")).alias("report_id"),
         (k % 17 == 0).alias("field_conflict"),
     )
-    return records.measurement_changes(points).select("observation_id", "previous_id", F.array_sort("reasons").alias("reasons"), F.round("delta", 6).alias("delta"))
+
+
+@query(POINTS + "SELECT observation_id, p_id AS previous_id, CASE WHEN p_id IS NOT NULL THEN list_sort(reasons) END AS reasons, CASE WHEN p_id IS NOT NULL AND len(reasons) = 0 THEN round(value - p_value, 6) END AS delta FROM q")
+def measurement_changes(spark, d):
+    return records.measurement_changes(points(spark, d)).select("observation_id", "previous_id", F.array_sort("reasons").alias("reasons"), F.round("delta", 6).alias("delta"))
 
 
 @query("WITH rep AS (SELECT o_orderkey AS report_id, o_custkey AS patient_id, substr(o_orderpriority, 1, 1) AS nr, o_orderdate AS t FROM orders WHERE o_orderpriority <> '5-LOW'), v AS (SELECT DISTINCT l_orderkey AS report_id, l_returnflag AS code, l_linestatus AS result FROM lineitem), s AS (SELECT report_id, code, list(result ORDER BY result) AS res FROM v GROUP BY ALL), p AS (SELECT a.report_id AS l, b.report_id AS r, a.t = b.t AS same_time FROM rep a JOIN rep b ON a.patient_id = b.patient_id AND a.nr = b.nr AND a.report_id < b.report_id), f AS (SELECT l, r, bool_or(x.res <> y.res) AS conflict, count(*) AS overlap FROM p JOIN s x ON x.report_id = l JOIN s y ON y.report_id = r AND x.code = y.code GROUP BY ALL) SELECT l AS \"left\", r AS \"right\", coalesce(conflict, false) AS conflict, coalesce(overlap, 0) AS overlap, CASE WHEN coalesce(conflict, false) OR NOT same_time THEN 'REVIEW' ELSE 'AUTO' END AS state FROM p LEFT JOIN f USING (l, r)")

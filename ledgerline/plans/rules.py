@@ -105,7 +105,7 @@ def histogram_entropy(spark, d):
     return aggregates.entropy(s, ["s_nationkey"], "v").select("s_nationkey", F.round("entropy", 6).alias("entropy"))
 
 
-@query("WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity / 50.0 AS x, l_discount AS y FROM lineitem) SELECT l_orderkey, l_linenumber, 0.4::DOUBLE AS area, (CASE WHEN y < 0.05 THEN x >= 0.1 AND x < 0.9 ELSE false END) AS inside, round(CASE WHEN x > 0 THEN (least(x, 0.9) - 0.1 + abs(least(x, 0.9) - 0.1)) / 2 * 0.5 / (x * 0.5 + 0.4 - (least(x, 0.9) - 0.1 + abs(least(x, 0.9) - 0.1)) / 2 * 0.5) END, 6)::DOUBLE AS iou FROM b")
+@query("WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity / 50.0 AS x, l_discount AS y FROM lineitem) SELECT l_orderkey, l_linenumber, round((x + 0.2) * 0.5, 6)::DOUBLE AS area, (CASE WHEN y < 0.05 THEN x >= 0.1 AND x < 0.9 ELSE false END) AS inside, round(CASE WHEN x > 0 THEN (least(x, 0.9) - 0.1 + abs(least(x, 0.9) - 0.1)) / 2 * 0.5 / (x * 0.5 + 0.4 - (least(x, 0.9) - 0.1 + abs(least(x, 0.9) - 0.1)) / 2 * 0.5) END, 6)::DOUBLE AS iou FROM b")
 def polygon_checks(spark, d):
     from ledgerline.functions import geometry
 
@@ -113,6 +113,8 @@ def polygon_checks(spark, d):
     square = F.array(point(0.1, 0.0), point(0.9, 0.0), point(0.9, 0.5), point(0.1, 0.5))
     small = F.array(point(0.1, 0.0), point(0.9, 0.0), point(0.9, 0.05), point(0.1, 0.05))
     x = F.col("l_quantity") / 50.0
+    corner = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
+    slanted = F.array(corner(F.lit(0.0), 0.0), corner(x, 0.0), corner(x + 0.1, 0.5), corner(F.lit(-0.3), 0.5))
     box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), x.alias("x1"), F.lit(0.5).alias("y1"))
     lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount")
-    return lines.select("l_orderkey", "l_linenumber", F.round(geometry.area(square), 6).alias("area"), geometry.contains_point(small, x, F.col("l_discount")).alias("inside"), F.round(geometry.iou(box, geometry.box(square)), 6).alias("iou"))
+    return lines.select("l_orderkey", "l_linenumber", F.round(geometry.area(slanted), 6).alias("area"), geometry.contains_point(small, x, F.col("l_discount")).alias("inside"), F.round(geometry.iou(box, geometry.box(square)), 6).alias("iou"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerline.functions import crypto, text
@@ -26,17 +28,17 @@ def embedding_sign_hamming(spark, d):
     return joins.hamming_within(v, v, "bits", "vec_id", 8, 10)
 
 
-@query("SELECT doc_id, length(text) AS n, CASE WHEN position('license' IN lower(text)) > 0 THEN substring(text, greatest(1, position('license' IN lower(text)) - 66)::INT, 140) END AS hit FROM documents")
+@query("WITH p AS (SELECT doc_id, text, length(text) AS n, position('license' IN lower(text)) AS pos FROM documents), s AS (SELECT *, greatest(1, pos - 66) AS b FROM p) SELECT doc_id, n, CASE WHEN pos > 0 THEN CASE WHEN b > 1 THEN '…' ELSE '' END || substring(text, b::INT, 140) || CASE WHEN b + 139 < n THEN '…' ELSE '' END END AS hit FROM s")
 def search_excerpt(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text")
-    return docs.select("doc_id", F.length("text").alias("n"), F.regexp_replace(text.excerpt(F.col("text"), "license"), "^…|…$", "").alias("hit"))
+    return docs.select("doc_id", F.length("text").alias("n"), text.excerpt(F.col("text"), "license").alias("hit"))
 
 
-@query("SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, array_to_string(list_distinct(regexp_extract_all(html, '<h[1-3][^>]*>([^<]*)</h[1-3]>', 1))[1:0], ',') AS none FROM pages")
+@query("WITH h AS (SELECT page_id, html, list_filter(list_transform(regexp_extract_all(html, '<h[1-3][^>]*>([^<]*)</h[1-3]>', 1), lambda x: trim(x)), lambda x: x <> '') AS a FROM pages) SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, a[1] AS heading FROM h")
 def title_from_heading(spark, d):
     p = table(spark, d, "pages", "page_id", "html")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return p.select("page_id", F.when(title != "", title).alias("title"), F.lit("").alias("none"))
+    return p.select("page_id", F.when(title != "", title).alias("title"), text.heading_title(F.col("html"), most=1, suffix="").alias("heading"))
 
 
 @query("WITH n AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '<h[1-3][^>]*>([^<]*)</h[1-3]>', 1), lambda x: trim(x)), lambda x: x <> '') AS a FROM pages), u AS (SELECT page_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS a FROM n) SELECT page_id, CASE WHEN len(a) > 0 THEN array_to_string(a[1:3], ', ') || CASE WHEN len(a) > 3 THEN ' and more' ELSE '' END END AS title FROM u")
@@ -67,12 +69,18 @@ def sha_digest(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("digest"), F.sha2(F.sha2(F.concat(F.lit("k"), "text"), 256), 256).alias("keyed"))
 
 
-@query()
-def keyed_pseudonyms(spark, d):
-    import uuid
+_KEY = b"ledgerline"
+_PAD = "unhex('{}')"
+_INNER, _OUTER = (_PAD.format(bytes(b ^ pad for b in _KEY.ljust(64, b"\0")).hex()) for pad in (0x36, 0x5C))
 
+
+@query(
+    f"WITH h AS (SELECT c_custkey, c_name, sha256({_OUTER} || unhex(sha256({_INNER} || encode(c_name)))) AS pseudonym, sha1({_PAD.format(uuid.NAMESPACE_URL.hex)} || encode(c_name)) AS s FROM customer) "
+    "SELECT c_custkey, pseudonym, s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', s[17]) - 1) % 4 + 1, 1) || s[18:20] || '-' || s[21:32] AS stable_id, c_name AS folded FROM h"
+)
+def keyed_pseudonyms(spark, d):
     c = table(spark, d, "customer", "c_custkey", "c_name")
-    return c.select("c_custkey", crypto.hmac_sha256(b"ledgerline", F.col("c_name")).alias("pseudonym"), crypto.uuid5(uuid.NAMESPACE_URL, F.col("c_name")).alias("stable_id"), text.folded(F.col("c_name")).alias("folded"))
+    return c.select("c_custkey", crypto.hmac_sha256(_KEY, F.col("c_name")).alias("pseudonym"), crypto.uuid5(uuid.NAMESPACE_URL, F.col("c_name")).alias("stable_id"), text.folded(F.col("c_name")).alias("folded"))
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, json_keys(props) = ['k'] AS closed FROM events")
@@ -112,7 +120,7 @@ def conversation_shape(spark, d):
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">").alias("roles"))
 
 
-@query()
+@query("""SELECT o_orderkey, '{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_totalprice":' || o_totalprice || '}' AS line FROM orders""")
 def portable_json(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice")
     from ledgerline.sources.sinks import canonical_json

@@ -104,7 +104,15 @@ def sliding_range_counts(spark, d):
     return series.counts_before(series.counts_before(e, ["user_id"], "sec", 3600, "last_hour"), ["user_id"], "sec", 86400, "last_day").select("event_id", "last_hour", "last_day")
 
 
-@query()
+@query("""
+WITH RECURSIVE n AS (SELECT event_id, user_id, event_type = 'purchase' AS closes, epoch_us(ts) // 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (
+  SELECT event_id, user_id, i, CASE WHEN closes THEN -1 ELSE t END AS began, CASE WHEN closes THEN 0 ELSE 1 END AS used FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.event_id, n.user_id, n.i, CASE WHEN closes THEN -1 WHEN began < 0 OR t - began >= 900 THEN t ELSE began END, CASE WHEN closes THEN 0 WHEN began < 0 OR t - began >= 900 THEN 1 ELSE used + 1 END FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1
+)
+SELECT event_id, user_id, used <= 5 AS allowed FROM f
+""")
 def resettable_window(spark, d):
     return limits.resettable_limit(table(spark, d, "events", "event_id", "user_id", "ts", "event_type"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, mixing, oracles, pii, quality, simhash, suffix, tokenids, topk
+from . import align, chat, decontam, langid, mixing, oracles, pii, quality, simhash, suffix, tokenids, topk
 from .common import held_out
 
 
@@ -68,6 +68,13 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.write_and_read(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_nbsvm": op2_quality_nbsvm,
@@ -79,6 +86,7 @@ QUERIES = {
     "op3_top_k": op3_top_k,
     "op4_decontaminate": op4_decontaminate,
     "op10_token_ids": op10_token_ids,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_top_k": oracles.TOP_K, "op7_mixing": oracles.MIX, "op9_chat": oracles.CHAT}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, decontam, langid, mixing, oracles, pii, quality, simhash, suffix, tokenids, topk
+from . import align, chat, decontam, langid, mixing, oracles, pii, quality, secrets, simhash, suffix, tokenids, topk
 from .common import held_out
 
 
@@ -68,6 +68,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.write_and_read(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op3_top_k": op3_top_k,
     "op4_decontaminate": op4_decontaminate,
     "op10_token_ids": op10_token_ids,
+    "op11_secrets": op11_secrets,
     "op13_alignment": op13_alignment,
 }
 

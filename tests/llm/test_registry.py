@@ -20,6 +20,7 @@ COLUMNS = {
     "op8_simhash": ["doc_id", "fingerprint", "component_id"],
     "op9_chat": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op10_token_ids": ["doc_id", "start", "n_tokens", "ids_crc32"],
+    "op11_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "n_unopened"],
     "op13_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 

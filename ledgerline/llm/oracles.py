@@ -79,3 +79,32 @@ WITH v AS (
 )
 SELECT query_id::BIGINT AS query_id, rank::INT AS rank, vec_id::BIGINT AS vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5
 """
+
+
+def _clusters(k: int = 8, rounds: int = 10, scale: int = 1024, width: int = 64) -> str:
+    """Each round compares every vector with every centroid, without bounds; the rounds are written out one after the other."""
+    parts = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id::BIGINT AS vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, e) - 1 AS number, e FROM (SELECT e, sha256('3:' || vec_id) AS h FROM v ORDER BY h NULLS LAST, e LIMIT {k}))",
+    ]
+    near = "SELECT row, arg_min(number, (d, number)) AS number, min(d) AS d FROM (SELECT row, number, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{} c) GROUP BY row"
+    for i in range(rounds):
+        parts.append(f"a{i} AS MATERIALIZED ({near.format(i)})")
+        parts.append(
+            f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.number, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN (
+    SELECT number, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY place) AS e
+    FROM (SELECT number, place, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT a.number, unnest(v.e) AS x, unnest(range(1, {width + 1})) AS place FROM v JOIN a{i} a USING (row)) GROUP BY number, place) GROUP BY number
+  ) m USING (number)
+)"""
+        )
+    return f"""WITH {", ".join(parts)}, last AS MATERIALIZED ({near.format(rounds)})
+SELECT v.vec_id, l.number::INT AS cluster, l.d AS distance, sum(l.d) OVER (PARTITION BY l.number)::BIGINT AS cluster_inertia, sum(l.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM v JOIN last l USING (row) JOIN c{rounds} c ON c.number = l.number
+"""
+
+
+CLUSTERS = _clusters()

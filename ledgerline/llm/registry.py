@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, decontam, langid, mixing, oracles, pii, quality, secrets, simhash, suffix, tokenids, topk
+from . import align, centroids, chat, decontam, langid, mixing, oracles, pii, quality, secrets, simhash, suffix, tokenids, topk
 from .common import held_out
 
 
@@ -72,6 +72,10 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -91,7 +95,8 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op10_token_ids": op10_token_ids,
     "op11_secrets": op11_secrets,
+    "op12_centroids": op12_centroids,
     "op13_alignment": op13_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_top_k": oracles.TOP_K, "op7_mixing": oracles.MIX, "op9_chat": oracles.CHAT}
+ORACLE_SQL: dict[str, str] = {"op3_top_k": oracles.TOP_K, "op7_mixing": oracles.MIX, "op9_chat": oracles.CHAT, "op12_centroids": oracles.CLUSTERS}

@@ -21,6 +21,7 @@ COLUMNS = {
     "op9_chat": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op10_token_ids": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op11_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "n_unopened"],
+    "op12_centroids": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
     "op13_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
@@ -43,5 +44,5 @@ def test_query(spark, name):
         order = [[x[0] for x in got.description].index(k) for k in df.columns]
         near = lambda r: tuple(round(v, 4) if isinstance(v, float) else v for v in r)
         assert sorted(map(near, rows), key=repr) == sorted((near([r[k] for k in order]) for r in got.fetchall()), key=repr)
-    elif name not in ("op3_top_k", "op4_decontaminate"):
+    elif name not in ("op3_top_k", "op12_centroids", "op4_decontaminate"):
         assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()

@@ -90,6 +90,20 @@ def unit_hash(seed: int, *cols: Column) -> Column:
     return (F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
 
 
+def bounded_sample(df: DataFrame, seed: int, most_rows: int, most_bytes: int, most_text: int, size: str = "text") -> DataFrame:
+    """The rows of ``df`` that come first by a seeded hash of all columns, as many as keep both bounds; a text over ``most_text`` bytes is left out.
+
+    For rows that a model is fitted to on the driver: their total size is bounded, not only their number.
+    Which rows stay depends on their contents alone.  Of at most ``most_rows`` rows, two numbers reach the driver.
+    """
+    marked = df.withColumn("__h", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])).where(F.octet_length(size) <= most_text)
+    got = marked.select("__h", F.octet_length(size).alias("n")).orderBy("__h").limit(most_rows + 1).toArrow()
+    h, n = np.asarray(got.column(0)), np.cumsum(np.asarray(got.column(1), np.int64))
+    # rows of one hash stay or go together
+    last = np.flatnonzero((n <= most_bytes) & (np.arange(len(n)) < most_rows) & np.append(h[1:] != h[:-1], len(h) <= most_rows)) if len(h) else []
+    return marked.where(F.col("__h") <= int(h[last[-1]]) if len(last) else F.lit(False)).drop("__h")
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows with about ``limit`` bytes; a null text is empty.
 

@@ -291,8 +291,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamPar
     nothing, an item without a word is never leaked, items that repeat are found
     each under its id, items without an id are searched as any other and found under
     a null item_id, and document rows that repeat give rows each.  Empty tables
-    give no rows.  Whole texts are searched.
+    give no rows.  Whole texts are searched.  A ``key`` of the name of another result
+    column is refused.
     """
+    if key in ("item_id", "edits", "similarity", "end_word"):
+        raise ValueError(f"{key} is a column of the result; rename the key first")
     fed = docs.select(F.col(f"`{key}`").alias(key), F.col("text").alias("__text"))
     schema = f"{key} {fed.schema[0].dataType.simpleString()}, item_id long, edits int, similarity double, end_word long"
     found = None

@@ -5,7 +5,7 @@ lower-cased, each run of white space or digits as one space); a softmax layer on
 that mean gives the languages.  Both layers are trained by stochastic gradient
 descent in numpy.  For scoring the two linear layers are multiplied out, so that a
 subword costs one table row.  A temperature and a rejection level are fitted to
-rows kept out of the descent.
+what is said of rows that a descent left out.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, LOWER, held_out, text_chunks, unit_hash, widened
+from .common import CHUNK_BYTES, LOWER, bounded_sample, held_out, text_chunks, unit_hash, widened
 
 #: Returned for a null text and for a text without a letter.
 UNDETERMINED = "und"
@@ -27,11 +27,15 @@ UNDETERMINED = "und"
 class LanguageParams:
     #: Rows that the model is fitted to, about (drawn by a seeded hash of the id).
     max_train: int = 4000
+    #: Bytes of their texts, at most, in the order of a seeded hash; and of one of them.
+    max_bytes: int = 12 << 20
+    max_text: int = 1 << 18
     bits: int = 16
     width: int = 12
     epochs: int = 6
     rate: float = 0.5
-    calibration_share: float = 0.25
+    #: Parts of the drawn rows; each is left out of a descent in turn, and temperature and level are fitted to what is then said of it.
+    folds: int = 3
     #: Share of correctly named calibration rows that the rejection level lets through.
     keep: float = 0.995
     seed: int = 23
@@ -90,7 +94,7 @@ class LanguageModel:
             else:
                 total = np.zeros(logits.shape)
                 some = n > 0
-                total[some] = np.add.reduceat(self.table[feats], first[:-1][some], axis=0, dtype=np.float32)
+                total[some] = np.add.reduceat(self.table[feats], first[:-1][some], axis=0, dtype=np.float64)
             logits = logits + total / np.maximum(1, n)[:, None]
         z = logits / self.temperature
         z = np.exp(z - z.max(1, keepdims=True))
@@ -102,35 +106,51 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(-1, keepdims=True)
 
 
-def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], y: list[str], p: LanguageParams = LanguageParams()) -> LanguageModel:
-    """The model of (features, counts) rows and their languages.  No rows: a model that names every text ``und``."""
-    names = sorted(set(y)) or [UNDETERMINED]
-    goal = np.array([names.index(v) for v in y], np.int64)
+def _logits(row: tuple[np.ndarray, np.ndarray], table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    idx, count = row
+    return (count / count.sum()) @ table[idx] + bias if len(idx) else bias
+
+
+def step(emb: np.ndarray, out: np.ndarray, bias: np.ndarray, row: tuple[np.ndarray, np.ndarray], goal: int, rate: float) -> None:
+    """One step of gradient descent on the cross-entropy of one row; the embeddings of its subwords move by a fifth of the rate."""
+    idx, count = row
+    share = count / count.sum()
+    x = emb[idx]
+    mean = share @ x
+    error = _softmax(mean @ out + bias)
+    error[goal] -= 1
+    back = out @ error
+    out -= rate * np.outer(mean, error)
+    bias -= rate * 0.05 * error
+    emb[idx] = x - (rate * len(idx)) * share[:, None] * back[None, :] * 0.2
+
+
+def descent(rows: list[tuple[np.ndarray, np.ndarray]], goal: np.ndarray, train: np.ndarray, n_names: int, p: LanguageParams) -> tuple[np.ndarray, np.ndarray]:
+    """(logits of each subword, bias) after the epochs over the rows ``train``."""
     rng = np.random.default_rng(p.seed)
     emb = rng.uniform(-1 / p.width, 1 / p.width, (1 << p.bits, p.width))
-    out, bias = np.zeros((p.width, len(names))), np.zeros(len(names))
-    apart = rng.random(len(y)) < p.calibration_share if len(y) >= 40 else np.zeros(len(y), bool)
-    train = np.flatnonzero(~apart)
+    out, bias = np.zeros((p.width, n_names)), np.zeros(n_names)
     steps, done = max(1, p.epochs * len(train)), 0
     for _ in range(p.epochs):
         for i in rng.permutation(train):
-            idx, count = rows[i]
+            if len(rows[i][0]):
+                step(emb, out, bias, rows[i], goal[i], p.rate * (1 - done / steps))
             done += 1
-            if not len(idx):
-                continue
-            rate = p.rate * (1 - (done - 1) / steps)
-            share = count / count.sum()
-            x = emb[idx]
-            mean = share @ x
-            error = _softmax(mean @ out + bias)
-            error[goal[i]] -= 1
-            back = out @ error
-            out -= rate * np.outer(mean, error)
-            bias -= rate * 0.05 * error
-            emb[idx] = x - (rate * len(idx)) * share[:, None] * back[None, :] * 0.2
-    table = (emb @ out).astype(np.float32)
-    check = np.flatnonzero(apart) if apart.any() else train
-    logits = np.array([(c / c.sum()) @ table[i] + bias if len(i) else bias for i, c in (rows[k] for k in check)]).reshape(-1, len(names))
+    return (emb @ out).astype(np.float32), bias
+
+
+def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], y: list[str], p: LanguageParams = LanguageParams()) -> LanguageModel:
+    """The model of (features, counts) rows and their languages.  No rows: a model that names every text ``und``."""
+    names = sorted(set(y)) or [UNDETERMINED]
+    goal = np.array([names.index(v) for v in y], np.int64)
+    part = np.random.default_rng(p.seed).permutation(len(y)) % p.folds
+    logits = np.zeros((len(y), len(names)))
+    for k in range(p.folds):
+        table, bias = descent(rows, goal, np.flatnonzero(part != k), len(names), p)
+        for i in np.flatnonzero(part == k):
+            logits[i] = _logits(rows[i], table, bias)
+    table, bias = descent(rows, goal, np.arange(len(y)), len(names), p)
+    check = np.arange(len(y))
     best, loss = 1.0, np.inf
     for t in np.geomspace(0.05, 20, 60):
         if len(check) and (now := -np.log(_softmax(logits / t)[np.arange(len(check)), goal[check]] + 1e-12).mean()) < loss:
@@ -149,6 +169,7 @@ def training_rows(docs: DataFrame, p: LanguageParams) -> DataFrame:
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = p.max_train / max(1, usable.count())
     drawn = usable.where(unit_hash(p.seed, F.col("doc_id")) < share).select("lang", "text")
+    drawn = bounded_sample(drawn, p.seed, 2 * p.max_train, p.max_bytes, p.max_text)
     bits = p.bits
 
     def take(batches):
@@ -162,15 +183,15 @@ def training_rows(docs: DataFrame, p: LanguageParams) -> DataFrame:
                     names=["lang", "features", "counts"],
                 )
 
-    return drawn.mapInArrow(take, "lang string, features array<int>, counts array<int>").orderBy(F.xxhash64(F.lit(p.seed), "features", "counts"), "lang").limit(2 * p.max_train)
+    return drawn.mapInArrow(take, "lang string, features array<int>, counts array<int>")
 
 
 def fit(docs: DataFrame, p: LanguageParams = LanguageParams()) -> LanguageModel:
-    """The model of ``docs`` (doc_id, text, lang), fitted to about ``max_train`` of its rows on the driver."""
+    """The model of ``docs`` (doc_id, text, lang), fitted on the driver to a sample that ``max_train``, ``max_bytes`` and ``max_text`` bound."""
     got = training_rows(docs, p).toArrow()
     lang = got.column("lang").to_pylist()
     parts = [got.column(c).combine_chunks() for c in ("features", "counts")]
-    rows = [(np.asarray(parts[0][i].values, np.int64), np.asarray(parts[1][i].values, np.float64)) for i in range(len(lang))]
+    rows = [(np.asarray(parts[0][i].values), np.asarray(parts[1][i].values)) for i in range(len(lang))]
     order = sorted(range(len(rows)), key=lambda i: (lang[i], len(rows[i][0]), rows[i][0].tobytes(), rows[i][1].tobytes()))
     return fit_rows([rows[i] for i in order], [lang[i] for i in order], p)
 

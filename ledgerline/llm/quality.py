@@ -19,13 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, mix, run_hashes, text_chunks, unit_hash, widened, words
+from .common import bounded_sample, held_out, mix, run_hashes, text_chunks, unit_hash, widened, words
 
 
 @dataclass(frozen=True)
 class QualityParams:
     #: Labelled rows that the model is fitted to, at most (about as many are drawn, by a seeded hash of the id).
     max_train: int = 8000
+    #: Bytes of their texts, at most, in the same order; and of one of them.
+    max_bytes: int = 48 << 20
+    max_text: int = 1 << 20
     bits: int = 18
     #: Added to each class's count of a feature.
     smoothing: float = 1.0
@@ -188,6 +191,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: QualityParams) -> DataF
     drawn = known.where(unit_hash(p.seed, F.col("doc_id")) < share).orderBy(F.xxhash64(F.lit(p.seed), "doc_id"), "doc_id").limit(p.max_train).select("doc_id", "label")
     # at most max_train pairs of numbers: broadcast whatever the size of the corpus
     text = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("label", "text")
+    # repeated ids may give more rows than were drawn; which of them stay doesn't depend on the order of tasks
+    text = bounded_sample(text, p.seed, 2 * p.max_train, p.max_bytes, p.max_text)
     bits = p.bits
 
     def take(batches):
@@ -197,12 +202,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: QualityParams) -> DataF
                 cuts = np.searchsorted(doc, np.arange(end - at + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0)[at:end].cast(pa.int32()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature, pa.int32()))], names=["label", "features"])
 
-    # repeated ids may give more rows than were drawn; which of them stay doesn't depend on the order of tasks
-    return text.mapInArrow(take, "label int, features array<int>").orderBy(F.xxhash64(F.lit(p.seed), "features"), "label").limit(2 * p.max_train)
+    return text.mapInArrow(take, "label int, features array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> QualityModel:
-    """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), fitted to at most ``max_train`` of its rows on the driver."""
+    """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), fitted on the driver to a sample that ``max_train``, ``max_bytes`` and ``max_text`` bound."""
     got = training_rows(docs, labels, p).toArrow()
     column = got.column("features").combine_chunks()
     flat, cuts = np.asarray(column.values), np.asarray(column.offsets)

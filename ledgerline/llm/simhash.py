@@ -204,16 +204,3 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle_words: int = 3, bu
     least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
     named = grouped.select("fp", "group").join(least, "group").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = 3, shingle_words: int = 3) -> DataFrame:
-    """One row of each group of ``docs``, with all its columns: the smallest id, then by the text's hash and the row.
-
-    Rows without an id take part and come last in their group.
-    """
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    # each row under its number, so that groups are of rows whatever their ids
-    numbered = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), radius, shingle_words).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns), "__row")
-    kept = stored(rows.select("__row", order.alias("o")).join(numbered, "__row").groupBy("__group").agg(F.min("o").alias("least")).select("least.__row"), "kept")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)

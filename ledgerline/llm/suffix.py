@@ -144,8 +144,8 @@ def symbols(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 def suffix_order(group: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """The suffix array: rows sorted within their groups.
 
-    Larsson and Sadakane's refinement: groups of equal rank are sorted by what comes
-    next, and those that are down to one row are left alone from then on.
+    Groups of equal beginnings are sorted by their next bytes, and those that are down
+    to one row are left alone from then on.
     """
     n = len(group)
     order = np.argsort(group, kind="stable")

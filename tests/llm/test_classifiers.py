@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerline.llm import langid, quality
-from ledgerline.llm.common import held_out, text_chunks, words
+from ledgerline.llm.common import bounded_sample, held_out, text_chunks, words
 
 
 def documents(n=400):
@@ -47,15 +47,65 @@ def test_quality_without_labels_or_rows(spark):
     assert quality.classify(docs.limit(0), quality.fit(docs, none)).collect() == []
 
 
-def test_dual_coordinate_descent_keeps_its_conditions():
+def test_dual_coordinate_descent_against_a_dense_version_and_its_conditions():
     rng = np.random.default_rng(3)
-    rows = [np.unique(np.append(rng.integers(0, 40, 8), 50 + (i % 2))) for i in range(200)]
-    y = np.array([i % 2 for i in range(200)])
+    rows = [np.unique(np.append(rng.integers(0, 40, 8), 50 + (i % 2 if i % 17 else 1 - i % 2))) for i in range(200)]
+    y = np.array([int(i % 3 == 0) for i in range(200)])
     ratio = quality.log_count_ratio(rows, y, 6, 1.0)
-    assert ratio[51] > 0 > ratio[50]
-    w, b = quality.dual_coordinate_descent(rows, y, ratio, 1.0, 50, 1)
-    margin = np.array([w[r].sum() / np.sqrt(len(r)) + b for r in rows])
-    assert ((margin > 0) == (y == 1)).all()
+    plain = [np.log((1 + sum(f in r for r, v in zip(rows, y) if v == k)) / (64 + sum(len(r) for r, v in zip(rows, y) if v == k))) for f in range(64) for k in (1, 0)]
+    assert np.allclose(ratio, np.array(plain[0::2]) - np.array(plain[1::2]))
+    w, b = quality.dual_coordinate_descent(rows, y, ratio, 1.0, 400, 1)
+    # the same steps over dense rows with a constant column for the bias
+    x = np.zeros((200, 65))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt(len(r))
+    x[:, 64] = 1
+    sign, cap = np.where(y > 0, 1.0, -1.0), np.where(y > 0, 200 / (2 * y.sum()), 200 / (2 * (200 - y.sum())))
+    alpha, order = np.zeros(200), np.random.default_rng(1)
+    for _ in range(400):
+        was = alpha.copy()
+        for i in order.permutation(200):
+            gradient = sign[i] * (x[i] @ ((alpha * sign) @ x)) - 1
+            alpha[i] = np.clip(alpha[i] - gradient / (x[i] @ x[i]), 0, cap[i])
+        if np.abs(alpha - was).max() < 1e-3:
+            break
+    dense = (alpha * sign) @ x
+    assert np.allclose(w, dense[:64] * ratio, atol=1e-8) and np.isclose(b, dense[64])
+    # at the optimum: rows beyond the margin have no weight, rows inside it the largest
+    slack = sign * (np.array([w[r].sum() / np.sqrt(len(r)) for r in rows]) + b) - 1
+    assert (alpha[slack > 0.02] < 1e-6).all() and (alpha[slack < -0.02] > cap[slack < -0.02] - 1e-6).all()
+    assert 0 < (alpha > 0).sum() < 200
+
+
+def test_softmax_step_goes_down_the_gradient():
+    rng = np.random.default_rng(5)
+    row = np.array([1, 4, 6]), np.array([2, 1, 3])
+    emb, out, bias = rng.normal(size=(8, 3)), rng.normal(size=(3, 4)), rng.normal(size=4)
+
+    def loss(emb, out, bias):
+        z = (row[1] / row[1].sum()) @ emb[row[0]] @ out + bias
+        return np.log(np.exp(z).sum()) - z[2]
+
+    moved = [a.copy() for a in (emb, out, bias)]
+    langid.step(*moved, row, 2, 0.5)
+    for k, rate in enumerate((0.5 * 3 * 0.2, 0.5, 0.5 * 0.05)):
+        for at in np.ndindex(moved[k].shape):
+            ends = []
+            for e in (1e-6, -1e-6):
+                near = [a.copy() for a in (emb, out, bias)]
+                near[k][at] += e
+                ends.append(loss(*near))
+            slope = (ends[0] - ends[1]) / 2e-6
+            assert np.isclose(moved[k][at], (emb, out, bias)[k][at] - rate * slope, atol=1e-6)
+
+
+def test_training_rows_are_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (50 + i)) for i in range(200)] + [(300, "y" * 5000)] + [(7, "x" * 57)] * 3, "label int, text string")
+    sizes = lambda most, nbytes: [len(r.text) for r in bounded_sample(docs, 3, most, nbytes, 1000).collect()]
+    assert sum(sizes(1000, 3000)) <= 3000 < sum(sizes(1000, 5000)) + 300
+    assert len(sizes(20, 1 << 20)) <= 20 and len(sizes(1000, 1 << 20)) == 203
+    assert sizes(1000, 3000) and sorted(sizes(1000, 3000)) == sorted(len(r.text) for r in bounded_sample(docs.repartition(5), 3, 1000, 3000, 1000).collect())
+    assert bounded_sample(docs.limit(0), 3, 10, 10, 10).count() == 0
 
 
 def test_repeats_are_features():

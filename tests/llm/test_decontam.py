@@ -76,3 +76,19 @@ def test_items_without_an_id_are_searched(spark):
     docs = spark.createDataFrame([(1, f"before {one} after"), (2, f"{two} after"), (3, "clean"), (4, "an item with an id of its own")], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id or 0, r.similarity) for r in decontam.leaks(docs, items).collect()) == [(1, 0, 1.0), (2, 0, 1.0), (4, 7, 1.0)]
     assert [r.doc_id for r in decontam.keep_clean(docs, items).collect()] == [3]
+
+
+def test_a_key_with_the_name_of_a_result_is_refused(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    with pytest.raises(ValueError):
+        decontam.leaks(docs, docs, key="item_id")
+
+
+def test_extra_columns_with_clashing_names_are_carried(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, item, "x", 5), (2, "clean text", "y", 6)], "doc_id long, text string, item_id string, edits int")
+    bench = spark.createDataFrame([(9, item, 1)], "item_id long, text string, edits int")
+    assert [(r.doc_id, r.item_id, r.edits) for r in decontam.leaks(docs, bench).collect()] == [(1, 9, 0)]
+    assert [tuple(r) for r in decontam.keep_clean(docs, bench).collect()] == [(2, "clean text", "y", 6)]

@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontam, mixing, quality, simhash
+from ledgerline.llm import decontam, mixing, neardup, quality
 from tests.llm.test_neardup import plain_kept
 
 SF = "/root/testdata/sf0.001"
@@ -48,7 +48,7 @@ def test_decisions_take_effect(stages, spark):
 
 def test_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "A b c d e"), (None, "z z z y"), (3, None)], "doc_id long, text string").withColumn("source", F.lit("s"))
-    kept = simhash.keep_one(docs).collect()
+    kept = neardup.keep_one(docs).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 3), (True, 0)]
     real = mixing.realise(docs).collect()
     assert sum(len((r.text or "").split()) for r in real) == sum(r.taken for r in mixing.apportion(docs).collect())

@@ -81,9 +81,3 @@ def test_pivot_rows_never_discard_a_link(fps, a, b):
     i, j = simhash.near_pairs(fp, simhash.pivot_rows(fp), 3)
     got = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
     assert got == {(x, y) for x in range(len(fp)) for y in range(x + 1, len(fp)) if bin(int(fp[x] ^ fp[y])).count("1") <= 3}
-
-
-def test_one_row_of_each_group_whatever_its_id(spark):
-    rows = [(1, "a b c d e"), (1, "A b c d e"), (1, "a clean text of its own"), (None, "z z z y"), (None, "Z z z y"), (None, "a b c d e")]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or 0, r.text.lower()) for r in kept) == [(0, "z z z y"), (1, "a b c d e"), (1, "a clean text of its own")]

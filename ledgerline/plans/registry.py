@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from ledgerline.plans import intake, observations, relational, rules, texts, timeline  # noqa: E402, F401
+from ledgerline.plans import clinical, intake, observations, relational, rules, texts, timeline  # noqa: E402, F401

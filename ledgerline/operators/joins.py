@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.series import latest
@@ -104,6 +105,14 @@ def component_sums(whole: DataFrame, parts: DataFrame, key: str, total: str, par
     return whole.join(sums, key, "left").withColumn("holds", F.abs(F.col("parts_sum") - F.col(total)) <= tolerance)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the session's shared folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='ledgerline-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the session's shared folder, so that a loop's plan doesn't grow."""
     context = df.sparkSession.sparkContext

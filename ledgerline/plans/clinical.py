@@ -93,3 +93,82 @@ def report_units(spark, d):
     lines = table(spark, d, "events", "event_id", "user_id", "ts", "event_type", "props")
     signs = {"title": kind == "signup", "head": (kind == "view") & (k % 2 == 0), "marker": kind == "click", "result": kind == "purchase", "counter": kind == "error"}
     return contexts.units(lines.withColumns(signs), "user_id", ["ts", "event_id"]).select("event_id", "unit")
+
+
+# The findings of lines that are made from events, from the events themselves: what stands where, and how many anchors a page has.
+_FINDINGS = """
+WITH e AS (
+  SELECT event_id, user_id || '/' || ts::DATE AS page, event_type, coalesce((props->>'$.k')::INT, 0) AS k, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) AS n FROM events
+), s AS (
+  SELECT *, coalesce(last_value(CASE WHEN event_type = 'error' THEN false WHEN event_type = 'purchase' THEN true END IGNORE NULLS) OVER (PARTITION BY page ORDER BY n), true) AS counts FROM e
+), spec AS (SELECT page, 'S' || k % 2 AS raw, min(event_id) AS line FROM s WHERE counts AND event_type = 'signup' GROUP BY ALL
+), anchored AS (SELECT page, count(*) AS specimens FROM spec GROUP BY page
+), assays AS (SELECT page, count(*) AS assays FROM s WHERE counts AND event_type = 'view' GROUP BY page
+), stained AS (
+  SELECT s.*, coalesce(specimens, 0) = 1 AS bound_specimen, coalesce(assays, 0) = 1 AS bound_assay FROM s LEFT JOIN anchored USING (page) LEFT JOIN assays USING (page) WHERE counts AND event_type = 'click'
+)
+SELECT page, line, 'specimen.identity' AS key, 5 AS start, 7 AS "end", raw, '' AS links FROM spec
+UNION ALL SELECT s.page, event_id, 'assay.identity', 5, 12, 'PD-L1检测', CASE WHEN specimens = 1 THEN 'specimen' ELSE '' END FROM s LEFT JOIN anchored USING (page) WHERE counts AND event_type = 'view'
+UNION ALL SELECT page, event_id, 'ihc.marker', 0, 5, 'PD-L1', concat_ws(',', CASE WHEN bound_specimen THEN 'specimen' END, CASE WHEN bound_assay THEN 'assay' END) FROM stained
+UNION ALL SELECT page, event_id, CASE WHEN k % 3 = 0 THEN 'ihc.result' ELSE 'ihc.score' END, 6, CASE WHEN k % 3 = 0 THEN 8 ELSE 11 + length(k::VARCHAR) END, CASE WHEN k % 3 = 0 THEN '阳性' ELSE 'TPS:' || k || '%' END, concat_ws(',', CASE WHEN bound_specimen THEN 'specimen' END, CASE WHEN bound_assay THEN 'assay' END, 'marker') FROM stained
+"""
+
+
+@query(_FINDINGS)
+def pathology_findings(spark, d):
+    from ledgerline.operators import findings
+
+    k, kind = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)), F.col("event_type")
+    text = F.when(kind == "signup", F.concat(F.lit("标本编号:S"), (k % 2).cast("string"))).when(kind == "view", "检测项目:PD-L1检测").when(kind == "error", "质控结果:").when(kind == "purchase", "检测结果:")
+    text = F.coalesce(text, F.when(k % 3 == 0, "PD-L1:阳性").otherwise(F.concat(F.lit("PD-L1 TPS:"), k.cast("string"), F.lit("%"))))
+    lines = table(spark, d, "events", "event_id", "user_id", "ts", "event_type", "props").select(F.concat_ws("/", "user_id", F.to_date("ts")).alias("page"), F.col("event_id").alias("line"), text.alias("text"))
+    links = F.concat_ws(",", *(F.when(F.col(x).isNotNull(), x) for x in ("specimen", "assay", "marker")))
+    return findings.pathology(lines).select("page", "line", "key", "start", "end", "raw", links.alias("links"))
+
+
+_ROWS = """
+WITH c AS (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'), o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c) AND o_orderdate <= TIMESTAMP '1997-01-01'),
+l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)), s AS (SELECT * FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM l)),
+n AS (SELECT * FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c UNION SELECT s_nationkey FROM s)),
+k AS (
+  SELECT 'customer' AS "table", c_custkey::VARCHAR AS key FROM c UNION ALL SELECT 'orders', o_orderkey::VARCHAR FROM o UNION ALL SELECT 'lineitem', l_orderkey || '/' || l_linenumber FROM l UNION ALL SELECT 'supplier', s_suppkey::VARCHAR FROM s
+  UNION ALL SELECT 'part', p_partkey::VARCHAR FROM part WHERE p_partkey IN (SELECT l_partkey FROM l) UNION ALL SELECT 'nation', n_nationkey::VARCHAR FROM n UNION ALL SELECT 'region', r_regionkey::VARCHAR FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM n)
+)
+"""
+_WORDS = " || ',' || ".join(f"sum(('0x' || substr(sha256(key), {8 * i + 1}, 8))::BIGINT)::VARCHAR" for i in range(8))
+
+
+@query(_ROWS + f'SELECT "table", count(*) AS n_rows, sha256({_WORDS}) AS digest FROM k GROUP BY "table"')
+def export_snapshot(spark, d):
+    from ledgerline.operators import snapshot
+    from ledgerline.operators.snapshot import Reference
+
+    keys = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "nation": ["n_nationkey"], "region": ["r_regionkey"]}
+    tables = {t: table(spark, d, t) for t in keys}
+    # orders as they were known at the cut
+    tables["orders"] = snapshot.as_of(tables["orders"], keys["orders"], "o_orderdate", F.lit("1997-01-01").cast("timestamp_ntz"))
+    references = [
+        Reference("orders", ("o_custkey",), "customer", owned=True),
+        Reference("lineitem", ("l_orderkey",), "orders", owned=True),
+        Reference("lineitem", ("l_partkey",), "part"),
+        Reference("lineitem", ("l_suppkey",), "supplier"),
+        Reference("customer", ("c_nationkey",), "nation"),
+        Reference("supplier", ("s_nationkey",), "nation"),
+        Reference("nation", ("n_regionkey",), "region"),
+    ]
+    found = snapshot.closure(tables, keys, references, {"customer": tables["customer"].where("c_mktsegment = 'BUILDING'")})
+    return snapshot.manifest(found.tables, keys)
+
+
+@query("SELECT user_id, event_type, max(struct_pack(ts := ts, event_id := event_id)).event_id AS event_id FROM events GROUP BY ALL")
+def polled_latest(spark, d):
+    from ledgerline.operators.joins import scratch
+    from ledgerline.streaming import polling
+
+    # the stream is read to its end in micro-batches, each of which upserts
+    source = f"{d}/events.parquet*"  # a file or a folder
+    rows = table(spark, d, "events", "event_id", "user_id", "event_type", "ts")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(source)
+    sink, keys, order = scratch(spark, "polled"), ["user_id", "event_type"], ["ts", "event_id"]
+    polling.poll(stream, f"{sink}/rows", f"{sink}/state", keys, order).awaitTermination()
+    return polling.current(spark, f"{sink}/rows", rows.schema, keys, order).select("user_id", "event_type", "event_id")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def partial_date(text: Column) -> Column:
-    """struct(value, precision) of year, year-month or year-month-day in common spellings; UNKNOWN if none."""
+    """struct(value, precision) of year, year-month or year-month-day in common spellings; UNKNOWN if none, or outside 1900 to 2100."""
     clean = F.regexp_replace(F.regexp_replace(text, "[年月/.]", "-"), "日", "")
     clean = F.regexp_replace(F.trim(clean), "-+$", "")
     part = lambda k: F.regexp_extract(clean, r"^(\d{4})(?:-(\d{1,2}))?(?:-(\d{1,2}))?$", k)
     y, m, d = part(1), part(2), part(3)
     text_of = F.format_string("%s-%s-%s", y, F.when(m == "", "1").otherwise(m), F.when(d == "", "1").otherwise(d))
-    value = F.when(y != "", F.try_to_timestamp(text_of, F.lit("yyyy-M-d")).cast("date"))
+    value = F.when((y >= "1900") & (y <= "2100"), F.try_to_timestamp(text_of, F.lit("yyyy-M-d")).cast("date"))
     precision = F.when(value.isNull(), "UNKNOWN").when(d != "", "DAY").when(m != "", "MONTH").otherwise("YEAR")
     return F.struct(value.alias("value"), precision.alias("precision"))
 

@@ -18,9 +18,9 @@ def link_state(url: Column) -> Column:
     port = F.regexp_extract(F.try_parse_url(url, F.lit("AUTHORITY")), r":(\d+)$", 1)
     return (
         F.when(host.isNull(), "unreadable")
-        .when(scheme != "https", "scheme")
+        .when(~scheme.isin("http", "https"), "scheme")
         .when(F.try_parse_url(url, F.lit("USERINFO")).isNotNull(), "credentials")
-        .when(~port.isin("", "443"), "port")
+        .when(~((port == "") | ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80"))), "port")
         .when(host.rlike(PRIVATE) | host.startswith("["), "private")
         .when(~host.rlike(r"^([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z0-9-]{2,}$") | host.rlike(r"(^|\.)(localhost|local|internal)$"), "host")
         .otherwise("ok")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -151,14 +152,21 @@ def lineage(edges: DataFrame, node: str, previous: str, rounds: int = 40) -> Dat
     raise RuntimeError(f"chains are longer than 2 ** {rounds}")
 
 
-def hamming_within(left: DataFrame, right: DataFrame, bits: str, key: str, radius: int, bands: int) -> DataFrame:
-    """Pairs (left, right, distance) within the radius over 64-bit numbers; more bands than the radius lose no pair."""
-    width = 64 // bands
-    cut = lambda: F.posexplode(F.array(*(F.shiftrightunsigned(bits, k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(bands))))
-    a = left.select(F.col(key).alias("left"), F.col(bits).alias("__a"), cut().alias("__band", "__part"))
-    b = right.select(F.col(key).alias("right"), F.col(bits).alias("__b"), cut().alias("__band", "__part"))
-    pairs = a.join(b, ["__band", "__part"]).where(F.col("left") < F.col("right")).withColumn("distance", F.bit_count(F.col("__a").bitwiseXOR(F.col("__b"))))
-    return pairs.where(F.col("distance") <= radius).select("left", "right", "distance").distinct()
+def hamming_within(left: DataFrame, right: DataFrame, bits: str, key: str, radius: int, blocks: int = 4) -> DataFrame:
+    """Pairs (left, right, distance), left < right, within the radius over 64-bit numbers; rows of a null number are in none.
+
+    Some block of a pair within the radius differs by at most radius // blocks bits.  The left side asks
+    for all values so near to its own, so that both meet on whole blocks; a pair counts in its first such block.
+    """
+    width, reach = 64 // blocks, radius // blocks
+    part = lambda x, k: F.shiftrightunsigned(x, k * width).bitwiseAND(F.lit((1 << width) - 1))
+    near = [sum(1 << i for i in at) for n in range(reach + 1) for at in combinations(range(width), n)]
+    a = left.select(F.col(key).alias("left"), F.col(bits).alias("__a"), F.posexplode(F.array(*(part(bits, k) for k in range(blocks)))).alias("__block", "__own"))
+    a = a.select("left", "__a", "__block", F.explode(F.transform(F.array(*map(F.lit, near)), lambda m: F.col("__own").bitwiseXOR(m.cast("long")))).alias("__part"))
+    b = right.select(F.col(key).alias("right"), F.col(bits).alias("__b"), F.posexplode(F.array(*(part(bits, k) for k in range(blocks)))).alias("__block", "__part"))
+    pairs = a.join(b, ["__block", "__part"]).where(F.col("left") < F.col("right")).withColumn("__x", F.col("__a").bitwiseXOR(F.col("__b"))).withColumn("distance", F.bit_count("__x"))
+    first = reduce(lambda out, k: F.when(F.bit_count(part("__x", k)) <= reach, k).otherwise(out), reversed(range(blocks)), F.lit(-1))
+    return pairs.where((F.col("distance") <= radius) & (first == F.col("__block"))).select("left", "right", "distance")
 
 
 def complete_link(pairs: DataFrame, nodes: DataFrame, group: str) -> DataFrame:

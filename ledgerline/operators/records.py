@@ -154,8 +154,8 @@ def comparable(rows: DataFrame, conversions: DataFrame) -> DataFrame:
     )
 
 
-def folded(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key of equal results: sources, whether references differ, and flags that hold for all or for some.
+def folded(cells: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """One row for each key of equal results: sources, whether references differ, and flags that hold for all or for some; and ``more`` aggregates.
 
     cells: observation_id, reference_range_raw, report_flag_raw, trend_eligible,
     review_required and the keys.
@@ -165,6 +165,7 @@ def folded(cells: DataFrame, keys: list[str]) -> DataFrame:
         (F.countDistinct(F.coalesce(F.trim("reference_range_raw"), F.lit("")), F.coalesce(F.trim("report_flag_raw"), F.lit(""))) > 1).alias("reference_difference"),
         F.bool_and("trend_eligible").alias("trend_eligible"),
         F.bool_or("review_required").alias("review_required"),
+        *more,
     )
 
 
@@ -284,14 +285,14 @@ def text_rows(blocks: DataFrame, overlap: float = 0.4) -> DataFrame:
     """(version_id, page_number, row, text) of recognised blocks put into rows of a page, left to right.
 
     blocks: version_id, page_number, reading_order, text, x0, y0, x1, y1.  A block
-    joins the last rows whose height it shares by ``overlap``; the order matters, so
+    joins the newest of the last five rows whose height it shares by ``overlap``; the order matters, so
     a page (a bounded group) is worked on as one.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows: list[list] = []
         for b in pdf.sort_values(["y0", "x0", "reading_order"]).itertuples():
-            for r in rows[-5:]:
+            for r in reversed(rows[-5:]):
                 shared = min(r[1], b.y1) - max(r[0], b.y0)
                 if shared >= overlap * min(r[1] - r[0], b.y1 - b.y0):
                     r[0], r[1] = min(r[0], b.y0), max(r[1], b.y1)

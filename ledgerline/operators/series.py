@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 
 def over(keys: list[str], *order: Column | str):
+    """A window; null order values come first unless the order says otherwise."""
     w = Window.partitionBy(*keys)
     return w.orderBy(*order) if order else w
 
@@ -36,7 +37,7 @@ def numbered(df: DataFrame, keys: list[str], *order: Column | str, out: str = "p
 
 
 def placed(df: DataFrame, rank: str, number: str, out: str = "place", width: int = 1 << 14) -> DataFrame:
-    """The place of each row in the order of (rank, number) over the whole table; both are whole numbers and not null.
+    """The place of each row in the order of (rank, number) over the whole table; both are whole numbers, nulls come first.
 
     Rows are numbered within stretches of ``width`` numbers, so no task sorts the table; only counts of stretches meet in one.
     """
@@ -44,7 +45,9 @@ def placed(df: DataFrame, rank: str, number: str, out: str = "place", width: int
     before = F.sum("__n").over(Window.orderBy(rank, "__cut").rowsBetween(Window.unboundedPreceding, -1))
     counts = cut.groupBy(rank, "__cut").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
     own = F.row_number().over(over([rank, "__cut"], number))
-    return cut.withColumn("__own", own).join(counts, [rank, "__cut"]).withColumn(out, F.col("__before") + F.col("__own")).drop("__cut", "__own", "__before")
+    counts = counts.select(F.col(rank).alias("__rank"), F.col("__cut").alias("__of"), "__before")
+    same = F.col(rank).eqNullSafe(F.col("__rank")) & F.col("__cut").eqNullSafe(F.col("__of"))
+    return cut.withColumn("__own", own).join(counts, same).withColumn(out, F.col("__before") + F.col("__own")).drop("__cut", "__own", "__before", "__rank", "__of")
 
 
 def multiplicity(df: DataFrame, keys: list[str], out: str = "multiplicity") -> DataFrame:

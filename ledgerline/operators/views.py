@@ -16,14 +16,17 @@ def comparison_matrix(cells: DataFrame, catalog_order: list[tuple[str, int]]) ->
     """Cells of a patient's matrix: one row an indicator (code, specimen, method basis) and report, with both places.
 
     Rows are in the catalog's order, then by code; columns by report.  Equal results of
-    a cell are folded; a cell with two results shows both as n_results 2.
+    a cell are folded.  A cell of one result has its value (null if it can't be shown as a number) and unit;
+    of several, neither, but all ``results`` as they were printed.  ``abnormal`` is the flag that all its
+    results have, else ``review``.
 
-    cells: ``comparable`` rows with review and method_basis.
+    cells: ``comparable`` rows with review, method_basis and abnormal.
     """
     result = F.coalesce(F.round("shown_value", 6).cast("string"), F.col("raw_value"))
     keys = ["patient_id", "standard_code", "specimen", "method_basis", "report_id"]
-    shown = cells.select(*keys, result.alias("result"), "shown_unit", "observation_id", "reference_range_raw", "report_flag_raw", (F.col("state") != "insufficient").alias("trend_eligible"), F.col("review").alias("review_required"))
-    folds = folded(shown, [*keys, "result", "shown_unit"])
+    shown = cells.select(*keys, result.alias("result"), "shown_unit", "observation_id", "reference_range_raw", "report_flag_raw", (F.col("state") != "insufficient").alias("trend_eligible"), F.col("review").alias("review_required"), F.round("shown_value", 6).alias("value"), "raw_value", "abnormal")
+    printed = [F.min("value").alias("value"), F.array_sort(F.collect_set("raw_value")).alias("printed"), F.min("abnormal").alias("least"), F.max("abnormal").alias("most")]
+    folds = folded(shown, [*keys, "result", "shown_unit"], *printed)
     place = reduce(lambda out, x: F.when(F.col("standard_code") == x[0], x[1]).otherwise(out), catalog_order, F.lit(9))
     patient = Window.partitionBy("patient_id")
     indicator = (place, "standard_code", "specimen", "method_basis")
@@ -33,7 +36,11 @@ def comparison_matrix(cells: DataFrame, catalog_order: list[tuple[str, int]]) ->
         F.sum(F.size("sources")).alias("n_sources"),
         F.bool_or("reference_difference").alias("reference_difference"),
         F.bool_or("review_required").alias("review_required"),
-        F.min(F.col("sources")[0]).alias("first_source"),
+        F.min(F.get("sources", 0)).alias("first_source"),
+        F.when(F.count(F.lit(1)) == 1, F.min("value")).alias("value"),
+        F.when(F.count(F.lit(1)) == 1, F.min("shown_unit")).alias("unit"),
+        F.when(F.min("least") == F.max("most"), F.min("least")).otherwise("review").alias("abnormal"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("printed")))), " | ").alias("results"),
     )
 
 
@@ -41,6 +48,7 @@ def lab_output(cells: DataFrame, keys: list[str]) -> DataFrame:
     """A day's results: the latest value or a dispute, counts of results and reports, and whether references differ.
 
     cells: the keys, sampled_at, shown_value, accepted, report_id, reference_range_raw, report_flag_raw.
+    Null keys are a key.
     """
     last = daily_latest(cells, keys, "sampled_at", "shown_value", "accepted")
     counts = cells.groupBy(*keys).agg(
@@ -48,7 +56,29 @@ def lab_output(cells: DataFrame, keys: list[str]) -> DataFrame:
         F.countDistinct("report_id").alias("report_count"),
         (F.countDistinct(F.trim("reference_range_raw"), F.trim("report_flag_raw")) > 1).alias("reference_difference"),
     )
-    return last.join(counts, keys)
+    counts = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), "n_results", "report_count", "reference_difference")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    return last.join(counts, same).drop(*(f"__{k}" for k in keys))
+
+
+def report_groups(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each group of reports of the ``keys`` (a day, a month) that say the same: the reports, their values, and how they relate to the first group.
+
+    Reports with equal sets of (indicator, value, unit) are one group.  ``relation`` is ``first``; ``same_indicators``
+    (other values for the first group's indicators), ``part`` or ``wider`` (some of, or more than, its indicators),
+    ``overlapping`` or ``apart``.  Groups are in the order of their smallest report id; cells without a report
+    take no part; equal rows of a report count once.
+
+    cells: the keys, report_id, standard_code, shown_value, shown_unit.
+    """
+    said = cells.where("report_id IS NOT NULL").groupBy(*keys, "report_id").agg(F.array_sort(F.collect_set(F.struct("standard_code", "shown_value", "shown_unit"))).alias("said"))
+    groups = said.groupBy(*keys, "said").agg(F.array_sort(F.collect_set("report_id")).alias("reports"))
+    codes = F.array_sort(F.array_distinct(F.transform("said", lambda x: F.coalesce(x["standard_code"], F.lit("")))))
+    w = over(keys, F.get("reports", 0))
+    placed = groups.withColumn("codes", codes).withColumn("group_no", F.row_number().over(w)).withColumn("of", F.first("codes").over(w))
+    inside, holds = F.size(F.array_except("codes", "of")) == 0, F.size(F.array_except("of", "codes")) == 0
+    relation = F.when(F.col("group_no") == 1, "first").when(inside & holds, "same_indicators").when(inside, "part").when(holds, "wider").when(F.arrays_overlap("codes", "of"), "overlapping").otherwise("apart")
+    return placed.select(*keys, "group_no", "reports", F.size("said").alias("n_values"), relation.alias("relation"))
 
 
 def label_matches(code: Column, labels: dict[str, str], part: str) -> Column:

@@ -14,7 +14,7 @@ _CONTEXT = """
 WITH RECURSIVE e AS (
   SELECT event_id, user_id::VARCHAR AS scope, coalesce((props->>'$.k')::INT, 0) AS k, lag(event_id) OVER w AS one, lag(event_id, 3) OVER w AS three, lead(event_id) OVER w AS later FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 ), node AS (
-  SELECT event_id AS node, scope, CASE WHEN k % 13 = 0 THEN 'EXCLUDED' WHEN k % 9 = 1 THEN 'PENDING' ELSE 'CONFIRMED' END AS status, k % 41 <> 7 AS valid FROM e
+  SELECT event_id AS node, scope, CASE WHEN k % 13 = 0 THEN 'EXCLUDED' WHEN k % 9 = 1 THEN 'PENDING' ELSE 'CONFIRMED' END AS status, k % 41 <> 7 AS valid FROM e WHERE event_id IS NOT NULL
 ), link AS (
   SELECT event_id AS node, 'SPECIMEN' AS role, one AS target, 'S' || one % 3 AS entity FROM e WHERE k % 3 = 1
   UNION SELECT event_id, 'ASSAY', CASE WHEN k % 5 > 0 THEN three END, 'A' || three % 50 FROM e WHERE k % 4 = 2
@@ -120,7 +120,7 @@ def pathology_findings(spark, d):
 
     k, kind = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)), F.col("event_type")
     text = F.when(kind == "signup", F.concat(F.lit("标本编号:S"), (k % 2).cast("string"))).when(kind == "view", "检测项目:PD-L1检测").when(kind == "error", "质控结果:").when(kind == "purchase", "检测结果:")
-    text = F.coalesce(text, F.when(k % 3 == 0, "PD-L1:阳性").otherwise(F.concat(F.lit("PD-L1 TPS:"), k.cast("string"), F.lit("%"))))
+    text = F.coalesce(text, F.when(kind == "click", F.when(k % 3 == 0, "PD-L1:阳性").otherwise(F.concat(F.lit("PD-L1 TPS:"), k.cast("string"), F.lit("%")))))
     lines = table(spark, d, "events", "event_id", "user_id", "ts", "event_type", "props").select(F.concat_ws("/", "user_id", F.to_date("ts")).alias("page"), F.col("event_id").alias("line"), text.alias("text"))
     links = F.concat_ws(",", *(F.when(F.col(x).isNotNull(), x) for x in ("specimen", "assay", "marker")))
     return findings.pathology(lines).select("page", "line", "key", "start", "end", "raw", links.alias("links"))
@@ -160,7 +160,7 @@ def export_snapshot(spark, d):
     return snapshot.manifest(found.tables, keys)
 
 
-@query("SELECT user_id, event_type, max(struct_pack(ts := ts, event_id := event_id)).event_id AS event_id FROM events GROUP BY ALL")
+@query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST) = 1")
 def polled_latest(spark, d):
     from ledgerline.operators.joins import scratch
     from ledgerline.streaming import polling

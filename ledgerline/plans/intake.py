@@ -63,7 +63,7 @@ def sampling_times(spark, d):
     return intake.sampling_times(parts, ["user_id", "report"]).withColumn("sampled_at", F.date_format("sampled_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("WITH c AS (SELECT l_orderkey, l_linenumber % 2 AS page, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END AS priority, date_trunc('month', l_shipdate)::DATE AS day FROM lineitem), f AS (SELECT l_orderkey, page, min(priority) AS priority FROM c GROUP BY ALL) SELECT c.l_orderkey, c.page, (CASE WHEN count(DISTINCT day) FILTER (WHERE c.priority = f.priority) = 1 THEN min(day) FILTER (WHERE c.priority = f.priority) END)::VARCHAR AS observation_date, count(*) AS n_candidates, count(*) FILTER (WHERE c.priority = f.priority) AS n_selected FROM c JOIN f USING (l_orderkey, page) GROUP BY ALL")
+@query("WITH c AS (SELECT l_orderkey, l_linenumber % 2 AS page, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END AS priority, date_trunc('month', l_shipdate)::DATE AS day FROM lineitem), f AS (SELECT l_orderkey, page, min(priority) AS priority FROM c GROUP BY ALL) SELECT c.l_orderkey, c.page, (CASE WHEN count(DISTINCT day) FILTER (WHERE c.priority = f.priority) = 1 THEN min(day) FILTER (WHERE c.priority = f.priority) END)::VARCHAR AS observation_date, count(*) AS n_candidates, count(*) FILTER (WHERE c.priority = f.priority) AS n_selected FROM c JOIN f ON c.l_orderkey IS NOT DISTINCT FROM f.l_orderkey AND c.page IS NOT DISTINCT FROM f.page GROUP BY ALL")
 def page_dates(spark, d):
     lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate")
     priority = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2)
@@ -84,7 +84,7 @@ _SIDES = "['LEFT', 'RIGHT', 'BILATERAL', 'MIDLINE', 'BOTH']"
 
 
 @query(f"""
-WITH f AS (SELECT l_orderkey, CASE WHEN l_linenumber = 5 THEN 'lesion.size' WHEN l_linenumber % 3 = 0 THEN 'lesion.scoped_laterality' ELSE 'lesion.laterality' END AS field_key, CASE l_partkey % 5 WHEN 0 THEN 'UNKNOWN_SCOPE' WHEN 1 THEN 'NAMED_MEMBERS_ONLY' ELSE 'WHOLE_ENTITY' END AS st, {_SIDES}[l_orderkey % 2 + l_suppkey % 7 // 5 * 3 + 1] AS code, l_quantity > 5 AS usable, l_quantity >= 48 AS conflict, s_acctbal > 0 AS here FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey),
+WITH f AS (SELECT l_orderkey, CASE WHEN l_linenumber = 5 THEN 'lesion.size' WHEN l_linenumber % 3 = 0 THEN 'lesion.scoped_laterality' ELSE 'lesion.laterality' END AS field_key, CASE coalesce(l_partkey, 0) % 5 WHEN 0 THEN 'UNKNOWN_SCOPE' WHEN 1 THEN 'NAMED_MEMBERS_ONLY' ELSE 'WHOLE_ENTITY' END AS st, {_SIDES}[l_orderkey % 2 + l_suppkey % 7 // 5 * 3 + 1] AS code, l_quantity > 5 AS usable, l_quantity >= 48 AS conflict, s_acctbal > 0 AS here FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey),
 w AS (SELECT *, st = 'WHOLE_ENTITY' AND field_key = 'lesion.laterality' AS whole, st = 'NAMED_MEMBERS_ONLY' AND field_key = 'lesion.scoped_laterality' AS named FROM f WHERE field_key <> 'lesion.size'),
 g AS (SELECT l_orderkey, count(*) FILTER (WHERE whole) AS n_whole, count(*) FILTER (WHERE named) AS n_named, count(*) FILTER (WHERE NOT whole AND NOT named) AS n_unknown, list_distinct(list(code) FILTER (WHERE whole AND usable AND here AND NOT conflict AND code <> 'BOTH')) AS codes, bool_or(whole AND conflict) AS clash FROM w GROUP BY l_orderkey)
 SELECT l_orderkey, CASE WHEN coalesce(len(codes), 0) > 1 OR clash THEN 'CONFLICT' WHEN len(codes) = 1 THEN 'WHOLE_ENTITY' WHEN n_named > 0 THEN 'NAMED_MEMBERS_ONLY' WHEN n_unknown > 0 THEN 'UNKNOWN_SCOPE' ELSE 'UNAVAILABLE' END AS scope_state, CASE WHEN len(codes) = 1 AND NOT clash THEN codes[1] END AS side, n_whole, n_named, n_unknown FROM g
@@ -108,15 +108,13 @@ def effective_side(spark, d):
 
 @query("""
 WITH e AS (SELECT event_id AS id, user_id AS patient_id, event_type AS code, (props->>'$.k')::INT AS k FROM events),
-r AS (SELECT *, CASE WHEN code = 'signup' THEN 'PROJECT' WHEN code = 'view' AND k % 4 = 0 THEN 'UNIT' END AS kind, CASE WHEN code = 'signup' THEN CASE k % 3 WHEN 0 THEN 'Sign *Up' WHEN 1 THEN 'signup' ELSE 'sign-up' END ELSE 'mg' END AS term, CASE WHEN k % 7 = 0 THEN '' ELSE 'BLOOD' END AS specimen FROM e),
+r AS (SELECT *, CASE WHEN coalesce(code, 'signup') = 'signup' THEN 'PROJECT' WHEN code = 'view' AND k % 4 = 0 THEN 'UNIT' END AS kind, CASE WHEN coalesce(code, 'signup') = 'signup' THEN CASE k % 3 WHEN 0 THEN 'Sign *Up' WHEN 1 THEN 'signup' ELSE 'sign-up' END ELSE 'mg' END AS term, CASE WHEN k % 7 = 0 THEN '' ELSE 'BLOOD' END AS specimen FROM e),
 n AS (SELECT *, CASE WHEN kind = 'UNIT' THEN code ELSE '' END AS known, CASE WHEN term = 'Sign *Up' THEN 'signup' ELSE term END AS norm FROM r WHERE kind IS NOT NULL)
 SELECT patient_id, sha256(kind || ':' || norm || ':' || known || ':' || specimen) AS normalized_key, arg_min(kind, id) AS kind, arg_min(term, id) AS raw_term, arg_min(known, id) AS standard_code, count(*) AS n_sources, min(id) AS first_source FROM n GROUP BY patient_id, normalized_key
 """)
 def term_candidates(spark, d):
     known = joins.rule_table(spark, "standard_code, unit_keys", [("view", "g"), ("click", "g,mg"), ("purchase", "g,mg"), ("error", "g,mg")])
-    k = F.get_json_object("props", "$.k").cast("int")
-    names = table(spark, d, "events", "event_id", "props").select(F.col("event_id").alias("observation_id"), F.when(k % 3 == 0, "Sign *Up").when(k % 3 == 1, "signup").otherwise("sign-up").alias("raw_name"))
-    return intake.term_candidates(observations.observations(spark, d).join(names, "observation_id"), known.select("standard_code", F.split("unit_keys", ",").alias("unit_keys")))
+    return intake.term_candidates(observations.observations(spark, d), known.select("standard_code", F.split("unit_keys", ",").alias("unit_keys")))
 
 
 @query(observations.POINTS + """

@@ -18,16 +18,17 @@ from ledgerline.sources.tables import table
 _OBS = """
 WITH e AS (SELECT *, (props->>'$.k')::INT AS k FROM events),
 obs AS (
-  SELECT event_id AS observation_id, user_id AS patient_id, user_id || '/' || ts::DATE AS report_id, event_type AS standard_code, CASE WHEN k % 7 = 0 THEN '' ELSE 'BLOOD' END AS specimen,
+  SELECT event_id AS observation_id, user_id AS patient_id, concat_ws('/', user_id, ts::DATE) AS report_id, event_type AS standard_code, CASE WHEN k % 7 = 0 THEN '' ELSE 'BLOOD' END AS specimen,
     CASE WHEN k % 5 = 0 THEN '' ELSE 'M' || (k % 2) END AS method_raw, CASE WHEN k % 20 = 3 THEN 'n/a' ELSE printf('%.2f', value) END AS raw_value, CASE WHEN k % 4 = 0 THEN 'mg' ELSE 'g' END AS raw_unit,
     CASE k % 10 WHEN 1 THEN 0.85 WHEN 2 THEN 0.70 ELSE 0.97 END AS confidence, ts::DATE AS observation_date, ts AS sampled_at, ['north', 'south', ''][k % 3 + 1] AS institution,
     ['5--80', '<=60', '<60', ''][k % 4 + 1] AS reference_range_raw, CASE k % 11 WHEN 1 THEN 'H' WHEN 2 THEN 'low' WHEN 3 THEN 'N' WHEN 4 THEN '?' ELSE '' END AS report_flag_raw, k = 99 AS deleted
   FROM e
 ), own AS (
   SELECT *, try_cast(raw_value AS DECIMAL(28, 10)) AS value, list_filter([
-    CASE WHEN deleted THEN 'source_unavailable' END, CASE WHEN confidence < 0.95 THEN 'recognition_uncertain' END, CASE WHEN standard_code = 'signup' THEN 'mapping_unknown' END,
+    CASE WHEN deleted THEN 'source_unavailable' END, CASE WHEN confidence < 0.95 THEN 'recognition_uncertain' END, CASE WHEN coalesce(standard_code, 'signup') = 'signup' THEN 'mapping_unknown' END,
     CASE WHEN standard_code = 'error' AND specimen = 'BLOOD' THEN 'specimen_conflict' END, CASE WHEN standard_code <> 'signup' AND specimen = '' THEN 'specimen_unknown' END,
-    CASE WHEN raw_value = 'n/a' THEN 'type_conflict' END, CASE WHEN raw_value = 'n/a' THEN 'numeric_unsupported' END, CASE WHEN standard_code = 'view' AND raw_unit = 'mg' THEN 'unit_unknown' END], lambda x: x IS NOT NULL) AS base
+    CASE WHEN coalesce(raw_value, 'n/a') = 'n/a' THEN 'type_conflict' END, CASE WHEN coalesce(raw_value, 'n/a') = 'n/a' THEN 'numeric_unsupported' END, CASE WHEN standard_code = 'view' AND raw_unit = 'mg' THEN 'unit_unknown' END,
+    CASE WHEN observation_date IS NULL THEN 'date_uncertain' END], lambda x: x IS NOT NULL) AS base
   FROM obs
 ), usable AS (SELECT * FROM own WHERE len(base) = 0 AND method_raw <> '' AND specimen <> ''
 ), days AS (
@@ -69,9 +70,10 @@ def observations(spark, d) -> DataFrame:
         F.col("user_id").alias("patient_id"),
         F.concat_ws("/", "user_id", F.to_date("ts")).alias("report_id"),
         F.col("event_type").alias("standard_code"),
+        F.when(k % 3 == 0, "Sign *Up").when(k % 3 == 1, "signup").otherwise("sign-up").alias("raw_name"),
         F.when(k % 7 == 0, "").otherwise("BLOOD").alias("specimen"),
         F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("M"), (k % 2).cast("string"))).alias("method_raw"),
-        F.when(k % 20 == 3, "n/a").otherwise(F.format_string("%.2f", "value")).alias("raw_value"),
+        F.when(k % 20 == 3, "n/a").when(F.col("value").isNotNull(), F.format_string("%.2f", "value")).alias("raw_value"),
         F.when(k % 4 == 0, "mg").otherwise("g").alias("raw_unit"),
         F.lit("numeric").alias("result_type"),
         F.when(k % 10 == 1, 0.85).when(k % 10 == 2, 0.70).otherwise(0.97).alias("confidence"),
@@ -114,13 +116,14 @@ def comparable_cells(spark, d):
 
 
 _MATRIX = """, folds AS (
-  SELECT patient_id, standard_code, specimen, method_basis, report_id, CASE WHEN shown_value IS NULL THEN raw_value ELSE round(shown_value, 6)::VARCHAR END AS result, shown_unit, list(observation_id ORDER BY observation_id) AS sources,
+  SELECT patient_id, standard_code, specimen, method_basis, report_id, CASE WHEN shown_value IS NULL THEN raw_value ELSE round(shown_value, 6)::VARCHAR END AS result, shown_unit, coalesce(list(observation_id ORDER BY observation_id) FILTER (WHERE observation_id IS NOT NULL), []) AS sources, min(round(shown_value, 6)) AS value, list(raw_value) AS printed, min(abnormal) AS least, max(abnormal) AS most,
     count(DISTINCT (reference_range_raw, report_flag_raw)) > 1 AS reference_difference, bool_or(review) AS review_required
   FROM shown GROUP BY ALL
 ), placed AS (
   SELECT *, dense_rank() OVER (PARTITION BY patient_id ORDER BY CASE standard_code WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 9 END, standard_code, specimen, method_basis) AS row_no, dense_rank() OVER (PARTITION BY patient_id ORDER BY report_id) AS column_no FROM folds
 )
-SELECT patient_id, row_no::INT AS row_no, column_no::INT AS column_no, standard_code, specimen, method_basis, report_id, count(*) AS n_results, sum(len(sources))::BIGINT AS n_sources, bool_or(reference_difference) AS reference_difference, bool_or(review_required) AS review_required, min(sources[1]) AS first_source
+SELECT patient_id, row_no::INT AS row_no, column_no::INT AS column_no, standard_code, specimen, method_basis, report_id, count(*) AS n_results, sum(len(sources))::BIGINT AS n_sources, bool_or(reference_difference) AS reference_difference, bool_or(review_required) AS review_required, min(sources[1]) AS first_source,
+  CASE WHEN count(*) = 1 THEN min(value) END AS value, CASE WHEN count(*) = 1 THEN min(shown_unit) END AS unit, CASE WHEN min(least) = max(most) THEN min(least) ELSE 'review' END AS abnormal, coalesce(array_to_string(list_sort(list_distinct(flatten(list(printed)))), ' | '), '') AS results
 FROM placed GROUP BY ALL
 """
 
@@ -144,6 +147,23 @@ def lab_output(spark, d):
     return views.lab_output(cells, ["patient_id", "institution", "standard_code", "observation_date"])
 
 
+_GROUPS = """, c AS (
+  SELECT DISTINCT patient_id, date_trunc('month', observation_date)::DATE AS month, report_id AS report, standard_code AS code, round(shown_value / 50) AS value, shown_unit FROM shown WHERE state <> 'insufficient'
+), r AS (
+  SELECT patient_id, month, report, string_agg(code || ':' || coalesce(value::VARCHAR, '') || ':' || shown_unit, ',' ORDER BY code, value, shown_unit) AS said, list_sort(list_distinct(list(code))) AS codes, count(*) AS n FROM c GROUP BY ALL
+), g AS (SELECT patient_id, month, said, any_value(codes) AS codes, any_value(n)::INT AS n_values, string_agg(report, ',' ORDER BY report) AS reports, min(report) AS first FROM r GROUP BY ALL
+), p AS (SELECT *, row_number() OVER w AS group_no, first_value(codes) OVER w AS own FROM g WINDOW w AS (PARTITION BY patient_id, month ORDER BY first))
+SELECT patient_id, month, group_no, reports, n_values, CASE WHEN group_no = 1 THEN 'first' WHEN codes = own THEN 'same_indicators' WHEN list_has_all(own, codes) THEN 'part' WHEN list_has_all(codes, own) THEN 'wider' WHEN list_has_any(codes, own) THEN 'overlapping' ELSE 'apart' END AS relation FROM p
+"""
+
+
+@query(_OBS + _GROUPS)
+def report_groups(spark, d):
+    # a month's reports, with values in steps of 50
+    cells = _cells(spark, d).where("state <> 'insufficient'").withColumn("shown_value", F.round(F.col("shown_value") / 50)).withColumn("month", F.trunc("observation_date", "month"))
+    return views.report_groups(cells, ["patient_id", "month"]).withColumn("reports", F.array_join("reports", ","))
+
+
 @query(_OBS + ", v AS (SELECT * FROM obs WHERE confidence >= 0.8) SELECT standard_code, count(*) AS visible, count(*) FILTER (WHERE confidence >= 0.9) AS named, count(*) FILTER (WHERE confidence >= 0.95) AS trend FROM v GROUP BY standard_code")
 def confidence_gates(spark, d):
     o = observations(spark, d).where(records.visible(F.col("confidence")))
@@ -171,7 +191,9 @@ def page_rollup(spark, d):
 @query("SELECT vec_id, len(list_filter(embedding, lambda x: x::DOUBLE > m))::INT AS bits FROM (SELECT *, list_median(list_transform(embedding, lambda x: x::DOUBLE)) AS m FROM embeddings)")
 def median_bits(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "embedding").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
-    return e.select("vec_id", F.size(F.filter("v", lambda x: x > views.array_median(F.col("v")))).alias("bits"))
+    # the median is a field of a struct, so that it is found once for each vector
+    counted = F.transform(F.array(F.struct("v", views.array_median(F.col("v")).alias("m"))), lambda s: F.size(F.filter(s["v"], lambda x: x > s["m"])))
+    return e.select("vec_id", counted[0].alias("bits"))
 
 
 @query("SELECT o_orderkey, date_trunc('month', o_orderdate)::DATE AS month, (date_trunc('month', o_orderdate) - INTERVAL 1 MONTH)::DATE AS before, (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::DATE AS after FROM orders")
@@ -234,7 +256,7 @@ def rule_coverage(spark, d):
     return views.rule_coverage(table(spark, d, "lineitem", "l_returnflag", "l_shipdate", "l_quantity", "l_discount"), rules)
 
 
-@query("SELECT o_custkey, sha256(string_agg('{\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}', chr(10) ORDER BY o_orderkey)) AS fingerprint FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, sha256(string_agg('{' || concat_ws(',', '\"o_orderkey\":' || o_orderkey, '\"o_orderstatus\":\"' || o_orderstatus || '\"') || '}', chr(10) ORDER BY o_orderkey NULLS FIRST)) AS fingerprint FROM orders GROUP BY o_custkey")
 def dependency_fingerprint(spark, d):
     from ledgerline.operators import aggregates
 

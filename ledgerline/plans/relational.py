@@ -35,7 +35,7 @@ def anti_join_missing(spark, d):
 @query("SELECT o_orderkey, l_partkey, l_shipdate FROM orders LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) AS rn FROM lineitem) l ON l_orderkey = o_orderkey AND rn = 1")
 def scalar_subquery_first(spark, d):
     lines = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_shipdate", "l_linenumber").withColumnRenamed("l_orderkey", "o_orderkey")
-    return joins.first_of(table(spark, d, "orders", "o_orderkey"), lines, ["o_orderkey"], [F.col("l_shipdate"), F.col("l_linenumber"), F.col("l_partkey")], ["l_partkey", "l_shipdate"])
+    return joins.first_of(table(spark, d, "orders", "o_orderkey"), lines, ["o_orderkey"], [F.col(x).asc_nulls_last() for x in ("l_shipdate", "l_linenumber", "l_partkey")], ["l_partkey", "l_shipdate"])
 
 
 @query("SELECT c_custkey, coalesce((SELECT count(*) FROM orders WHERE o_custkey = c_custkey), 0) AS n_orders FROM customer")
@@ -134,7 +134,7 @@ def paged_total_order(spark, d):
     return table(spark, d, "documents", "doc_id", "n_chars").orderBy(F.col("n_chars").desc_nulls_last(), "doc_id").offset(40).limit(20)
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderkey) AS place FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderkey NULLS FIRST) AS place FROM orders")
 def stable_priority_order(spark, d):
     rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
     o = table(spark, d, "orders", "o_orderkey", "o_orderpriority").select("o_orderkey", rank.alias("rank"))
@@ -160,8 +160,9 @@ def scope_projection_recount(spark, d):
 def closure_violations(spark, d):
     lines, o = table(spark, d, "lineitem", "l_orderkey", "l_partkey"), table(spark, d, "orders", "o_orderkey")
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("violation"), "n")
-    missing_order = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
-    missing_part = lines.join(table(spark, d, "part", "p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_anti")
+    # a null names nothing
+    missing_order = lines.where("l_orderkey IS NOT NULL").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
+    missing_part = lines.where("l_partkey IS NOT NULL").join(table(spark, d, "part", "p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_anti")
     repeated = o.agg((F.count(F.lit(1)) - F.countDistinct("o_orderkey")).alias("n")).select(F.lit("repeated_order").alias("violation"), "n")
     return count(missing_order, "missing_order").union(count(missing_part, "missing_part")).union(repeated)
 
@@ -187,16 +188,17 @@ def pricing_summary(spark, d):
 
 @query()
 def cluster_complete_link(spark, d):
-    s = table(spark, d, "supplier", "s_nationkey", "s_suppkey", "s_acctbal")
-    pairs = joins.unordered_pairs(s, ["s_nationkey"], "s_suppkey")
-    bal = s.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("b"))
-    near = pairs.join(bal.select(F.col("k").alias("left"), F.col("b").alias("lb")), "left").join(bal.select(F.col("k").alias("right"), F.col("b").alias("rb")), "right").where(F.abs(F.col("lb") - F.col("rb")) < 3000)
-    return joins.complete_link(near.select("s_nationkey", "left", "right"), s.select("s_nationkey", F.col("s_suppkey").alias("node")), "s_nationkey")
+    # a customer's orders, near in price: groups that don't grow with the tables
+    o = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_totalprice").where("o_custkey IS NOT NULL AND o_orderkey IS NOT NULL")
+    other = o.select("o_custkey", F.col("o_orderkey").alias("right"), F.col("o_totalprice").alias("p"))
+    near = o.join(other, "o_custkey").where((F.col("o_orderkey") < F.col("right")) & (F.abs(F.col("o_totalprice") - F.col("p")) < 100000))
+    return joins.complete_link(near.select("o_custkey", F.col("o_orderkey").alias("left"), "right"), o.select("o_custkey", F.col("o_orderkey").alias("node")), "o_custkey")
 
 
 @query()
 def assignment_matching(spark, d):
-    s = table(spark, d, "supplier", "s_nationkey", "s_suppkey", "s_acctbal")
-    c = table(spark, d, "customer", "c_nationkey", "c_custkey", "c_acctbal")
-    scores = s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select("s_nationkey", F.col("s_suppkey").alias("left"), F.col("c_custkey").alias("right"), (1 / (1 + F.abs(F.col("s_acctbal") - F.col("c_acctbal")))).alias("score"))
-    return joins.assigned(scores, "s_nationkey").withColumn("score", F.round("score", 9))
+    # open and finished orders of a customer, by price
+    o = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice").where("o_custkey IS NOT NULL")
+    done = o.where("o_orderstatus = 'F'").select("o_custkey", F.col("o_orderkey").alias("right"), F.col("o_totalprice").alias("p"))
+    scores = o.where("o_orderstatus = 'O'").join(done, "o_custkey").select("o_custkey", F.col("o_orderkey").alias("left"), "right", (1 / (1 + F.abs(F.col("o_totalprice") - F.col("p")) / 1000)).alias("score"))
+    return joins.assigned(scores, "o_custkey").withColumn("score", F.round("score", 9))

@@ -15,17 +15,19 @@ from ledgerline.sources.tables import EVENT_PROPS, table
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents")
 def exact_dedup_first(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("h"))
-    return docs.join(docs.groupBy("h").agg(F.min("doc_id").alias("first_id")), "h").select("doc_id", "first_id")
+    # texts that are null are one text
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("h", "of")
+    return docs.join(first, F.col("h").eqNullSafe(F.col("of"))).select("doc_id", "first_id")
 
 
 _HALF = "list_sum(list_transform(range({0}, {0} + 32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << (i - {0})::INT) ELSE 0::BIGINT END))::BIGINT"
 
 
-@query(f"WITH s AS (SELECT vec_id, {_HALF.format(0)} AS a, {_HALF.format(32)} AS b FROM embeddings), p AS (SELECT x.vec_id AS left, y.vec_id AS right, (bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)))::INT AS distance FROM s x JOIN s y ON x.vec_id < y.vec_id) SELECT * FROM p WHERE distance <= 8")
+@query(f"WITH s AS (SELECT vec_id, {_HALF.format(0)} AS a, {_HALF.format(32)} AS b FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT x.vec_id AS left, y.vec_id AS right, (bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)))::INT AS distance FROM s x JOIN s y ON x.vec_id < y.vec_id) SELECT * FROM p WHERE distance <= 8")
 def embedding_sign_hamming(spark, d):
     bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
     v = table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", bits.alias("bits"))
-    return joins.hamming_within(v, v, "bits", "vec_id", 8, 10)
+    return joins.hamming_within(v.where("bits IS NOT NULL"), v.where("bits IS NOT NULL"), "bits", "vec_id", 8)
 
 
 @query("WITH p AS (SELECT doc_id, text, length(text) AS n, position('license' IN lower(text)) AS pos FROM documents), s AS (SELECT *, greatest(1, pos - 66) AS b FROM p) SELECT doc_id, n, CASE WHEN pos > 0 THEN CASE WHEN b > 1 THEN '…' ELSE '' END || substring(text, b::INT, 140) || CASE WHEN b + 139 < n THEN '…' ELSE '' END END AS hit FROM s")
@@ -53,9 +55,13 @@ def keyword_classifier(spark, d):
 
 @query(r"WITH c AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.\n]')) AS clause FROM documents) SELECT doc_id, count(*) FILTER (WHERE regexp_matches(clause, '(?:^|[^\p{L}])(?:not|no|nicht|pas)(?:$|[^\p{L}])')) AS negated, count(*) FILTER (WHERE regexp_matches(clause, '(?:^|[^\p{L}])(?:may|or|oder|ou)(?:$|[^\p{L}])') AND NOT regexp_matches(clause, '(?:^|[^\p{L}])(?:not|no|nicht|pas)(?:$|[^\p{L}])')) AS uncertain FROM c WHERE length(trim(clause)) > 0 GROUP BY doc_id")
 def negation_assertion(spark, d):
-    c = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(F.split("text", r"[.\n]", -1)).alias("clause")).where(F.length(F.trim("clause")) > 0)
-    no, maybe = F.col("clause").rlike(r"(?:^|[^\p{L}])(?:not|no|nicht|pas)(?:$|[^\p{L}])"), F.col("clause").rlike(r"(?:^|[^\p{L}])(?:may|or|oder|ou)(?:$|[^\p{L}])")
-    return c.groupBy("doc_id").agg(F.count_if(no).alias("negated"), F.count_if(maybe & ~no).alias("uncertain"))
+    # each text's clauses in an array of their own: no row leaves its task
+    no = lambda c: c.rlike(r"(?:^|[^\p{L}])(?:not|no|nicht|pas)(?:$|[^\p{L}])")
+    maybe = lambda c: c.rlike(r"(?:^|[^\p{L}])(?:may|or|oder|ou)(?:$|[^\p{L}])")
+    said = F.filter(F.split("text", r"[.\n]", -1), lambda c: F.length(F.trim(c)) > 0)
+    kinds = F.transform(said, lambda c: F.when(no(c), "negated").when(maybe(c), "uncertain").otherwise(""))
+    count = lambda kind: F.size(F.filter("kinds", lambda x: x == kind)).cast("long").alias(kind)
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", kinds.alias("kinds")).where(F.size("kinds") > 0).select("doc_id", count("negated"), count("uncertain"))
 
 
 @query(r"SELECT doc_id, CASE WHEN regexp_matches(w, '^\s*[=+\-@]') THEN '''' || w ELSE w END AS guarded FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '=' || text WHEN 1 THEN ' +' || text ELSE text END AS w FROM documents)")
@@ -114,13 +120,13 @@ def document_census(spark, d):
     return table(spark, d, "documents", "doc_id", "source", "lang", "n_chars").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first_id"))
 
 
-@query("SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS turns, coalesce(string_agg(role, '>' ORDER BY turn), '') AS roles FROM conversations GROUP BY conv_id")
 def conversation_shape(spark, d):
     c = table(spark, d, "conversations", "conv_id", "turn", "role")
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">").alias("roles"))
 
 
-@query("""SELECT o_orderkey, '{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_totalprice":' || o_totalprice || '}' AS line FROM orders""")
+@query("""SELECT o_orderkey, '{"o_custkey":' || coalesce(o_custkey::VARCHAR, 'null') || ',"o_orderkey":' || coalesce(o_orderkey::VARCHAR, 'null') || ',"o_totalprice":' || coalesce(o_totalprice::VARCHAR, 'null') || '}' AS line FROM orders""")
 def portable_json(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice")
     from ledgerline.sources.sinks import canonical_json

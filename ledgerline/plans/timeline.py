@@ -56,7 +56,7 @@ def multiplicity_window(spark, d):
     return series.multiplicity(table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "multiplicity")
 
 
-@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS attempt FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate NULLS FIRST, o_orderkey NULLS FIRST) AS attempt FROM orders")
 def attempt_numbers(spark, d):
     return series.numbered(table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate"), ["o_custkey"], "o_orderdate", "o_orderkey", out="attempt").select("o_orderkey", "attempt")
 
@@ -68,7 +68,7 @@ def latest_revision_overlay(spark, d):
     return joins.overlay(base, rev, ["o_orderkey"], "sequence", ["o_orderstatus"]).select("o_orderkey", "o_orderstatus", "effective_o_orderstatus")
 
 
-@query("WITH RECURSIVE e AS (SELECT o_orderkey AS node, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders), r AS (SELECT node, node AS root, 0 AS steps FROM e WHERE prev IS NULL UNION ALL SELECT e.node, r.root, r.steps + 1 FROM e JOIN r ON e.prev = r.node) SELECT node, root, steps FROM r")
+@query("WITH RECURSIVE e AS (SELECT o_orderkey AS node, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate NULLS FIRST, o_orderkey NULLS FIRST) AS prev FROM orders), r AS (SELECT node, node AS root, 0 AS steps FROM e WHERE prev IS NULL UNION ALL SELECT e.node, r.root, r.steps + 1 FROM e JOIN r ON e.prev = r.node) SELECT node, root, steps FROM r")
 def recursive_lineage(spark, d):
     from pyspark.sql.window import Window
 
@@ -88,7 +88,7 @@ def window_then_filter(spark, d):
     return series.change_then_filter(e, ["user_id"], "place", "value", F.col("value") > 50).select("event_id", "value", F.round("delta", 6).alias("delta"))
 
 
-@query("SELECT user_id, CAST(time_bucket(INTERVAL '60 seconds', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT user_id, CAST(time_bucket(INTERVAL '60 seconds', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def tumbling_counts(spark, d):
     return limits.tumbling(table(spark, d, "events", "user_id", "ts"), ["user_id"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
@@ -109,7 +109,7 @@ WITH RECURSIVE n AS (SELECT event_id, user_id, event_type = 'purchase' AS closes
 f AS (
   SELECT event_id, user_id, i, CASE WHEN closes THEN -1 ELSE t END AS began, CASE WHEN closes THEN 0 ELSE 1 END AS used FROM n WHERE i = 1
   UNION ALL
-  SELECT n.event_id, n.user_id, n.i, CASE WHEN closes THEN -1 WHEN began < 0 OR t - began >= 900 THEN t ELSE began END, CASE WHEN closes THEN 0 WHEN began < 0 OR t - began >= 900 THEN 1 ELSE used + 1 END FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1
+  SELECT n.event_id, n.user_id, n.i, CASE WHEN closes THEN -1 WHEN began < 0 OR t - began >= 900 THEN t ELSE began END, CASE WHEN closes THEN 0 WHEN began < 0 OR t - began >= 900 THEN 1 ELSE used + 1 END FROM f JOIN n ON n.user_id IS NOT DISTINCT FROM f.user_id AND n.i = f.i + 1
 )
 SELECT event_id, user_id, used <= 5 AS allowed FROM f
 """)
@@ -126,7 +126,7 @@ def stale_leases(spark, d):
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
 def dedup_idempotent(spark, d):
-    return series.latest(table(spark, d, "events", "event_id", "user_id", "event_type"), ["user_id", "event_type"], F.col("event_id")).select("user_id", "event_type", "event_id")
+    return series.latest(table(spark, d, "events", "event_id", "user_id", "event_type"), ["user_id", "event_type"], F.col("event_id").asc_nulls_last()).select("user_id", "event_type", "event_id")
 
 
 @query("SELECT event_id FROM (SELECT event_id, date_part('day', ts) AS gen, max(date_part('day', ts)) OVER (PARTITION BY user_id) AS newest FROM events) WHERE gen = newest")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.findings import Page
+from ledgerline.functions.variants import Grid
 
 _FIELDS = "page string, number int, key string, entity string, value map<string,string>, line long, start int, end int, raw string, role string, specimen int, assay int, marker int, limits array<string>"
 _KINDS = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
@@ -43,3 +44,42 @@ def pathology(lines: DataFrame) -> DataFrame:
     """
     rows = lines.select(F.col("page").cast("string").alias("page"), F.col("line").cast("long").alias("line"), F.col("text"))
     return F.arrow_udtf(_Pages, returnType=_FIELDS)(rows.asTable().partitionBy("page").orderBy("line", "text"))
+
+
+_VARIANT = "page string, row long, role string, scope string, status string, assertion string, gene string, coding string, protein string, transcript string, exon string, fusion string, fraction string, copies string, parts array<struct<name:string,value:string,row:long,x:double,start:int,end:int>>"
+_NAMES = ("gene", "coding", "protein", "transcript", "exon", "fusion", "fraction", "copies")
+_PART = pa.struct([("name", pa.string()), ("value", pa.string()), ("row", pa.int64()), ("x", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
+
+
+class _Grids:
+    """One page's cells at a time, by row."""
+
+    def __init__(self):
+        self.page, self.rows = None, {}
+
+    def eval(self, batch: pa.RecordBatch):
+        self.page = batch.column(0)[0].as_py() if batch.num_rows else self.page
+        for row, x, text in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            self.rows.setdefault(row, []).append((x, text))
+        return iter(())
+
+    def terminate(self):
+        numbers, out = list(self.rows), []
+        for r in Grid(list(self.rows.values())).records:
+            one = lambda name, r=r: " | ".join(r.values(name)) or None
+            parts = [{"name": p.name, "value": p.value, "row": numbers[p.row], "x": p.x, "start": p.start, "end": p.end} for p in r.parts]
+            out.append((self.page, numbers[r.row], r.role, r.scope, r.status, r.assertion, *map(one, _NAMES), parts))
+        kinds = [pa.string(), pa.int64(), *[pa.string()] * 12, pa.list_(_PART)]
+        names = [f.split()[0] for f in _VARIANT.split(", ", 14)]
+        yield pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else [[]] * 15, kinds, strict=True)], names=names)
+
+
+def molecular(cells: DataFrame) -> DataFrame:
+    """The variants of each page's grid of ``cells`` (page, row, x, text), one row each, with the places of all their parts.
+
+    ``status`` is COMPLETE, INCOMPLETE (no gene, or no change) or UNRESOLVED (two values of one component, both
+    given).  Cells without a row, a place or a text are left out; cells of one row at one place come in the order of
+    their text; pages without a variant give no rows; cells of a null page are one page.  A page is held in a task.
+    """
+    rows = cells.select(F.col("page").cast("string").alias("page"), F.col("row").cast("long").alias("row"), F.col("x").cast("double").alias("x"), F.col("text")).dropna(subset=["row", "x", "text"])
+    return F.arrow_udtf(_Grids, returnType=_VARIANT)(rows.asTable().partitionBy("page").orderBy("row", "x", "text"))

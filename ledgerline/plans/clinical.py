@@ -172,3 +172,34 @@ def polled_latest(spark, d):
     sink, keys, order = scratch(spark, "polled"), ["user_id", "event_type"], ["ts", "event_id"]
     polling.poll(stream, f"{sink}/rows", f"{sink}/state", keys, order).awaitTermination()
     return polling.current(spark, f"{sink}/rows", rows.schema, keys, order).select("user_id", "event_type", "event_id")
+
+
+# Rows of a grid that are made from events: what a row has is reckoned from the last header, heading and gene before it.
+_VARIANTS = """
+WITH e AS (
+  SELECT event_id, concat_ws('/', user_id, date_trunc('month', ts)::DATE) AS page, event_type AS kind, coalesce((props->>'$.k')::INT, 0) AS k FROM events
+), s AS (
+  SELECT *, last_value(CASE WHEN kind = 'signup' THEN true WHEN kind = 'error' THEN false END IGNORE NULLS) OVER w AS under, last_value(CASE WHEN kind = 'error' THEN k % 2 END IGNORE NULLS) OVER w AS heading, coalesce(bool_or(kind = 'error' AND k % 2 = 1) OVER w, false) AS somatic,
+    sum(CASE WHEN kind IN ('signup', 'error') THEN 1 ELSE 0 END) OVER w AS part FROM e WINDOW w AS (PARTITION BY page ORDER BY event_id)
+), g AS (
+  SELECT *, last_value(CASE WHEN kind = 'view' THEN ['EGFR', 'KRAS', 'MET'][k % 3 + 1] END IGNORE NULLS) OVER (PARTITION BY page, part ORDER BY event_id) AS gene FROM s
+)
+SELECT page, event_id AS row, CASE heading WHEN 0 THEN 'HISTORICAL' ELSE 'CURRENT' END AS role, CASE WHEN somatic THEN 'SOMATIC' ELSE 'UNKNOWN' END AS scope,
+  CASE WHEN kind = 'click' AND k % 4 = 0 THEN 'UNRESOLVED' WHEN gene IS NULL THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS status, gene, 'p.L' || k || 'R' || CASE WHEN kind = 'click' AND k % 4 = 0 THEN ' | p.T' || k || 'M' ELSE '' END AS protein, 'EQ ' || k || '%' AS fraction
+FROM g WHERE under AND kind IN ('view', 'click', 'purchase')
+"""
+
+
+@query(_VARIANTS)
+def molecular_variants(spark, d):
+    from ledgerline.operators import findings
+
+    k, kind = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)), F.col("event_type")
+    e = table(spark, d, "events", "event_id", "user_id", "ts", "event_type", "props").withColumn("k", k)
+    cell = lambda x, text: F.struct(F.lit(float(x)).alias("x"), text.alias("text"))
+    change, number = F.concat(F.lit("p.L"), F.col("k"), F.lit("R")), F.concat(F.col("k"), F.lit("%"))
+    row = F.when(kind == "signup", F.array(cell(0, F.lit("基因")), cell(4, F.lit("变异")), cell(8, F.lit("丰度")))).when(kind == "error", F.array(cell(0, F.when(F.col("k") % 2 == 0, "历史结果").otherwise("体细胞变异"))))
+    row = row.when(kind == "view", F.array(cell(0, F.element_at(F.array(*map(F.lit, ("EGFR", "KRAS", "MET"))), F.col("k") % 3 + 1)), cell(4, change), cell(8, number)))
+    row = row.when(kind == "click", F.array(cell(4, F.when(F.col("k") % 4 == 0, F.concat(change, F.lit(" p.T"), F.col("k"), F.lit("M"))).otherwise(change)), cell(8, number))).when(kind == "purchase", F.array(cell(4, change), cell(8, number)))
+    cells = e.select(F.concat_ws("/", "user_id", F.trunc("ts", "month")).alias("page"), F.col("event_id").alias("row"), F.explode(row).alias("c")).select("page", "row", "c.*")
+    return findings.molecular(cells).select("page", "row", "role", "scope", "status", "gene", "protein", "fraction")

@@ -169,26 +169,69 @@ def hamming_within(left: DataFrame, right: DataFrame, bits: str, key: str, radiu
     return pairs.where((F.col("distance") <= radius) & (first == F.col("__block"))).select("left", "right", "distance")
 
 
+def components(pairs: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
+    """(keys, node, component) of the nodes of ``pairs`` (keys, left, right): the smallest node that links lead to, within equal keys.
+
+    Stars towards larger and smaller neighbours in turn: the links of a chain halve every round.
+    Null ends and keys are left out.
+    """
+    ends = [*keys, "u", "v"]
+    links = pairs.where("left <> right").select(*keys, F.greatest("left", "right").alias("u"), F.least("left", "right").alias("v")).dropna().distinct()
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*ends)), F.sum(F.xxhash64(*ends).bitwiseAND(F.lit(0xFFFFFFFF)))).first())
+
+    links = settled(links)
+    was = state(links)
+    for _ in range(rounds):
+        both = links.union(links.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(*keys, "u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.join(least, [*keys, "u"]).where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        small = large.join(low, [*keys, "u"]).where("v <> m").select(*keys, F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select(*keys, "u", F.col("m").alias("v")))
+        links = settled(small.distinct())
+        now = state(links)
+        if now == was:
+            break
+        was = now
+    else:
+        raise RuntimeError(f"components didn't settle in {rounds} rounds")
+    stars = links.groupBy(*keys, F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return stars.union(links.select(*keys, F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
 def complete_link(pairs: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
-    """(group, node, cluster): a node joins the first cluster all of whose members it is paired with, in order of ids.
+    """(group, node, cluster): a node joins the first cluster all of whose members it is paired with, in order of ids; a cluster has its first member's id.
 
-    The order matters, so a group is worked on as one: groups are bounded (one patient's reports).
+    Nodes that no chain of pairs connects don't see each other, so what is worked on as one is a
+    connected part of a group, in time and memory by its pairs; a group may be of any size.
+    Repeated nodes and pairs count once, pairs hold either way round, ends that are no nodes and null ids take no part.
     """
+    ids = nodes.select(group, "node").dropna().distinct()
+    ends = pairs.select(group, F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).where("left <> right").distinct()
+    for side in ("left", "right"):
+        ends = ends.join(ids.select(group, F.col("node").alias(side)), [group, side], "left_semi")
+    ends = settled(ends.select(group, "left", "right"))
+    part = settled(components(ends, [group]))
 
-    def run(key, n: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        joined = {(a, b) for a, b in zip(p["left"], p["right"], strict=True)}
-        clusters: list[list[int]] = []
-        for x in sorted(n["node"]):
-            home = next((c for c in clusters if all((min(x, y), max(x, y)) in joined for y in c)), None)
-            if home is None:
-                clusters.append([x])
-            else:
-                home.append(x)
-        return pd.DataFrame([(key[0], x, c[0]) for c in clusters for x in c], columns=[group, "node", "cluster"])
-
-    kind = dict(nodes.dtypes)
-    pairs = pairs.select(*(F.col(c).alias(c) for c in (group, "left", "right")))  # columns of their own, should both come from one table
-    return nodes.groupBy(group).cogroup(pairs.groupBy(group)).applyInPandas(run, f"{group} {kind[group]}, node {kind['node']}, cluster {kind['node']}")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        before: dict = {}
+        for a, b in zip(pdf["left"], pdf["right"], strict=True):
+            before.setdefault(b, []).append(a)
+        home, size = {}, {}
+        for x in sorted({*pdf["left"], *pdf["right"]}):
+            met: dict = {}
+            for y in before.get(x, ()):
+                met[home[y]] = met.get(home[y], 0) + 1
+            home[x] = min((c for c, n in met.items() if n == size[c]), default=x)
+            size[home[x]] = size.get(home[x], 0) + 1
+        return pd.DataFrame([(pdf[group].iloc[0], x, c) for x, c in home.items()], columns=[group, "node", "cluster"])
+
+    kind = dict(ids.dtypes)
+    schema = f"{group} {kind[group]}, node {kind['node']}, cluster {kind['node']}"
+    placed = ends.join(part.select(group, F.col("node").alias("left"), "component"), [group, "left"]).groupBy(group, "component").applyInPandas(run, schema)
+    alone = ids.join(part.select(group, "node"), [group, "node"], "left_anti").select(group, "node", F.col("node").alias("cluster"))
+    return placed.union(alone)
 
 
 def assigned(scores: DataFrame, group: str) -> DataFrame:

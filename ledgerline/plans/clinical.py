@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ledgerline.operators import contexts
 from ledgerline.plans.registry import query
+from ledgerline.plans.relational import CLUSTERS
 from ledgerline.sources.tables import table
 
 # Links from an event to earlier (and few later) ones of its user; every step of the walk is a row of its own.
@@ -203,3 +204,36 @@ def molecular_variants(spark, d):
     row = row.when(kind == "click", F.array(cell(4, F.when(F.col("k") % 4 == 0, F.concat(change, F.lit(" p.T"), F.col("k"), F.lit("M"))).otherwise(change)), cell(8, number))).when(kind == "purchase", F.array(cell(4, change), cell(8, number)))
     cells = e.select(F.concat_ws("/", "user_id", F.trunc("ts", "month")).alias("page"), F.col("event_id").alias("row"), F.explode(row).alias("c")).select("page", "row", "c.*")
     return findings.molecular(cells).select("page", "row", "role", "scope", "status", "gene", "protein", "fraction")
+
+
+_SUMS = ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)::BIGINT AS x{i}" for i in range(8))
+_TOKEN = "sha256(concat_ws(',', " + ", ".join(f"coalesce({t}.x{i}, 0)" for t in ("a", "b", "c") for i in range(8)) + "))"
+_WORKSPACE = (
+    CLUSTERS
+    + f""", a AS (SELECT cluster, any_value(k.o_custkey) AS scope, count(*) AS n_units, {_SUMS} FROM (SELECT k.*, sha256(concat_ws('/', node, coalesce(o_orderstatus, ''))) AS h FROM k JOIN o ON o_orderkey = node) k GROUP BY cluster
+), b AS (SELECT cluster, count(*) AS n_rows, count(*) FILTER (WHERE l_quantity > 45) AS n_problems, {_SUMS} FROM (SELECT cluster, l_quantity, sha256(concat_ws('/', l_orderkey, coalesce(l_linenumber::VARCHAR, ''), coalesce(l_returnflag, ''))) AS h FROM lineitem JOIN k ON node = l_orderkey) GROUP BY cluster
+), p AS (SELECT x.o_custkey, x.o_orderkey AS l, y.o_orderkey AS r, CASE WHEN abs(x.o_totalprice - y.o_totalprice) < 100000 THEN 'JOINED' ELSE 'CONFLICT' END AS state FROM o x JOIN o y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND abs(x.o_totalprice - y.o_totalprice) < 110000
+), c AS (SELECT cluster, bool_or(state = 'CONFLICT') AS clash, {_SUMS} FROM (SELECT DISTINCT cluster, state, sha256(l || '/' || r || '/' || state) AS h FROM p JOIN k ON node IN (l, r)) GROUP BY cluster
+)
+SELECT a.scope, a.cluster AS report, n_units, coalesce(n_rows, 0) AS n_rows, coalesce(clash, false) AS relation_conflict, coalesce(n_problems, 0) AS n_problems, {_TOKEN} AS token, a.cluster % 2 = 0 AS confirmed FROM a LEFT JOIN b USING (cluster) LEFT JOIN c USING (cluster)
+"""
+)
+
+
+@query(_WORKSPACE)
+def report_workspace(spark, d):
+    from ledgerline.operators import workspace
+
+    c = F.col
+    o = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus").where("o_custkey IS NOT NULL AND o_orderkey IS NOT NULL")
+    units = o.select(c("o_custkey").alias("scope"), c("o_orderkey").alias("unit"), c("o_orderstatus").alias("state"))
+    other = o.select("o_custkey", c("o_orderkey").alias("right"), c("o_totalprice").alias("p"))
+    apart = F.abs(c("o_totalprice") - c("p"))
+    pairs = o.join(other, "o_custkey").where((c("o_orderkey") < c("right")) & (apart < 110000))
+    relations = pairs.select(c("o_custkey").alias("scope"), c("o_orderkey").alias("left"), "right", F.when(apart < 100000, "JOINED").otherwise("CONFLICT").alias("state"))
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity").select(c("l_orderkey").alias("unit"), c("l_linenumber").alias("row"), c("l_returnflag").alias("state"), (c("l_quantity") > 45).alias("problem"))
+    none = spark.createDataFrame([], "report long, token string, at long")
+    found = workspace.report_workspace(units, relations, rows, none)
+    # reports of even numbers were confirmed as they are, all others as something else
+    past = found.select("report", F.when(c("report") % 2 == 0, c("token")).otherwise("other").alias("token"), F.lit(1).cast("long").alias("at"))
+    return workspace.report_workspace(units, relations, rows, past)

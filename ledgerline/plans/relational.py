@@ -186,7 +186,24 @@ def pricing_summary(spark, d):
     return lines.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+# Orders one after the other, each customer's clusters as lists of lists.
+CLUSTERS = """
+WITH RECURSIVE o AS (
+  SELECT o_custkey, o_orderkey, o_totalprice, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey IS NOT NULL
+), f AS (
+  SELECT o_custkey, i, [[{'k': o_orderkey, 'p': o_totalprice}]] AS c FROM o WHERE i = 1
+  UNION ALL
+  SELECT o_custkey, i, CASE WHEN coalesce(at_, 0) = 0 THEN c || [[x]] ELSE c[:at_ - 1] || [c[at_] || [x]] || c[at_ + 1:] END
+  FROM (
+    SELECT o.o_custkey, o.i, f.c, {'k': o.o_orderkey, 'p': o.o_totalprice} AS x, list_position(list_transform(f.c, lambda m: len(list_filter(m, lambda y: coalesce(abs(y.p - o.o_totalprice) < 100000, false))) = len(m)), true) AS at_
+    FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.i = f.i + 1
+  )
+), ended AS (SELECT o_custkey, c FROM f QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY i DESC) = 1
+), k AS (SELECT o_custkey, y.k AS node, m[1].k AS cluster FROM (SELECT o_custkey, m, unnest(m) AS y FROM (SELECT o_custkey, unnest(c) AS m FROM ended)))
+"""
+
+
+@query(CLUSTERS + "SELECT * FROM k")
 def cluster_complete_link(spark, d):
     # a customer's orders, near in price: groups that don't grow with the tables
     o = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_totalprice").where("o_custkey IS NOT NULL AND o_orderkey IS NOT NULL")

@@ -118,3 +118,12 @@ def polygon_checks(spark, d):
     box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), x.alias("x1"), F.lit(0.5).alias("y1"))
     lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount")
     return lines.select("l_orderkey", "l_linenumber", F.round(geometry.area(slanted), 6).alias("area"), geometry.contains_point(small, x, F.col("l_discount")).alias("inside"), F.round(geometry.iou(box, geometry.box(square)), 6).alias("iou"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity IS NOT NULL THEN printf('%.1f', l_quantity) END AS value, CASE WHEN l_quantity IS NOT NULL THEN ['g/L', '10^9 / L', 'mmol/L', ''][l_partkey % 4 + 1] END AS unit, CASE WHEN l_quantity IS NOT NULL THEN ['10--30', '≤ 24.50', '12 ~ 40.0', ''][l_suppkey % 4 + 1] END AS reference, CASE WHEN l_quantity IS NOT NULL THEN coalesce(CASE l_returnflag WHEN 'A' THEN 'H' WHEN 'R' THEN '↓' END, '') END AS flag FROM lineitem""")
+def result_tail(spark, d):
+    pick = lambda k, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col(k) % len(xs) + 1).cast("int"))
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    unit, reference = pick("l_partkey", "g/L", "10^9 / L", "mmol/L", ""), pick("l_suppkey", "10--30", "≤ 24.50", "12 ~ 40.0", "")
+    printed = F.when(F.col("l_quantity").isNotNull(), F.concat_ws("  ", F.format_string("%.1f", "l_quantity"), unit, reference, F.when(F.col("l_returnflag") == "A", "H").when(F.col("l_returnflag") == "R", "↓")))
+    return lines.select("l_orderkey", "l_linenumber", text.result_tail(printed).alias("r")).select("l_orderkey", "l_linenumber", "r.*")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,3 +51,32 @@ def synthetic(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """``n`` deterministic rows: id, a patient of a hundredth of them, a day and a value."""
     h = F.xxhash64(F.lit(seed), "id")
     return spark.range(n).select("id", F.pmod(h, F.lit(max(1, n // 100))).alias("patient_id"), F.date_add(F.lit("2020-01-01").cast("date"), F.pmod(h, F.lit(1000)).cast("int")).alias("day"), (F.pmod(h, F.lit(10_000)) / 100.0).alias("value"))
+
+
+def versioned(lines: DataFrame, schemas: dict[int, str], upgrades: dict[int, Callable[[Column], Column]], column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(rows of the last version, rejected lines) of JSON lines that each say their ``version``.
+
+    A line is read with the closed schema of its own version and goes through the upgrades from there
+    on, one version at a time; an upgrade is a function from a version's struct to the next one's.  All of it
+    is one expression over one pass.  A line is rejected, with its reason, if it is no JSON object
+    (``unreadable``), says no known version (``version``), or isn't of its version's schema (``schema``).
+    """
+    numbers = sorted(schemas)
+    if numbers != list(range(numbers[0], numbers[-1] + 1)) or set(upgrades) != set(numbers[:-1]):
+        raise ValueError("versions follow each other, and each but the last has an upgrade")
+    document = F.try_parse_json(F.col(column))
+    said = F.try_variant_get(document, "$.version", "int")
+    rows = lines.select(F.col(column).alias("line"), document.alias("document"), said.alias("version"))
+    mode = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}
+    for n in numbers:
+        own = F.from_json("line", f"{schemas[n]}, __corrupt string", mode)
+        rows = rows.withColumn(f"__{n}", F.when(F.col("version") == n, own))
+    corrupt = F.coalesce(*[F.col(f"__{n}.__corrupt") for n in numbers])
+    known = F.col("version").isin(*numbers)
+    readable = F.col("document").isNotNull() & (F.schema_of_variant("document").startswith("OBJECT"))
+    reason = F.when(~F.coalesce(readable, F.lit(False)), "unreadable").when(~F.coalesce(known, F.lit(False)), "version").when(corrupt.isNotNull(), "schema")
+    rows = rows.withColumn("reason", reason)
+    good, made = rows.where("reason IS NULL"), F.col(f"__{numbers[0]}").dropFields("__corrupt")
+    for n in numbers[1:]:
+        made = F.when(F.col("version") < n, upgrades[n - 1](made)).otherwise(F.col(f"__{n}").dropFields("__corrupt"))
+    return good.select(F.col("version").alias("read_as"), made.alias("r")).select("read_as", "r.*"), rows.where("reason IS NOT NULL").select(F.col("line").alias("value"), "reason")

@@ -35,10 +35,10 @@ def test_assignment_of_unequal_sides(spark):
 
 
 def test_assignment_takes_every_customer(spark, tmp_path):
-    # the only customer of its nation with a key over 150 is matched
-    spark.createDataFrame([(1, 7, 10.0)], "s_nationkey long, s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
-    spark.createDataFrame([(1, 151, 10.0), (1, 9, 500.0)], "c_nationkey long, c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
-    assert [(r.left, r.right) for r in registry.QUERIES["assignment_matching"](spark, str(tmp_path)).collect()] == [(7, 151)]
+    # customers of any key are matched, each within its own orders
+    rows = [(key, 10 * key + k, status, price) for key in (1, 151, 10**9) for k, status, price in ((1, "O", 10.0), (2, "F", 10.0), (3, "F", 5000.0), (4, "P", 10.0))]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted((r.left, r.right) for r in registry.QUERIES["assignment_matching"](spark, str(tmp_path)).collect()) == [(10 * key + 1, 10 * key + 2) for key in (1, 151, 10**9)]
 
 
 def test_whole_texts_and_vectors(spark, tmp_path):

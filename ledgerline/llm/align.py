@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from array import array
 from collections import Counter
@@ -37,8 +38,8 @@ from .tokenids import definition_of
 
 #: Text of a block, about; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
-#: Characters of parts of which a worker keeps the alignment; beyond it starts afresh.
-KNOWN_CHARS = 8_000_000
+#: Characters of parts of which a worker keeps the alignment, about; beyond, those that few texts have are dropped.
+KNOWN_CHARS = 3_000_000
 #: Bits of an id in a packed pair.
 ID_BITS = 20
 
@@ -67,13 +68,32 @@ class ByteLevel:
         self.bytes = [b""] * self.library.get_vocab_size(with_added_tokens=True)
         for token, i in self.library.get_vocab(with_added_tokens=True).items():
             self.bytes[i] = bytes(signs[c] for c in token) if all(c in signs for c in token) else token.encode()
-        cut = json.loads(definition).get("pre_tokenizer") or {}
+        self.size = np.array(list(map(len, self.bytes)), np.int64)
+        spec = json.loads(definition)
+        cut = spec.get("pre_tokenizer") or {}
         #: Whether a text may be cut before spaces.
-        self.apart = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and json.loads(definition).get("normalizer") is None
+        self.apart = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and spec.get("normalizer") is None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
+    def encode_parts(self, parts: list[str]) -> list[list[int]]:
+        """``encode`` of parts that a text was cut into; those that don't begin with white space are encoded together, many in a text."""
+        out: list[list[int] | None] = [None] * len(parts)
+        plain = [i for i, p in enumerate(parts) if self.apart and p and not p[0].isspace()]
+        runs = [plain[k : k + 256] for k in range(0, len(plain), 256)]
+        for run, ids in zip(runs, self.encode([" ".join([parts[i] for i in run]) for run in runs]), strict=True):
+            ends = np.cumsum(self.size[np.array(ids, np.int64)])
+            want = np.cumsum([1 + len(parts[i].encode()) for i in run])
+            cut = np.searchsorted(ends, want) + 1
+            if cut[-1] == len(ids) and (ends[cut - 1] == want).all():
+                for i, a, b in zip(run, [0, *cut[:-1].tolist()], cut.tolist(), strict=True):
+                    out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self.encode([parts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
 
 class Pieces:
     """A sentencepiece model over texts, before each of which it puts a space."""
@@ -90,24 +110,42 @@ class Pieces:
         return self.library.encode(texts, num_threads=1)
 
 
-def groups(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
-    """(A ids, B ids) between offsets where both sides end; both sides cover the same bytes.
+def groups(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> Iterator[tuple[list[int], list[int]]]:
+    """(A ids, B ids) between offsets where both sides end; both sides cover the same bytes, sizes are those of all ids.
 
-    Two pointers over the cumulative ends: the side that is behind takes its next token.
+    Two pointers over the cumulative ends: the side that is behind takes its next token.  A side of one token ends only once.
     """
+    if len(a) == 1 or len(b) == 1:
+        yield a, b
+        return
     i = j = first_a = first_b = end_a = end_b = 0
     while i < len(a):
         if end_a <= end_b:
-            end_a += len(a_bytes[a[i]])
+            end_a += a_size[a[i]]
             i += 1
         while end_b < end_a:
-            end_b += len(b_bytes[b[j]])
+            end_b += b_size[b[j]]
             j += 1
         if end_a == end_b:
             yield a[first_a:i], b[first_b:j]
             first_a, first_b = i, j
 
 
+def summed(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, ascending, with the sum of its times."""
+    room = 63 - 2 * ID_BITS
+    if times.max(initial=0) >> room:  # too large to be sorted along with the pair
+        key, back = np.unique(pairs, return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, back, times)
+        return key, total
+    both = pairs << room | times
+    both.sort()
+    key = both >> room
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    return key[first], np.add.reduceat(both & ((1 << room) - 1), first) if len(first) else first
+
+
 class Aligner:
     """Alignment of texts by that of their parts, each of which gets a number and is aligned once.
 
@@ -119,12 +157,28 @@ class Aligner:
         self.a, self.b, self.apart = a, b, a.apart and b.apart
         if max(len(a.bytes), len(b.bytes)) > 1 << ID_BITS:
             raise ValueError("a vocabulary is too large for a packed pair")
+        self.a_size, self.b_size = list(map(len, a.bytes)), list(map(len, b.bytes))
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.said: list[str] = []
-        self.facts, self.first, self.pairs, self.times, self.chars = array("q"), array("q", [0]), array("q"), array("q"), 0
+        self.uses = array("i")  # texts since the last shrinking
+        self.facts, self.first, self.pairs, self.times, self.chars = array("q"), array("q", [0]), array("q"), array("i"), 0
+
+    def shrink(self) -> None:
+        """Keep the parts that more than one text has had, the more frequent half at most."""
+        uses, n = np.array(self.uses), len(self.said)
+        keep = np.flatnonzero(uses > max(1, np.partition(uses, n // 2)[n // 2]))
+        facts, first, pairs, times = np.array(self.facts).reshape(-1, 3)[keep], np.array(self.first), np.array(self.pairs), np.array(self.times)
+        width = first[keep + 1] - first[keep]
+        place = np.arange(width.sum()) + np.repeat(first[keep] - np.cumsum(width) + width, width)
+        parts = list(self.number)  # in order of their numbers
+        self.number = {parts[i]: k for k, i in enumerate(keep.tolist())}
+        self.said = [self.said[i] for i in keep.tolist()]
+        self.facts, self.first = array("q", facts.tobytes()), array("q", np.concatenate([[0], np.cumsum(width)]).astype(np.int64).tobytes())
+        self.pairs, self.times, self.uses = array("q", pairs[place].tobytes()), array("i", times[place].tobytes()), array("i", bytes(4 * len(keep)))
+        self.chars = sum(map(len, self.number))
 
     def parts(self, text: str) -> list[str]:
         if not self.apart:
@@ -132,31 +186,34 @@ class Aligner:
         return _BETWEEN.split(text) if _BESIDE.search(text) else text.split(" ")
 
     def learn(self, parts: list[str]) -> None:
-        a_bytes, b_bytes, pairs, times = self.a.bytes, self.b.bytes, self.pairs, self.times
-        for part, a, b in zip(parts, self.a.encode(parts), self.b.encode(parts), strict=True):
+        a_bytes, b_bytes, a_size, b_size, pairs, times = self.a.bytes, self.b.bytes, self.a_size, self.b_size, self.pairs, self.times
+        for part, a, b in zip(parts, self.a.encode_parts(parts), self.b.encode(parts), strict=True):
             raw, said, n_a = (" " + part).encode(), [], -1
             if b"".join([a_bytes[i] for i in a]) == raw and b"".join([b_bytes[i] for i in b]) == raw:
-                n_a = len(a)
-                for x, y in groups(a, b, a_bytes, b_bytes):
+                n_a, own, n_own = len(a), [], []
+                for x, y in groups(a, b, a_size, b_size):
                     if len(x) == len(y) == 1:
                         said.append(f"{x[0]}|{y[0]}")
-                        pairs.append(x[0] << ID_BITS | y[0])
-                        times.append(1)
+                        own.append(x[0] << ID_BITS | y[0])
+                        n_own.append(1)
                         continue
                     said.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
                     if len(x) * len(y) < 16:
-                        pairs.extend([i << ID_BITS | j for i in x for j in y])
-                        times.extend([1] * (len(x) * len(y)))
+                        own += [i << ID_BITS | j for i in x for j in y]
+                        n_own += [1] * (len(x) * len(y))
                     else:  # ids that repeat are counted first
                         y = Counter(y).items()
                         for i, n in Counter(x).items():
-                            pairs.extend([i << ID_BITS | j for j, _ in y])
-                            times.extend([n * m for _, m in y])
+                            own += [i << ID_BITS | j for j, _ in y]
+                            n_own += [n * m for _, m in y]
+                pairs.extend(own)
+                times.extend(n_own)
             self.number[part] = len(self.said)
             self.facts.extend((n_a, len(b), len(said)))
             self.said.append(";".join(said))
             self.first.append(len(pairs))
             self.chars += len(part)
+        self.uses.extend([0] * len(parts))
 
     def align(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
         """(tokens of A, of B, groups, the groups as ``a1,a2|b1;a3|b2,b3``, packed pairs ascending, occurrences) of each text.
@@ -165,9 +222,9 @@ class Aligner:
         """
         cut = [self.parts(t) if t else [] for t in texts]
         if self.chars > KNOWN_CHARS:
-            self.clear()
+            self.shrink()
         self.learn([p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in self.number])
-        facts, first, pool, n_pool = np.frombuffer(self.facts, np.int64).reshape(-1, 3), *(np.frombuffer(x, np.int64) for x in (self.first, self.pairs, self.times))
+        facts, first, pool, n_pool, uses = np.frombuffer(self.facts, np.int64).reshape(-1, 3), np.frombuffer(self.first, np.int64), np.frombuffer(self.pairs, np.int64), np.frombuffer(self.times, np.int32), np.frombuffer(self.uses, np.int32)
         none = 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
         out = []
         for parts in cut:
@@ -178,10 +235,10 @@ class Aligner:
                 out.append(none)
                 continue
             own, n = np.unique(at, return_counts=True)
+            uses[own] += 1
             width = first[own + 1] - first[own]
             place = np.arange(width.sum()) + np.repeat(first[own] - np.cumsum(width) + width, width)
-            key, back = np.unique(pool[place], return_inverse=True)
-            times = np.bincount(back, n_pool[place] * np.repeat(n, width), len(key)).astype(np.int64)
+            key, times = summed(pool[place], n_pool[place] * np.repeat(n, width))
             out.append((*found.sum(0).tolist(), ";".join(map(self.said.__getitem__, numbers)), key, times))
         return out
 
@@ -192,6 +249,7 @@ _ALIGNERS: dict[bytes, Aligner] = {}
 def aligner(definition: str, model: bytes) -> Aligner:
     key = hashlib.sha256(definition.encode() + model).digest()
     if key not in _ALIGNERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         _ALIGNERS.clear()
         _ALIGNERS[key] = Aligner(ByteLevel(definition), Pieces(model))
     return _ALIGNERS[key]

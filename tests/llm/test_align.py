@@ -111,6 +111,21 @@ def test_small_blocks_and_a_full_table_of_parts_change_nothing(spark, monkeypatc
     whole = [made.align([t])[0][:4] for t in texts]
     monkeypatch.setattr(align, "KNOWN_CHARS", 10)
     assert [made.align([t])[0][:4] for t in texts] == whole
+    # what is kept of a table that shrinks is aligned as before
+    monkeypatch.setattr(align, "KNOWN_CHARS", 150)
+    assert [x[:4] for k in range(0, 60, 5) for x in made.align(texts[k : k + 5])] == whole and len(made.number) < 60
+    assert [made.align([t])[0][:4] for t in texts[::-1]] == whole[::-1]
     made.apart = False
     made.clear()
     assert [made.align([t])[0][:4] for t in texts] == whole
+
+
+def test_sums_of_pairs():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for most in (5, 1 << 30):
+        pairs, times = r.integers(0, 1 << 38, 50)[r.integers(0, 50, 400)], r.integers(1, most, 400)
+        key, total = align.summed(pairs, times)
+        assert key.tolist() == sorted(set(pairs.tolist())) and total.tolist() == [int(times[pairs == k].sum()) for k in key]
+    assert [len(x) for x in align.summed(pairs[:0], times[:0])] == [0, 0]

@@ -1,4 +1,4 @@
-"""Link policy, leak scanning, JSON and map merges."""
+"""Leak scanning, JSON and map merges."""
 
 from __future__ import annotations
 
@@ -8,25 +8,6 @@ from urllib.parse import quote, quote_plus
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Networks that no link may point to, as prefixes of dotted addresses.
-PRIVATE = r"^(0\.|10\.|127\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.|22[4-9]\.|2[3-5]\d\.|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.)"
-
-
-def link_state(url: Column) -> Column:
-    """ok, or why a link isn't followed: unreadable, scheme, credentials, port, host, private."""
-    scheme, host = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), F.lower(F.try_parse_url(url, F.lit("HOST")))
-    port = F.regexp_extract(F.try_parse_url(url, F.lit("AUTHORITY")), r":(\d+)$", 1)
-    return (
-        F.when(host.isNull(), "unreadable")
-        .when(~scheme.isin("http", "https"), "scheme")
-        .when(F.try_parse_url(url, F.lit("USERINFO")).isNotNull(), "credentials")
-        .when(~((port == "") | ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80"))), "port")
-        .when(host.rlike(PRIVATE) | host.startswith("["), "private")
-        .when(~host.rlike(r"^([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z0-9-]{2,}$") | host.rlike(r"(^|\.)(localhost|local|internal)$"), "host")
-        .otherwise("ok")
-    )
-
-
 def canary_hits(artifacts: DataFrame, canaries: list[str]) -> DataFrame:
     """(artifact, canary, form) of each planted secret that an artifact (artifact, content) holds, plain or encoded.
 

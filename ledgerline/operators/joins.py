@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import alias_key
 from ledgerline.operators.series import latest
 
 
@@ -58,6 +59,54 @@ def only_rule(rules: list[tuple[str, Column]]) -> Column:
     return F.when(F.size(hits) == 1, hits[0])
 
 
+# Printed specimens and panels, and what they mean in a dictionary.
+SPECIMENS = {"尿液": "URINE", "尿": "URINE", "粪便": "STOOL", "大便": "STOOL", "血液": "BLOOD", "血清": "BLOOD", "血浆": "BLOOD"}
+PANELS = {"CBC": "血常规", "HEMATOLOGY": "血常规", "血常规（急诊）": "血常规", "INFLAMMATION": "炎症三项"}
+PANEL_SPECIMENS = [("尿|^URINALYSIS$", "URINE"), ("大便|粪便|^STOOL$", "STOOL")]
+
+
+def dictionary_lookup(df: DataFrame, dictionary: DataFrame, name: Column, specimen: Column, panel: Column) -> DataFrame:
+    """Rows with the only code that their printed name can mean, else null.
+
+    dictionary: alias, code, specimen, category; names and aliases are compared without case, stars and white space.  A known
+    specimen leaves the entries of that specimen; if more than one is left, the panel does: by the specimen that it tells, else by
+    its category.  A null, empty, UNSPECIFIED or UNKNOWN specimen and a null or empty panel leave all.  Entries that repeat count once.
+    A name's entries are one row of the joined side, so rows don't multiply.
+    """
+    entries = dictionary.where("code IS NOT NULL").select(alias_key(F.col("alias")).alias("__alias"), F.struct("code", "specimen", "category").alias("__e")).groupBy("__alias").agg(F.collect_set("__e").alias("__entries"))
+    said = reduce(lambda out, x: F.when(specimen == x[0], x[1]).otherwise(out), SPECIMENS.items(), specimen)
+    group = reduce(lambda out, x: F.when(panel == x[0], x[1]).otherwise(out), PANELS.items(), panel)
+    told = reduce(lambda out, x: F.when(F.col("__panel").rlike(x[0]), x[1]).otherwise(out), reversed(PANEL_SPECIMENS), F.lit(None).cast("string"))
+    df = df.withColumns({"__alias": alias_key(name), "__said": F.when(~said.isin("", "UNSPECIFIED", "UNKNOWN"), said), "__panel": F.when(group != "", group)})
+    df = df.withColumn("__told", told).join(entries, "__alias", "left")
+    left = F.filter("__entries", lambda e: F.col("__said").isNull() | e["specimen"].eqNullSafe(F.col("__said")))
+    df = df.withColumn("__left", left)
+    by_panel = F.filter("__left", lambda e: F.when(F.col("__told").isNotNull(), e["specimen"].eqNullSafe(F.col("__told"))).otherwise(e["category"].eqNullSafe(F.col("__panel"))))
+    df = df.withColumn("__left", F.when((F.size("__left") > 1) & F.col("__panel").isNotNull(), by_panel).otherwise(F.col("__left")))
+    return df.withColumn("code", F.when(F.size("__left") == 1, F.get("__left", F.lit(0))["code"])).drop("__alias", "__said", "__panel", "__told", "__entries", "__left")
+
+
+def patient_range(df: DataFrame, rules: DataFrame, code: str, sex: Column, age: Column, phase: Column) -> DataFrame:
+    """Rows with low and high of the only rule that holds for the patient, else nulls.
+
+    rules: code, sex, from_age, to_age, phase, low, high.  A rule of a phase holds for women in that phase only; any other holds if
+    its sex (null: both) and its ages, both ends included (null: open), agree; an unknown age meets no bound, an unknown sex no
+    rule of a sex.  Two rules that hold leave the row without a range, equal ones too.  A code's rules are one row of the joined side.
+    """
+    parts = ["sex", "from_age", "to_age", "phase", "low", "high"]
+    grouped = rules.select(F.col("code").alias("__code"), F.struct(*parts).alias("__r")).groupBy("__code").agg(F.collect_list("__r").alias("__rules"))
+    df = df.withColumns({"__sex": sex, "__age": age, "__phase": phase}).join(grouped, F.col(code) == F.col("__code"), "left")
+
+    def holds(r):
+        ages = (r["from_age"].isNull() & r["to_age"].isNull()) | F.col("__age").between(F.coalesce(r["from_age"], F.lit(0)), F.coalesce(r["to_age"], F.lit(10**6)))
+        plain = (r["sex"].isNull() | (r["sex"] == F.col("__sex"))) & ages
+        return F.coalesce(F.when(r["phase"].isNotNull(), (F.col("__sex") == "F") & (r["phase"] == F.col("__phase"))).otherwise(plain), F.lit(False))
+
+    one = df.withColumn("__held", F.filter("__rules", holds))
+    only = lambda f: F.when(F.size("__held") == 1, F.get("__held", F.lit(0))[f])
+    return one.withColumns({"low": only("low"), "high": only("high")}).drop("__sex", "__age", "__phase", "__code", "__rules", "__held")
+
+
 def tokenised_lookup(df: DataFrame, key: str, raw: str, aliases: DataFrame) -> DataFrame:
     """(key, code) of each row: the code that every one of its text's parts names, if there are several parts and they agree; else null.
 

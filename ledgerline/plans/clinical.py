@@ -237,3 +237,85 @@ def report_workspace(spark, d):
     # reports of even numbers were confirmed as they are, all others as something else
     past = found.select("report", F.when(c("report") % 2 == 0, c("token")).otherwise("other").alias("token"), F.lit(1).cast("long").alias("at"))
     return workspace.report_workspace(units, relations, rows, past)
+
+
+_PLANTED = [
+    ("http://user:pw@a.example.org/", "link_credentials", None),
+    ("https://10.1.2.3/x", "link_private", None),
+    ("https://8.8.8.8:8443/x", "", "8.8.8.8:8443"),
+    ("http://[2001:4860:0:0::8888]:80/", "", "[2001:4860::8888]"),
+    ("http://[fe80::1]/", "link_private", None),
+    ("https://bücher.example.org/a", "", "xn--bcher-kva.example.org"),
+    ("https://straße.example.org/", "", "xn--strae-oqa.example.org"),
+    ("https://a.example.org/%zz", "link_unreadable", None),
+    ("https://a.example.org/x?", "ambiguous_line_break", None),
+    ("https://printer.local/", "link_host", None),
+    ("HTTPS://A.Example.ORG:443/Q", "", "a.example.org"),
+]
+_VALUES = ", ".join(f"({i}, '{u}', '{r}', {'NULL' if x is None else repr(x)})" for i, (u, r, x) in enumerate(_PLANTED))
+
+
+# Each page with its own address in brackets and one of the planted links behind it.
+@query(
+    f"""WITH v(k, link, reason, site) AS (VALUES {_VALUES}), p AS (SELECT page_id, length(coalesce(html, '')) AS n, coalesce(url, '') AS url, v.* FROM pages JOIN v ON page_id % {len(_PLANTED)} = k), r AS (
+  SELECT page_id, 1 AS place, n + 2 AS start, url AS payload, '' AS reason, regexp_extract(url, '^https?://([^/?#]*)', 1) AS site FROM p WHERE url <> ''
+  UNION ALL SELECT page_id, 2, n + 4 + length(url), link, reason, site FROM p)
+SELECT page_id, payload, sha256(payload) AS digest, start::INT AS start, (start + length(payload))::INT AS "end", CASE WHEN reason = '' THEN 'URL' ELSE 'UNSUPPORTED' END AS kind, reason, site FROM r"""
+)
+def link_payloads(spark, d):
+    from ledgerline.functions import links
+
+    p = table(spark, d, "pages", "page_id", "url", "html")
+    k = F.col("page_id") % len(_PLANTED)
+    planted = F.get(F.array(*(F.lit(u) for u, *_ in _PLANTED)), k.cast("int"))
+    said = F.concat(F.coalesce("html", F.lit("")), F.lit(" ("), F.coalesce("url", F.lit("")), F.lit(") "), planted, F.when(k == 8, "\nnext").otherwise(" next"))
+    return links.payloads(p.select("page_id", said.alias("said")), "said").drop("length")
+
+
+_SEARCHES = ["urgent", "part 17", "s9", "z1", "1995年3月", "finished", "BUILD", "20 kg", "n5"]
+_SAID = """
+WITH q(query) AS (VALUES {}), l AS (SELECT *, 1 - 2 * l_discount AS confidence FROM lineitem), z AS (
+  SELECT l_orderkey, 'Z' || l_suppkey AS text FROM l WHERE l_tax > 0.03 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_shipdate DESC NULLS LAST, l_linenumber DESC NULLS LAST, l_suppkey DESC NULLS LAST) = 1
+), s AS (
+  SELECT o_orderkey, 0 AS place, 'file' AS name, 'order-' || o_orderkey || '.pdf' AS text FROM orders UNION ALL SELECT o_orderkey, 1, 'title', o_orderpriority FROM orders
+  UNION ALL SELECT l_orderkey, 4, 'page', concat(l_returnflag, l_linestatus, ' part ', l_partkey) FROM l
+  UNION ALL SELECT o_orderkey, 5, 'summary', c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey
+  UNION ALL SELECT l_orderkey, 6, 'name', 'S' || l_suppkey FROM l WHERE confidence >= 0.9 UNION ALL SELECT l_orderkey, 7, 'standard', 'N' || l_suppkey % 7 FROM l WHERE confidence >= 0.95
+  UNION ALL SELECT l_orderkey, 8, 'value', l_quantity::INT || ' kg' FROM l WHERE confidence >= 0.9 UNION ALL SELECT l_orderkey, 9, 'correction', text FROM z
+), h AS (
+  SELECT query, s.* FROM s JOIN q ON contains(lower(text), lower(query))
+  UNION ALL SELECT query, o_orderkey, 2, 'status', t FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'Open' WHEN 'P' THEN 'Pending' WHEN 'F' THEN 'Finished' END AS t FROM orders) JOIN q ON contains(lower(t), lower(query))
+  UNION ALL SELECT query, o_orderkey, 3, 'date', strftime(o_orderdate, '%Y-%m-%d') FROM orders JOIN q ON query = '1995年3月' WHERE year(o_orderdate) = 1995 AND month(o_orderdate) = 3
+)
+SELECT query, o_orderkey, name AS found_in, text AS excerpt, name = 'correction' AS corrected FROM h WHERE o_orderkey IN (SELECT o_orderkey FROM orders) QUALIFY row_number() OVER (PARTITION BY query, o_orderkey ORDER BY place, text) = 1
+""".format(", ".join(f"('{x}')" for x in _SEARCHES))
+
+
+@query(_SAID)
+def archive_search(spark, d):
+    from functools import reduce
+
+    from ledgerline.operators import archive
+
+    c, text = F.col, lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x)).alias("text")
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    lines = lines.withColumnRenamed("l_orderkey", "o_orderkey").withColumn("confidence", 1 - 2 * c("l_discount"))
+    customers = table(spark, d, "customer", "c_custkey", "c_mktsegment")
+    sure, surer = lines.where("confidence >= 0.9D"), lines.where("confidence >= 0.95D")
+    said = {
+        "page": lines.select("o_orderkey", F.concat_ws("", "l_returnflag", "l_linestatus", F.lit(" part "), "l_partkey").alias("text")),
+        "summary": o.join(customers, c("c_custkey") == c("o_custkey")).select("o_orderkey", c("c_mktsegment").alias("text")),
+        "name": sure.select("o_orderkey", text("S", c("l_suppkey"))),
+        "standard": surer.select("o_orderkey", text("N", c("l_suppkey") % 7)),
+        "value": sure.select("o_orderkey", text(c("l_quantity").cast("int"), " kg")),
+    }
+    fixes = lines.where("l_tax > 0.03D").select("o_orderkey", c("l_returnflag").alias("entity"), F.struct("l_shipdate", "l_linenumber", "l_suppkey").alias("sequence"), text("Z", c("l_suppkey")))
+    own = {"file": text("order-", c("o_orderkey"), ".pdf"), "title": c("o_orderpriority")}
+    labels = {"O": "Open", "P": "Pending", "F": "Finished"}
+
+    def found(asked):
+        met = {"status": archive.named_by(c("o_orderstatus"), labels, asked), "date": F.when(archive.on_date(c("o_orderdate"), asked), F.date_format("o_orderdate", "yyyy-MM-dd"))}
+        return archive.search(o, "o_orderkey", asked, own, met, said, fixes).withColumn("query", F.lit(asked))
+
+    return reduce(lambda a, b: a.unionByName(b), map(found, _SEARCHES))

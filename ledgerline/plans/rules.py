@@ -127,3 +127,50 @@ def result_tail(spark, d):
     unit, reference = pick("l_partkey", "g/L", "10^9 / L", "mmol/L", ""), pick("l_suppkey", "10--30", "≤ 24.50", "12 ~ 40.0", "")
     printed = F.when(F.col("l_quantity").isNotNull(), F.concat_ws("  ", F.format_string("%.1f", "l_quantity"), unit, reference, F.when(F.col("l_returnflag") == "A", "H").when(F.col("l_returnflag") == "R", "↓")))
     return lines.select("l_orderkey", "l_linenumber", text.result_tail(printed).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+
+
+_RULES = [(0, "M", None, None, None, 1, 10), (0, "F", None, None, None, 2, 9), (1, None, None, 17, None, 3, 8), (1, None, 18, 40, None, 4, 7), (1, None, 35, None, None, 5, 6), (2, None, None, None, "FOLLICULAR", 6, 12), (2, None, None, None, "LUTEAL", 7, 13), (3, None, None, None, None, 8, 14), (4, None, 20, 90, None, 9, 15), (4, "F", None, None, "LUTEAL", 1, 2)]
+_RULE_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in _RULES)
+
+
+@query(
+    f"""WITH r(code, sex, from_age, to_age, phase, low, high) AS (VALUES {_RULE_ROWS}), o AS (
+  SELECT o_orderkey, o_orderkey % 5 AS code, CASE c_custkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' END AS sex, CASE o_orderpriority WHEN '1-URGENT' THEN 'FOLLICULAR' WHEN '2-HIGH' THEN 'LUTEAL' END AS phase,
+    date_sub('year', make_date(1950 + c_custkey % 45, 1 + c_custkey % 12, 15), o_orderdate::DATE) AS age FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+), h AS (SELECT o_orderkey, low, high FROM o JOIN r ON r.code = o.code AND CASE WHEN r.phase IS NOT NULL THEN o.sex = 'F' AND r.phase = o.phase ELSE (r.sex IS NULL OR r.sex = o.sex) AND ((from_age IS NULL AND to_age IS NULL) OR age BETWEEN coalesce(from_age, 0) AND coalesce(to_age, 1000)) END)
+, n AS (SELECT o_orderkey, min(low) AS low, min(high) AS high FROM h GROUP BY o_orderkey HAVING count(*) = 1)
+SELECT o_orderkey, low, high FROM o LEFT JOIN n USING (o_orderkey)"""
+)
+def patient_reference(spark, d):
+    from ledgerline.functions import dates
+
+    c = F.col
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority").join(table(spark, d, "customer", "c_custkey"), c("c_custkey") == c("o_custkey"), "left")
+    rules = spark.createDataFrame(_RULES, "code long, sex string, from_age int, to_age int, phase string, low int, high int")
+    sex = F.when(c("c_custkey") % 3 == 0, "M").when(c("c_custkey") % 3 == 1, "F")
+    birth = F.make_date((1950 + c("c_custkey") % 45).cast("int"), (1 + c("c_custkey") % 12).cast("int"), F.lit(15))
+    phase = F.when(c("o_orderpriority") == "1-URGENT", "FOLLICULAR").when(c("o_orderpriority") == "2-HIGH", "LUTEAL")
+    found = joins.patient_range(o.withColumn("item", c("o_orderkey") % 5), rules, "item", sex, dates.completed_years(birth, c("o_orderdate").cast("date")), phase)
+    return found.select("o_orderkey", "low", "high")
+
+
+_ASKED = """
+WITH e AS (SELECT DISTINCT 'n' || s_nationkey AS alias, s_suppkey AS code, ['URINE', 'STOOL', 'BLOOD'][s_suppkey % 3 + 1] AS specimen, ['血常规', '炎症三项', '生化'][s_suppkey % 5 % 3 + 1] AS category FROM supplier WHERE s_suppkey IS NOT NULL), c AS (
+  SELECT c_custkey, 'n' || c_nationkey AS alias, CASE c_custkey % 7 WHEN 0 THEN 'URINE' WHEN 1 THEN 'BLOOD' WHEN 2 THEN 'STOOL' END AS said, CASE WHEN c_custkey % 5 = 0 THEN 'URINE' WHEN c_custkey % 5 = 3 THEN 'STOOL' END AS told, CASE c_custkey % 5 WHEN 1 THEN '血常规' WHEN 2 THEN '炎症三项' END AS panel FROM customer
+), f AS (SELECT c.*, code, specimen, category, count(*) OVER (PARTITION BY c_custkey) AS n FROM c JOIN e ON e.alias = c.alias AND (said IS NULL OR specimen = said)
+), k AS (SELECT c_custkey, code FROM f WHERE n = 1 OR (told IS NULL AND panel IS NULL) OR CASE WHEN told IS NOT NULL THEN specimen = told ELSE category = panel END
+), g AS (SELECT c_custkey, min(code) AS code FROM k GROUP BY c_custkey HAVING count(*) = 1)
+SELECT c_custkey, g.code FROM c LEFT JOIN g USING (c_custkey)
+"""
+
+
+@query(_ASKED)
+def panel_lookup(spark, d):
+    c = F.col
+    pick = lambda k, *xs: F.get(F.array(*(F.lit(x).cast("string") for x in xs)), k.cast("int"))
+    s = table(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    entries = s.select(F.concat(F.lit("N"), "s_nationkey").alias("alias"), c("s_suppkey").alias("code"), pick(c("s_suppkey") % 3, "URINE", "STOOL", "BLOOD").alias("specimen"), pick(c("s_suppkey") % 5 % 3, "血常规", "炎症三项", "生化").alias("category"))
+    names = table(spark, d, "customer", "c_custkey", "c_nationkey")
+    specimen = pick(c("c_custkey") % 7, "尿液", "血清", "大便", "UNKNOWN", "", None, "UNSPECIFIED")
+    panel = pick(c("c_custkey") % 5, "尿常规", "血常规（急诊）", "INFLAMMATION", "STOOL", None)
+    return joins.dictionary_lookup(names, entries, F.concat(F.lit("* n "), "c_nationkey"), specimen, panel).select("c_custkey", "code")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.functions.text import placed
+
 #: A link in running text; CJK punctuation ends it.
 LINK = r"(?iU)https?://[^\s<>\"'。，；！？、]+"
 
@@ -138,15 +140,8 @@ def payloads(df: DataFrame, text: str, most: int = 16384) -> DataFrame:
     digest and length only, so that no cut link passes for a whole one; one that may go on behind a line break isn't judged.
     kind is URL or UNSUPPORTED.  Null texts and texts without links give no rows.
     """
-    pieces, hits = F.split(text, LINK, -1), F.regexp_extract_all(text, F.lit(LINK), F.lit(0))
-    begins = F.aggregate(
-        hits,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")),
-        lambda s, h: F.struct((s["at"] + F.length(F.get(pieces, F.size(s["begins"]))) + F.length(h)).alias("at"), F.array_append(s["begins"], s["at"] + F.length(F.get(pieces, F.size(s["begins"])))).alias("begins")),
-    )["begins"]
-    links = F.transform(hits, lambda h, i: F.struct(h.alias("hit"), F.get("begins", i).alias("start"), F.right(F.get("pieces", i), F.lit(1)).alias("before"), F.left(F.regexp_replace(F.get("pieces", i + 1), r"^[\r\n]+", "\n"), F.lit(2)).alias("after")))
     kept = [c for c in df.columns if c != text]
-    found = df.withColumns({"pieces": pieces, "begins": begins}).select(*kept, F.explode(links).alias("l")).select(*kept, "l.*")
+    found = df.select(*kept, F.explode(placed(F.col(text), LINK)).alias("l")).select(*kept, "l.hit", "l.start", F.right("l.before", F.lit(1)).alias("before"), F.left(F.regexp_replace("l.after", r"^[\r\n]+", "\n"), F.lit(2)).alias("after"))
     count = lambda x: F.length("hit") - F.length(F.replace(F.col("hit"), F.lit(x), F.lit("")))
     wrapped = F.col("hit").endswith(")") & (F.col("before") == "(") & (count("(") + 1 == count(")"))
     cut = F.col("hit").rlike(r"[=/?&%\-]$") & F.col("after").startswith("\n") | F.col("after").rlike(r"^\n[/?&=%]")

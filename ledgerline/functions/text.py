@@ -184,3 +184,17 @@ def result_tail(text: Column) -> Column:
     none = F.lit("")
     tail = F.aggregate(F.reverse(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))), state(F.lit(0), none, none, none), take, finish)
     return F.when(F.size(tokens) > 0, F.struct(F.get(tokens, 0).alias("value"), tail["unit"].alias("unit"), tail["reference"].alias("reference"), tail["flag"].alias("flag")))
+
+
+def placed(text: Column, pattern: str) -> Column:
+    """Array of struct(hit, start, before, after) of a pattern's hits: code points, and the texts between it and its neighbours."""
+    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(s, h):
+        start = s["at"] + F.length(F.get(pieces, F.size(s["starts"])))
+        return F.struct((start + F.length(h)).alias("at"), F.array_append(s["starts"], start).alias("starts"))
+
+    whole = F.array(F.struct(pieces.alias("pieces"), hits.alias("hits"), F.aggregate(hits, none, step)["starts"].alias("starts")))
+    # a one-element array, so that each part is found once
+    return F.transform(whole, lambda w: F.transform(w["hits"], lambda h, i: F.struct(h.alias("hit"), F.get(w["starts"], i).alias("start"), F.get(w["pieces"], i).alias("before"), F.get(w["pieces"], i + 1).alias("after"))))[0]

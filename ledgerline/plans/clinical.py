@@ -319,3 +319,38 @@ def archive_search(spark, d):
         return archive.search(o, "o_orderkey", asked, own, met, said, fixes).withColumn("query", F.lit(asked))
 
     return reduce(lambda a, b: a.unionByName(b), map(found, _SEARCHES))
+
+
+# What is said of each kind of event, from the events themselves.
+_SUBJECTS = """
+WITH v(kind, term, start, "end", clause_start, clause_end, subject) AS (VALUES
+  ('signup', '肺癌', 5, 7, 0, 7, 'CURRENT_PRIMARY'), ('view', '肺癌', 3, 5, 0, 15, 'OTHER_PERSON'), ('view', '胰腺癌', 12, 15, 0, 15, 'CURRENT_PRIMARY'),
+  ('purchase', '肺癌', 4, 6, 0, 6, 'HISTORICAL'), ('purchase', '胰腺癌', 12, 15, 7, 15, 'CURRENT_PRIMARY'), ('error', '肺癌', 4, 6, 1, 8, 'METASTATIC_SITE')
+), c AS (SELECT event_id, coalesce((props->>'$.k')::INT, 0) % 3 AS k, ts FROM events WHERE event_type = 'click' AND ts IS NOT NULL
+), t AS (SELECT event_id, ts::DATE + (k - 1) AS day, ['HISTORICAL', 'CURRENT_PRIMARY', 'UNKNOWN'][k + 1] AS time FROM c)
+SELECT event_id, term, start, "end", clause_start, clause_end, NULL::DATE AS day, NULL AS time, subject FROM events JOIN v ON kind = event_type
+UNION ALL SELECT event_id, '肺癌', 15, 17, 0, 17, day, time, time FROM t
+"""
+
+
+@query(_SUBJECTS)
+def narrative_subjects(spark, d):
+    from ledgerline.functions import narrative
+
+    kind, k = F.col("event_type"), F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0))
+    e = table(spark, d, "events", "event_id", "ts", "event_type", "props").withColumn("record", F.to_date("ts"))
+    said = F.when(kind == "signup", "患者诊断为肺癌。").when(kind == "view", "父亲患肺癌,但患者确诊为胰腺癌").when(kind == "purchase", "1、既往肺癌；目前诊断为胰腺癌").when(kind == "error", "\n转移性肺癌可能")
+    said = said.when(kind == "click", F.concat(F.date_format(F.date_add("record", k % 3 - 1), "yyyy年MM月dd日"), F.lit("CT提示肺癌")))
+    return narrative.subjects(e.select("event_id", "record", said.alias("said")), "said", F.col("record"), F.lit("AUXILIARY_FINDINGS")).drop("record")
+
+
+@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_open, count(*) FILTER (WHERE o_totalprice IS NULL) AS n_missing, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS total, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders")
+def observed_export(spark, d):
+    from ledgerline.operators.joins import scratch
+    from ledgerline.sources.sinks import write_observed
+
+    # the metrics of an export, from the pass that writes it
+    price = F.col("o_totalprice")
+    metrics = {"n_rows": F.count(F.lit(1)), "n_open": F.count_if(F.col("o_orderstatus") == "O"), "n_missing": F.count_if(price.isNull()), "total": F.sum(price.cast("decimal(18,2)")).cast("double"), "first": F.min("o_orderkey"), "last": F.max("o_orderkey")}
+    seen = write_observed(table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_totalprice"), scratch(spark, "observed"), metrics)
+    return spark.createDataFrame([tuple(seen[x] for x in metrics)], "n_rows long, n_open long, n_missing long, total double, first long, last long")

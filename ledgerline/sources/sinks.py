@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,3 +52,13 @@ def exposition(series: DataFrame) -> DataFrame:
     sample = F.format_string("%s{%s} %s", F.col("name"), label, F.col("value").cast("string"))
     kinds = series.select("name").distinct().select("name", F.lit(0).alias("at"), F.format_string("# TYPE %s gauge", "name").alias("value"))
     return kinds.union(series.select("name", F.lit(1), sample)).orderBy("name", "at", "value").select("value")
+
+
+def write_observed(df: DataFrame, path: str, metrics: dict[str, Column], **options) -> dict:
+    """Writes Parquet and returns the metrics (aggregates by name) of the rows written, counted in the pass that writes them.
+
+    The table isn't read again.  A task that runs twice counts once; an empty table gives counts of zero and null for the rest.
+    """
+    seen = Observation()
+    df.observe(seen, *(m.alias(name) for name, m in metrics.items())).write.parquet(path, **options)
+    return seen.get

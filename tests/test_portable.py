@@ -78,3 +78,14 @@ def test_tails_of_results(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.result_tail(F.col("t")).alias("r")).collect()
     assert {r.t: r.r and tuple(r.r) for r in rows} == cases
+
+
+def test_observed_writes(spark, tmp_path):
+    from ledgerline.sources.sinks import write_observed
+
+    metrics = {"n": F.count(F.lit(1)), "nulls": F.count_if(F.col("v").isNull()), "most": F.max("v")}
+    df = spark.createDataFrame([(1, 2), (2, None), (2, None), (None, 7)], "k int, v int").repartition(3)
+    assert write_observed(df, f"{tmp_path}/some", metrics) == {"n": 4, "nulls": 2, "most": 7}
+    assert spark.read.parquet(f"{tmp_path}/some").agg(*(m.alias(x) for x, m in metrics.items())).first().asDict() == {"n": 4, "nulls": 2, "most": 7}
+    assert write_observed(df.limit(0), f"{tmp_path}/none", metrics) == {"n": 0, "nulls": 0, "most": None}
+    assert spark.read.parquet(f"{tmp_path}/none").count() == 0

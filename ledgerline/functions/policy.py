@@ -42,3 +42,21 @@ def closed(json_text: Column, kinds: dict[str, str]) -> Column:
 def etag(*columns: Column) -> Column:
     """A weak tag that changes with any of the columns."""
     return F.concat(F.lit('W/"'), F.left(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256), F.lit(32)), F.lit('"'))
+
+
+def selectable(source_valid: Column, source_changed: Column, status: Column, parent_status: Column, label: Column, corrected: Column, known: list[str], longest: int = 160) -> Column:
+    """selectable, or why a reported statement may not be carried out of its source: source, changed, status, parent, label.
+
+    A label that was read by itself must be one of ``known``, as it may be a clause with more in it than was chosen; one set by
+    hand may be any of at most ``longest`` signs.  A null source state or label is never carried; a null status closes nothing.
+    """
+    closed_by = lambda x: F.coalesce(x.isin("EXCLUDED", "DEFERRED"), F.lit(False))
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    return (
+        F.when(~sure(source_valid), "source")
+        .when(~sure(~source_changed), "changed")
+        .when(closed_by(status), "status")
+        .when(closed_by(parent_status), "parent")
+        .when(~sure((corrected | label.isin(*known)) & (F.length(label) <= longest)), "label")
+        .otherwise("selectable")
+    )

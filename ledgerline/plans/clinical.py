@@ -354,3 +354,32 @@ def observed_export(spark, d):
     metrics = {"n_rows": F.count(F.lit(1)), "n_open": F.count_if(F.col("o_orderstatus") == "O"), "n_missing": F.count_if(price.isNull()), "total": F.sum(price.cast("decimal(18,2)")).cast("double"), "first": F.min("o_orderkey"), "last": F.max("o_orderkey")}
     seen = write_observed(table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_totalprice"), scratch(spark, "observed"), metrics)
     return spark.createDataFrame([tuple(seen[x] for x in metrics)], "n_rows long, n_open long, n_missing long, total double, first long, last long")
+
+
+_PRINTED = """
+WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, replace(p_brand, '#', 'x') AS b FROM part)
+SELECT p_partkey, CASE WHEN b IS NULL OR k IS NULL THEN NULL WHEN k IN (0, 1) THEN b WHEN k = 2 THEN '白细胞 ' || b WHEN k = 3 THEN '患者姓名 ' || b WHEN k = 4 THEN b || ',结果' ELSE '' END AS name, b IS NULL OR k IS NULL OR k > 2 AS rejected FROM p
+"""
+
+
+@query(_PRINTED)
+def candidate_names(spark, d):
+    from ledgerline.functions import names
+
+    p = table(spark, d, "part", "p_partkey", "p_brand")
+    b, k = F.replace(F.col("p_brand"), F.lit("#"), F.lit("x")), F.col("p_partkey") % 6
+    forms = [("1. ", " 5.2 ↑"), ("★", "：阴性"), ("白 细 胞 ", " H"), ("患者姓名 ", ""), ("", "，结果"), (" 阳性 ", "")]
+    printed = F.get(F.array(*(F.concat(F.lit(x), b, F.lit(y)) for x, y in forms)), k.cast("int"))
+    name = names.candidate_name(printed)
+    return p.select("p_partkey", name.alias("name")).select("p_partkey", "name", names.no_name(F.col("name")).alias("rejected"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority IS NULL OR o_orderkey IS NULL OR o_orderkey % 11 = 0 THEN 'source' WHEN o_orderkey % 13 = 0 THEN 'changed' WHEN o_orderstatus = 'P' THEN 'status' WHEN o_custkey % 7 = 0 THEN 'parent' WHEN (o_orderkey % 5 <> 0 AND o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) THEN 'label' ELSE 'selectable' END AS state FROM orders""")
+def selectable_candidates(spark, d):
+    from ledgerline.functions import policy
+
+    o, c = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), F.col
+    status, parent = F.when(c("o_orderstatus") == "P", "EXCLUDED").otherwise("CONFIRMED"), F.when(c("o_custkey") % 7 == 0, "DEFERRED")
+    valid = c("o_orderpriority").isNotNull() & (c("o_orderkey") % 11 != 0)
+    state = policy.selectable(valid, c("o_orderkey") % 13 == 0, status, parent, c("o_orderpriority"), c("o_orderkey") % 5 == 0, ["1-URGENT", "2-HIGH"])
+    return o.select("o_orderkey", state.alias("state"))

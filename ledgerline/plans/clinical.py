@@ -222,7 +222,7 @@ SELECT a.scope, a.cluster AS report, n_units, coalesce(n_rows, 0) AS n_rows, coa
 
 @query(_WORKSPACE)
 def report_workspace(spark, d):
-    from ledgerline.operators import workspace
+    from ledgerline.operators import joins, workspace
 
     c = F.col
     o = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus").where("o_custkey IS NOT NULL AND o_orderkey IS NOT NULL")
@@ -232,11 +232,10 @@ def report_workspace(spark, d):
     pairs = o.join(other, "o_custkey").where((c("o_orderkey") < c("right")) & (apart < 110000))
     relations = pairs.select(c("o_custkey").alias("scope"), c("o_orderkey").alias("left"), "right", F.when(apart < 100000, "JOINED").otherwise("CONFLICT").alias("state"))
     rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity").select(c("l_orderkey").alias("unit"), c("l_linenumber").alias("row"), c("l_returnflag").alias("state"), (c("l_quantity") > 45).alias("problem"))
-    none = spark.createDataFrame([], "report long, token string, at long")
-    found = workspace.report_workspace(units, relations, rows, none)
+    found = joins.settled(workspace.reports(units, relations, rows))
     # reports of even numbers were confirmed as they are, all others as something else
     past = found.select("report", F.when(c("report") % 2 == 0, c("token")).otherwise("other").alias("token"), F.lit(1).cast("long").alias("at"))
-    return workspace.report_workspace(units, relations, rows, past)
+    return workspace.with_confirmation(found, past)
 
 
 _PLANTED = [

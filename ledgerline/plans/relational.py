@@ -70,10 +70,13 @@ def self_join_pairs(spark, d):
 
 @query("SELECT a.p_partkey AS left, b.p_partkey AS right FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND a.p_type <> b.p_type AND abs(a.p_retailprice - b.p_retailprice) < 5")
 def theta_pairs_blocked(spark, d):
-    p = table(spark, d, "part", "p_partkey", "p_brand", "p_size", "p_type", "p_retailprice")
-    q = p.select(F.col("p_partkey").alias("right"), "p_brand", "p_size", F.col("p_type").alias("t"), F.col("p_retailprice").alias("r"))
+    # prices less than 5 apart are in the same step of 5 or in neighbouring ones, so strangers in price never meet
+    p = table(spark, d, "part", "p_partkey", "p_brand", "p_size", "p_type", "p_retailprice").withColumn("step", F.floor(F.col("p_retailprice") / 5).cast("double"))
+    q = p.select(F.col("p_partkey").alias("right"), "p_brand", "p_size", F.col("p_type").alias("t"), F.col("p_retailprice").alias("r"), F.explode(F.array_distinct(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))).alias("step"))
+    # few bytes make many pairs: the tasks are as many as the blocks allow, not as the bytes do
+    keys, tasks = ["p_brand", "p_size", "step"], max(400, 8 * spark.sparkContext.defaultParallelism)
     near = (F.col("p_partkey") < F.col("right")) & (F.col("p_type") != F.col("t")) & (F.abs(F.col("p_retailprice") - F.col("r")) < 5)
-    return p.join(q, ["p_brand", "p_size"]).where(near).select(F.col("p_partkey").alias("left"), "right")
+    return p.repartition(tasks, *keys).join(q.repartition(tasks, *keys).hint("shuffle_hash"), keys).where(near).select(F.col("p_partkey").alias("left"), "right")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'P') AND c_acctbal < 0")

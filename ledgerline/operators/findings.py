@@ -1,4 +1,4 @@
-"""Findings of pages as a table function: each page's lines, in order, through the page's automaton."""
+"""Findings of pages: each page's lines, in order, through the page's automaton."""
 
 from __future__ import annotations
 
@@ -8,29 +8,16 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.findings import Page
 from ledgerline.functions.variants import Grid
+from ledgerline.operators.joins import each_group
 
 _FIELDS = "page string, number int, key string, entity string, value map<string,string>, line long, start int, end int, raw string, role string, specimen int, assay int, marker int, limits array<string>"
 _KINDS = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-_SCHEMA = pa.schema([(f.split()[0], kind) for f, kind in zip(_FIELDS.split(", "), _KINDS, strict=True)])
 
 
-class _Pages:
-    """One page at a time: its lines come in order and are read together."""
-
-    def __init__(self):
-        self.page, self.lines, self.numbers = None, [], []
-
-    def eval(self, batch: pa.RecordBatch):
-        self.page = batch.column(0)[0].as_py() if batch.num_rows else self.page
-        self.numbers += batch.column(1).to_pylist()
-        self.lines += batch.column(2).to_pylist()
-        return iter(())
-
-    def terminate(self):
-        rows = []
-        for k, f in enumerate(Page(self.lines).found):
-            rows.append((self.page, k, f.key, f.entity, sorted(f.value.items()), self.numbers[f.line], f.start, f.end, f.raw, f.role, f.specimen, f.assay, f.marker, f.limits))
-        yield pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [[]] * len(_KINDS), _KINDS, strict=True)], schema=_SCHEMA)
+def _page(numbers: list, lines: list) -> list:
+    """The columns of a page's findings, from its lines in order."""
+    rows = [(k, f.key, f.entity, sorted(f.value.items()), numbers[f.line], f.start, f.end, f.raw, f.role, f.specimen, f.assay, f.marker, f.limits) for k, f in enumerate(Page(lines).found)]
+    return list(zip(*rows, strict=True)) if rows else [()] * (len(_KINDS) - 1)
 
 
 def pathology(lines: DataFrame) -> DataFrame:
@@ -43,35 +30,26 @@ def pathology(lines: DataFrame) -> DataFrame:
     lines of a null page are one page.  A page is held in a task; other columns take no part.
     """
     rows = lines.select(F.col("page").cast("string").alias("page"), F.col("line").cast("long").alias("line"), F.col("text"))
-    return F.arrow_udtf(_Pages, returnType=_FIELDS)(rows.asTable().partitionBy("page").orderBy("line", "text"))
+    return each_group(rows, _page, _KINDS, _FIELDS, ("line", "text"))
 
 
 _VARIANT = "page string, row long, role string, scope string, status string, assertion string, gene string, coding string, protein string, transcript string, exon string, fusion string, fraction string, copies string, parts array<struct<name:string,value:string,row:long,x:double,start:int,end:int>>"
 _NAMES = ("gene", "coding", "protein", "transcript", "exon", "fusion", "fraction", "copies")
 _PART = pa.struct([("name", pa.string()), ("value", pa.string()), ("row", pa.int64()), ("x", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
+_PARTS = [pa.string(), pa.int64(), *[pa.string()] * 12, pa.list_(_PART)]
 
 
-class _Grids:
-    """One page's cells at a time, by row."""
-
-    def __init__(self):
-        self.page, self.rows = None, {}
-
-    def eval(self, batch: pa.RecordBatch):
-        self.page = batch.column(0)[0].as_py() if batch.num_rows else self.page
-        for row, x, text in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-            self.rows.setdefault(row, []).append((x, text))
-        return iter(())
-
-    def terminate(self):
-        numbers, out = list(self.rows), []
-        for r in Grid(list(self.rows.values())).records:
-            one = lambda name, r=r: " | ".join(r.values(name)) or None
-            parts = [{"name": p.name, "value": p.value, "row": numbers[p.row], "x": p.x, "start": p.start, "end": p.end} for p in r.parts]
-            out.append((self.page, numbers[r.row], r.role, r.scope, r.status, r.assertion, *map(one, _NAMES), parts))
-        kinds = [pa.string(), pa.int64(), *[pa.string()] * 12, pa.list_(_PART)]
-        names = [f.split()[0] for f in _VARIANT.split(", ", 14)]
-        yield pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True) if out else [[]] * 15, kinds, strict=True)], names=names)
+def _grid(cell_rows: list, xs: list, texts: list) -> list:
+    """The columns of the variants of a page's grid, from its cells in order."""
+    cells: dict = {}
+    for row, x, text in zip(cell_rows, xs, texts, strict=True):
+        cells.setdefault(row, []).append((x, text))
+    numbers, out = list(cells), []
+    for r in Grid(list(cells.values())).records:
+        one = lambda name, r=r: " | ".join(r.values(name)) or None
+        parts = [{"name": p.name, "value": p.value, "row": numbers[p.row], "x": p.x, "start": p.start, "end": p.end} for p in r.parts]
+        out.append((numbers[r.row], r.role, r.scope, r.status, r.assertion, *map(one, _NAMES), parts))
+    return list(zip(*out, strict=True)) if out else [()] * (len(_PARTS) - 1)
 
 
 def molecular(cells: DataFrame) -> DataFrame:
@@ -82,4 +60,4 @@ def molecular(cells: DataFrame) -> DataFrame:
     their text; pages without a variant give no rows; cells of a null page are one page.  A page is held in a task.
     """
     rows = cells.select(F.col("page").cast("string").alias("page"), F.col("row").cast("long").alias("row"), F.col("x").cast("double").alias("x"), F.col("text")).dropna(subset=["row", "x", "text"])
-    return F.arrow_udtf(_Grids, returnType=_VARIANT)(rows.asTable().partitionBy("page").orderBy("row", "x", "text"))
+    return each_group(rows, _grid, _PARTS, _VARIANT, ("row", "x", "text"))

@@ -292,8 +292,6 @@ SELECT query, o_orderkey, name AS found_in, text AS excerpt, name = 'correction'
 
 @query(_SAID)
 def archive_search(spark, d):
-    from functools import reduce
-
     from ledgerline.operators import archive
 
     c, text = F.col, lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x)).alias("text")
@@ -313,11 +311,8 @@ def archive_search(spark, d):
     own = {"file": text("order-", c("o_orderkey"), ".pdf"), "title": c("o_orderpriority")}
     labels = {"O": "Open", "P": "Pending", "F": "Finished"}
 
-    def found(asked):
-        met = {"status": archive.named_by(c("o_orderstatus"), labels, asked), "date": F.when(archive.on_date(c("o_orderdate"), asked), F.date_format("o_orderdate", "yyyy-MM-dd"))}
-        return archive.search(o, "o_orderkey", asked, own, met, said, fixes).withColumn("query", F.lit(asked))
-
-    return reduce(lambda a, b: a.unionByName(b), map(found, _SEARCHES))
+    met = {q: {"status": archive.named_by(c("o_orderstatus"), labels, q), "date": F.when(archive.on_date(c("o_orderdate"), q), F.date_format("o_orderdate", "yyyy-MM-dd"))} for q in _SEARCHES}
+    return archive.searches(o, "o_orderkey", met, own, said, fixes)
 
 
 # What is said of each kind of event, from the events themselves.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerline.operators.joins import settled
 
@@ -11,6 +12,39 @@ from ledgerline.operators.joins import settled
 MOST_DEPTH, MOST_NODES = 8, 32
 
 
+def _walks(steps: DataFrame, length: int, most_nodes: int) -> DataFrame:
+    """(node, front, reach, many) of each node with a step (at, next): what walks of ``length`` steps end at, and what walks of up to that many do.
+
+    ``many``: more than ``most_nodes`` are reached; such a node, and what leads to it in fewer steps, holds nothing.
+    """
+    c = F.col
+    none = F.array_except("front", "front")
+
+    def bounded(walks: DataFrame) -> DataFrame:
+        many = c("many") | (F.size("reach") > most_nodes)
+        return walks.select("node", F.when(many, none).otherwise(c("front")).alias("front"), F.when(many, none).otherwise(c("reach")).alias("reach"), many.alias("many"))
+
+    def longer(first: DataFrame, then: DataFrame) -> DataFrame:
+        # all that the ends of the first walks come to, beside what the first ones passed
+        ends = first.where("NOT many").select("node", F.explode("front").alias("__end"))
+        met = ends.join(then.select(c("node").alias("__end"), "front", "reach", "many"), "__end").select("node", "front", "reach", "many")
+        rows = met.union(first.select("node", none.alias("front"), "reach", "many"))
+        union = lambda x: F.array_distinct(F.flatten(F.collect_list(x)))
+        return bounded(rows.groupBy("node").agg(union("front").alias("front"), union("reach").alias("reach"), F.max("many").alias("many")))
+
+    # a node's steps are counted before they are listed
+    counted = steps.withColumn("__n", F.row_number().over(Window.partitionBy("at").orderBy("next"))).where(c("__n") <= most_nodes + 1)
+    one = counted.groupBy(c("at").alias("node")).agg(F.collect_list("next").alias("front")).select("node", "front", c("front").alias("reach"), F.lit(False).alias("many"))
+    power, out = settled(bounded(one)), None
+    while True:
+        if length & 1:
+            out = power if out is None else longer(power, out)
+        length >>= 1
+        if not length:
+            return out
+        power = settled(longer(power, power))
+
+
 def resolve(nodes: DataFrame, links: DataFrame, most_depth: int = MOST_DEPTH, most_nodes: int = MOST_NODES) -> DataFrame:
     """The context of each of ``nodes``: node, state, reason, n_dependencies, dependencies, context.
 
@@ -31,8 +65,8 @@ def resolve(nodes: DataFrame, links: DataFrame, most_depth: int = MOST_DEPTH, mo
     Of a node with ``too_many``, ``cycle`` or ``too_deep`` the dependencies and the context are empty.
     Links of a null node or role are left out, repeated links count once.
 
-    One join for each step of depth; a node that has more than ``most_nodes`` dependencies leaves
-    the walk, so no more than that times the nodes are held.
+    Walks are doubled in length, so there are about log2(``most_depth``) joins; a node that has more than
+    ``most_nodes`` dependencies keeps none, so no more than that times the nodes are held.
     """
     c = F.col
     known = nodes.where("node IS NOT NULL").groupBy("node").agg(*(F.min(x).alias(x) for x in ("scope", "status", "source_valid")))
@@ -47,30 +81,21 @@ def resolve(nodes: DataFrame, links: DataFrame, most_depth: int = MOST_DEPTH, mo
     direct = tied.groupBy("node").agg(flag("bad").alias("bad"), flag("excluded").alias("excluded"), flag(c("target").isNull()).alias("unknown"), F.collect_set(F.when(c("entity").isNotNull() & c("target").isNotNull() & ~c("bad"), F.struct("role", "entity"))).alias("bound"))
     facts = known.select("node", "status", "source_valid").join(direct, "node", "left").select("node", "status", "source_valid", *(F.coalesce(x, F.lit(False)).alias(x) for x in ("bad", "excluded", "unknown")), F.coalesce("bound", F.array().cast("array<struct<role:string,entity:string>>")).alias("bound"))
     steps = tied.where("target IS NOT NULL AND NOT bad").select(c("node").alias("at"), c("target").alias("next")).distinct()
+    walks = settled(_walks(steps, most_depth + 1, most_nodes))
 
-    front = settled(steps.select(c("at").alias("root"), c("next").alias("at")))
-    reach, over = front, None
-    for _ in range(most_depth):
-        front = front.join(steps, "at").select("root", c("next").alias("at")).distinct()
-        reach = reach.union(front).distinct()
-        counts = reach.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(c("n") > most_nodes).select("root")
-        over = settled(counts if over is None else over.union(counts).distinct())
-        front, reach = settled(front.join(over, "root", "left_anti")), settled(reach.join(over, "root", "left_anti"))
-    deep = front.select("root").distinct().withColumn("deep", F.lit(True))
-    ring = reach.where("root = at").select("at")
-    rings = reach.join(ring, "at", "left_semi").select("root").distinct().withColumn("ring", F.lit(True))
-    empty = steps.where("false").select(c("at").alias("root")) if over is None else over
-    limits = known.select(c("node").alias("root")).join(empty.withColumn("many", F.lit(True)), "root", "left").join(rings, "root", "left").join(deep, "root", "left")
-
-    below = reach.join(facts.select(c("node").alias("at"), *(c(x).alias(f"__{x}") for x in ("status", "source_valid", "bad", "unknown", "bound"))), "at")
-    met = below.groupBy("root").agg(
+    limits = walks.select(c("node").alias("root"), F.when(c("many"), True).alias("many"), F.when(~c("many") & (F.size("front") > 0), True).alias("deep"))
+    ring = walks.where(F.array_contains("reach", c("node"))).select(c("node").alias("at"), F.lit(True).alias("__ring"))
+    below = walks.select(c("node").alias("root"), F.explode("reach").alias("at"))
+    known_below = facts.select(c("node").alias("at"), *(c(x).alias(f"__{x}") for x in ("status", "source_valid", "bad", "unknown", "bound"))).join(ring, "at", "left")
+    met = below.join(known_below, "at").groupBy("root").agg(
         F.array_sort(F.collect_set("at")).alias("dependencies"),
         F.max("__bad").alias("bad_below"),
         F.max(~F.coalesce("__source_valid", F.lit(False))).alias("source_below"),
         F.max((F.coalesce("__status", F.lit("")) != "CONFIRMED") | c("__unknown")).alias("open_below"),
         F.array_distinct(F.flatten(F.collect_set("__bound"))).alias("bound_below"),
+        F.max("__ring").alias("ring"),
     )
-    every = facts.withColumnRenamed("node", "root").join(limits, "root").join(met, "root", "left")
+    every = facts.withColumnRenamed("node", "root").join(limits, "root", "left").join(met, "root", "left")
     stopped = F.coalesce("many", "ring", "deep", F.lit(False))
     bound = F.array_sort(F.array_union("bound", F.coalesce("bound_below", F.array().cast("array<struct<role:string,entity:string>>"))))
     every = every.withColumn("context", F.when(~stopped, bound).otherwise(F.array_except(bound, bound))).withColumn("dependencies", F.when(~stopped, c("dependencies")))
@@ -95,8 +120,6 @@ def units(lines: DataFrame, scope: str, order: list[str]) -> DataFrame:
     Columns of these names are kept; ties of the order are broken by the signals, so lines that tie
     wholly are alike.  One sort of each scope's lines; lines of a null scope are one scope.
     """
-    from pyspark.sql.window import Window
-
     c = F.col
     signs = ("title", "head", "marker", "result", "counter")
     rows = lines.select(*lines.columns, *(F.coalesce(c(x), F.lit(False)).alias(f"__{x}") for x in signs))

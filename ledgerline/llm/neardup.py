@@ -1,19 +1,27 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, at any length of text.
+"""SimHash near-duplicates by pivot distance tables, verified by the Jaccard similarity of word shingles.
 
 Two texts are linked if the sets of their five-word shingles have a similarity of
-at least ``LEAST``; a component of links is a group.  A radius of SimHash bits can't
-say this: at 0.8 some ten of 64 bits differ, and no radius holds all such pairs.
+at least ``LEAST``; a component of links is a group.
 
-Texts meet by MinHash: ``BANDS`` keys, each of ``ROWS`` smallest shingles under their
-own hash functions.  A pair at 0.8 shares no key with a probability of
-(1 - 0.8 ** ROWS) ** BANDS = 1e-10, pairs above it with less.
+Every set has a SimHash fingerprint of ``BITS`` bits, wide enough to tell that similarity:
+of a pair at 0.8 a bit differs with a probability of at most 3/16 (sets of 4 and 5; 0.161
+for all others, 0.152 for large ones), so more than ``RADIUS`` bits differ with one
+below 1e-9.  Of unrelated sets half of the bits differ.
+
+Fingerprints meet in buckets: ``BANDS`` MinHash keys, each of ``ROWS`` smallest shingles
+under their own hash functions.  A pair at 0.8 shares no key with a probability of
+(1 - 0.8 ** ROWS) ** BANDS = 1e-10, pairs above it with less.  Blocks of the fingerprint
+can't be the buckets at this radius: as many equal bits as tell strangers apart are
+rare between texts at 0.8 (24 bits: 0.02).
 
 First each member of a key's bucket is held against a few members, so that a large
 group is mostly joined by as many pairs as it has members.  Then the members of a
-bucket that are still in different components are compared where the bucket is, by
-their signatures (a byte of each of the BANDS * ROWS smallest hashes): two that agree
-in ``NEAR`` of them belong to one cluster (a pair at 0.8 fails that with a probability
-below 1e-8).  A cluster's texts are compared on their whole sets in one place.  Buckets
+bucket that are still in different components are compared where the bucket is.  Its
+pivot distance table holds each member's Hamming distances to ``PIVOTS`` members, one
+of each of the largest components: by the triangle inequality fingerprints within the
+radius have distances to a pivot that differ by at most the radius, so other pairs are
+discarded, and the survivors' bits are compared.  Two within the radius belong to one
+cluster.  A cluster's texts are compared on their whole sets in one place.  Buckets
 and clusters give links that join what their pairs join, never the pairs, so no link is
 lost and none of the tables grows with the square of a group; large ones are dealt out
 as pairs of chunks, so no task holds a whole one.
@@ -34,14 +42,16 @@ SHINGLE_WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 44, 4
 #: Members of a bucket that the others are held against first.
 CENTRES = 4
-#: The share of signature bytes in which a pair must agree to be verified.
-NEAR = 0.62
+#: Bits of a fingerprint, the most that differ in a pair that is verified, and pivots of a table.
+BITS, RADIUS, PIVOTS = 1024, 272, 16
 #: Members of a bucket or cluster in a chunk, and bytes of their sets.
 CHUNK_ROWS, CHUNK_SETS = 1024, 8 << 20
 _RNG = np.random.default_rng(80)
 _PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _FLIP = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
 _TIMES = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_PLANE = _RNG.integers(0, 1 << 63, BITS // 64, dtype=np.uint64) * np.uint64(2)
+_LANES = np.uint64(0x0101010101010101)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, shingle_words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -68,10 +78,32 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, shingle_words: int = SHINGL
     return h[fresh], np.searchsorted(doc[fresh], np.arange(n + 1))
 
 
-def marks(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, keys, signature) of each set: a hash of the whole set (zero if it is empty), its ``BANDS`` bucket keys and a byte of each smallest hash."""
+def fingerprints_of(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """SimHash of each set, ``BITS`` bits as 64-bit numbers: the bits set in over half of its shingles' hashes."""
+    out = np.zeros((len(cuts) - 1, BITS // 64), np.uint64)
+    sizes = np.diff(cuts)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return out
+    # a bit is counted in a byte, eight to a number, so sets are summed in blocks of 255
+    blocks = -(-sizes[some] // 255)
+    lead = np.cumsum(blocks) - blocks
+    at = (np.arange(blocks.sum()) - np.repeat(lead, blocks)) * 255 + np.repeat(cuts[:-1][some], blocks)
+    ones = np.empty((len(some), 64), np.int64)
+    for k in range(BITS // 64):
+        own = mix(h ^ _PLANE[k])
+        for bit in range(8):
+            lanes = np.add.reduceat(own >> np.uint64(bit) & _LANES, at)
+            ones[:, bit::8] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8), lead, axis=0, dtype=np.int64)
+        over = (2 * ones > sizes[some][:, None]).astype(np.uint8)
+        out[some, k] = np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
+def marks(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, keys) of each set: a hash of the whole set (zero if it is empty) and its ``BANDS`` bucket keys."""
     n = len(cuts) - 1
-    node, keys, signature = np.zeros(n, np.uint64), np.zeros((n, BANDS), np.uint64), np.zeros((n, BANDS * ROWS), np.uint8)
+    node, keys = np.zeros(n, np.uint64), np.zeros((n, BANDS), np.uint64)
     some = np.flatnonzero(np.diff(cuts))
     if len(some):
         lead = cuts[:-1][some]
@@ -82,63 +114,78 @@ def marks(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
                 i = band * ROWS + r
                 least = np.minimum.reduceat((h ^ _FLIP[i]) * _TIMES[i], lead)
                 key = mix(key * _PLACE[r] + least)
-                signature[some, i] = mix(least)
             keys[some, band] = key
-    return node, keys, signature
+    return node, keys
 
 
 def marked_rows(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with __node, __n (shingles), __keys (none for a text without a word) and __sig of each whole text."""
+    """``docs`` with __node, __n (shingles), __keys (none for a text without a word) and __fp (fingerprint) of each whole text."""
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            nodes, counts, keys, signatures = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.uint64)], []
+            nodes, counts, keys, prints = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.uint64)], []
             for _, _, data, offs in text_chunks(b.column(at)):
                 h, cuts = shingle_sets(data, offs, shingle_words)
-                node, key, signature = marks(h, cuts)
-                signatures.append(signature.tobytes())
+                node, key = marks(h, cuts)
+                prints.append(fingerprints_of(h, cuts).tobytes())
                 nodes.append(node)
                 counts.append(np.diff(cuts))
                 keys.append(key)
             n, k = np.concatenate(counts), np.concatenate(keys)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)), pa.array(k[n > 0].ravel().view(np.int64)))
-            width = pa.py_buffer((np.arange(len(n) + 1) * BANDS * ROWS).astype(np.int32))
-            sig = pa.Array.from_buffers(pa.binary(), len(n), [None, width, pa.py_buffer(b"".join(signatures))])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(nodes).view(np.int64)), pa.array(n), lists, sig], names=[*b.schema.names, "__node", "__n", "__keys", "__sig"])
+            width = pa.py_buffer((np.arange(len(n) + 1) * (BITS // 8)).astype(np.int32))
+            fp = pa.Array.from_buffers(pa.binary(), len(n), [None, width, pa.py_buffer(b"".join(prints))])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(nodes).view(np.int64)), pa.array(n), lists, fp], names=[*b.schema.names, "__node", "__n", "__keys", "__fp"])
 
-    return docs.mapInArrow(run, widened(docs, ("__node", "long"), ("__n", "long"), ("__keys", "array<long>"), ("__sig", "binary")))
+    return docs.mapInArrow(run, widened(docs, ("__node", "long"), ("__n", "long"), ("__keys", "array<long>"), ("__fp", "binary")))
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
+def _fingerprints(column: pa.Array) -> np.ndarray:
     begin = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
-    return np.frombuffer(column.buffers()[2], np.uint8)[begin : begin + BANDS * ROWS * len(column)].reshape(-1, BANDS * ROWS)
+    return np.frombuffer(column.buffers()[2], np.uint8)[begin : begin + BITS // 8 * len(column)].view(np.uint64).reshape(-1, BITS // 64)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
 
 
-def _near(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (u, v) whose signatures agree enough to be verified."""
+def _near(pairs: DataFrame, printed: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (u, v) whose fingerprints are within the radius."""
 
     def run(batches):
         for b in batches:
-            agree = (_signatures(b.column(2)) == _signatures(b.column(3))).sum(1) if b.num_rows else np.zeros(0)
-            yield b.filter(pa.array(agree >= NEAR * BANDS * ROWS)).select(["u", "v"])
+            near = distances(_fingerprints(b.column(2)), _fingerprints(b.column(3))) <= RADIUS if b.num_rows else np.zeros(0, bool)
+            yield b.filter(pa.array(near)).select(["u", "v"])
+
+    with_u = pairs.join(printed.select(F.col("node").alias("u"), F.col("fp").alias("a")), "u")
+    return with_u.join(printed.select(F.col("node").alias("v"), F.col("fp").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
 
-    with_u = pairs.join(signed.select(F.col("node").alias("u"), F.col("sig").alias("a")), "u")
-    return with_u.join(signed.select(F.col("node").alias("v"), F.col("sig").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+def pivot_table(part: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """[member, pivot]: distances to one member of each of the largest parts; no more than ``PIVOTS`` members need none."""
+    if len(part) <= PIVOTS:
+        return np.zeros((len(part), 0), np.int16)
+    _, one, size = np.unique(part, return_index=True, return_counts=True)
+    pivots = one[np.argsort(-size, kind="stable")[:PIVOTS]]
+    return np.stack([distances(fp, fp[p]) for p in pivots], 1)
 
 
-def near_of_bucket(n: np.ndarray, part: np.ndarray, sig: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j), i < j, of the pairs in different parts, of sizes that allow the similarity, whose signatures agree enough."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def near_of_bucket(n: np.ndarray, part: np.ndarray, fp: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j), i < j, of the pairs in different parts, of sizes that allow the similarity, within the radius: by the pivot table and then the bits."""
+    left, right, table = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], pivot_table(part, fp)
     for at in range(0, len(n), 64):
-        i, j = np.nonzero((part[at : at + 64, None] != part[None, at:]) & (np.minimum(n[at : at + 64, None], n[None, at:]) >= least * np.maximum(n[at : at + 64, None], n[None, at:]) - 1e-9))
+        live = (part[at : at + 64, None] != part[None, at:]) & (np.minimum(n[at : at + 64, None], n[None, at:]) >= least * np.maximum(n[at : at + 64, None], n[None, at:]) - 1e-9)
+        for p in range(min(4, table.shape[1])):
+            live &= np.abs(table[at : at + 64, p, None] - table[None, at:, p]) <= RADIUS
+        i, j = np.nonzero(live)
         i, j = i[i < j] + at, j[i < j] + at
         for k in range(0, len(i), 1 << 14):
             x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-            # a part of the signature tells most pairs apart
-            some = (sig[x, :48] == sig[y, :48]).sum(1) >= (NEAR - 0.18) * 48
-            x, y = x[some], y[some]
-            near = (sig[x] == sig[y]).sum(1) >= NEAR * BANDS * ROWS
+            close = np.abs(table[x, 4:] - table[y, 4:]).max(1, initial=0) <= RADIUS
+            x, y = x[close], y[close]
+            near = distances(fp[x], fp[y]) <= RADIUS
             left.append(x[near])
             right.append(y[near])
     return np.concatenate(left), np.concatenate(right)
@@ -182,18 +229,18 @@ def _linked(groups: DataFrame, links) -> DataFrame:
 
 
 def _near_links(members: DataFrame, least: float) -> DataFrame:
-    """Links of nodes that share a bucket, are in different parts and agree enough to be verified.  members: key, node, n, part, sig."""
+    """Links of nodes that share a bucket, are in different parts and are within the radius.  members: key, node, n, part, fp."""
 
     def links(own):
         node, n, part = (np.asarray(own.field(f)) for f in ("node", "n", "part"))
-        return _joined(node, *near_of_bucket(n, part, _signatures(own.field("sig")), least))
+        return _joined(node, *near_of_bucket(n, part, _fingerprints(own.field("fp")), least))
 
     return _linked(_dealt(members, "key", F.lit(1 / CHUNK_ROWS)), links)
 
 
-def similar_of_cluster(n: np.ndarray, part: np.ndarray, sig: np.ndarray, shingles: np.ndarray, cuts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def similar_of_cluster(n: np.ndarray, part: np.ndarray, fp: np.ndarray, shingles: np.ndarray, cuts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Indices (i, j) of the near pairs in different parts whose whole sets have the similarity."""
-    i, j = near_of_bucket(n, part, sig, least)
+    i, j = near_of_bucket(n, part, fp, least)
     number = np.unique(shingles, return_inverse=True)[1].ravel()
     mark, left, right = np.zeros(len(shingles), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     order = np.argsort(i, kind="stable")
@@ -214,12 +261,12 @@ def similar_of_cluster(n: np.ndarray, part: np.ndarray, sig: np.ndarray, shingle
 
 
 def _similar_links(members: DataFrame, least: float) -> DataFrame:
-    """Links of nodes of a cluster, in different parts, whose sets have the similarity.  members: cluster, node, n, part, sig, shingles."""
+    """Links of nodes of a cluster, in different parts, whose sets have the similarity.  members: cluster, node, n, part, fp, shingles."""
 
     def links(own):
         node, n, part = (np.asarray(own.field(f)) for f in ("node", "n", "part"))
         shingles = np.frombuffer(b"".join(x.as_buffer() for x in own.field("shingles")), np.uint64)
-        return _joined(node, *similar_of_cluster(n, part, _signatures(own.field("sig")), shingles, np.concatenate([[0], np.cumsum(n)]), least))
+        return _joined(node, *similar_of_cluster(n, part, _fingerprints(own.field("fp")), shingles, np.concatenate([[0], np.cumsum(n)]), least))
 
     share = F.greatest(F.lit(1 / CHUNK_ROWS), F.col("n") * 8 / CHUNK_SETS)
     return _linked(_dealt(members, "cluster", share), links)
@@ -261,9 +308,9 @@ def _sets(marked: DataFrame, needed: DataFrame, shingle_words: int) -> DataFrame
 def grouped(docs: DataFrame, least: float = LEAST, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with __row (a number of its own) and __group (equal for the rows of a component) of each row."""
     marked = stored(marked_rows(docs, shingle_words).withColumn("__row", F.monotonically_increasing_id()), "marked")
-    distinct = marked.where("__n > 0").groupBy(F.col("__node").alias("node")).agg(F.first("__n").alias("n"), F.first("__keys").alias("keys"), F.first("__sig").alias("sig"))
+    distinct = marked.where("__n > 0").groupBy(F.col("__node").alias("node")).agg(F.first("__n").alias("n"), F.first("__keys").alias("keys"), F.first("__fp").alias("fp"))
     distinct = stored(distinct, "sets_marked")
-    signed = distinct.select("node", "sig")
+    printed = distinct.select("node", "fp")
     keyed = distinct.select("node", "n", F.explode("keys").alias("key"))
     # a key's centre is its member that comes first in one of few orders of all nodes
     turn = F.pmod("key", F.lit(CENTRES))
@@ -271,17 +318,17 @@ def grouped(docs: DataFrame, least: float = LEAST, shingle_words: int = SHINGLE_
     shared = stored(keyed.join(centre.select("key", "m.c", "m.c_n"), "key"), "shared")
     alike = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9
     star = shared.where((F.col("node") != F.col("c")) & alike("n", "c_n")).select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v")).distinct()
-    tried = stored(_near(star, signed), "tried")
+    tried = stored(_near(star, printed), "tried")
     first = stored(verified(tried, marked, least, shingle_words), "links")
     part = connected_components(first)
     # members of a bucket that the first links leave apart
     named = shared.select("key", "node", "n").join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     apart = named.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
-    members = named.join(apart, "key", "left_semi").join(signed, "node").select("key", "node", "n", "part", "sig")
+    members = named.join(apart, "key", "left_semi").join(printed, "node").select("key", "node", "n", "part", "fp")
     cluster = stored(connected_components(stored(_near_links(members, least), "near")).select("node", F.col("component").alias("cluster")), "clusters")
     whole = stored(_sets(marked, cluster.select(F.col("node").alias("__node")), shingle_words), "sets")
-    members = cluster.join(distinct.select("node", "n", "sig"), "node").join(part, "node", "left").join(whole, "node")
-    members = members.select("cluster", "node", "n", F.coalesce("component", "node").alias("part"), "sig", "shingles")
+    members = cluster.join(distinct.select("node", "n", "fp"), "node").join(part, "node", "left").join(whole, "node")
+    members = members.select("cluster", "node", "n", F.coalesce("component", "node").alias("part"), "fp", "shingles")
     second = stored(_similar_links(members, least), "links")
     group = connected_components(first.union(second)).select(F.col("node").alias("__node"), "component")
     return marked.join(group, "__node", "left").withColumn("__group", F.coalesce("component", "__node")).select(*docs.columns, "__row", "__group")
